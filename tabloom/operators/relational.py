@@ -13,6 +13,7 @@ from tabloom.operators.generate import ID, clamp, independent_column
 from tabloom.operators.learn import Priors, category_parents, dependency_edges, numeric_parents
 from tabloom.operators.order import dense_index, value_at, value_ranks
 from tabloom.operators.profile import spearman_matrix, with_normal_scores
+from tabloom.sources.runtime import materialize
 from tabloom.spec import TableSpec
 
 
@@ -81,7 +82,8 @@ def prior_sample(df: DataFrame, prior: DataFrame, out: str, seed, key: str = ID)
     """Draw from one prior (value, prob): the arrays are a scalar subquery, no join."""
     one = sampling_arrays(prior.select(F.lit(0).alias("_g"), F.col("value").alias("child_value"), "prob"), ["_g"])
     packed = one.select(F.struct("cats", "cum").alias("s")).scalar()
-    return df.withColumn(out, pick(packed["cats"], packed["cum"], uniform(seed, out, key)))
+    return df.withColumn("_prior", packed).withColumn(
+        out, pick(F.col("_prior.cats"), F.col("_prior.cum"), uniform(seed, out, key))).drop("_prior")
 
 
 # ---- rank correlation -------------------------------------------------------------------------
@@ -130,15 +132,16 @@ def rank_copula_reorder(
         own = np.array([[one[f"{i}_{j}"] for j in range(len(columns))] for i in range(len(columns))])
         weights = weights @ np.linalg.inv(factor(own))
     scores = mix([f"z_{c}" for c in columns], weights)
-    out = scored.withColumns({f"y_{c}": s for c, s in zip(columns, scores)})
+    # Every column reads the scores several times, so they are written once.
+    scored = materialize(scored.select(key, *[s.alias(f"y_{c}") for c, s in zip(columns, scores)]), "scores")
+    kinds = dict(generated.dtypes)
+    whole = generated.na.drop(subset=columns)
+    out = whole.drop(*columns)
     for c in columns:
-        ordered = dense_index(out.select(key, f"y_{c}"), f"y_{c}", key, "_i").select(F.col(key).alias("_k"), F.col("_i"))
-        placed = value_at(ordered, "_i", value_ranks(generated.na.drop(subset=columns), c), f"n_{c}").drop("_i")
-        out = out.join(placed, out[key] == placed["_k"]).drop("_k")
-    fields = {f.name: f.dataType for f in generated.schema.fields}
-    done = out.select(*[F.col(f"n_{c}").cast(fields[c]).alias(c) if c in columns else F.col(c) for c in generated.columns])
+        ordered = dense_index(scored.select(key, f"y_{c}"), f"y_{c}", key, "_i").select(key, "_i")
+        out = out.join(value_at(ordered, "_i", value_ranks(whole, c), c).select(key, F.col(c).cast(kinds[c]).alias(c)), key)
     partial = generated.where(" or ".join(f"`{c}` is null" for c in columns))
-    return done.unionByName(partial)
+    return out.select(*generated.columns).unionByName(partial)
 
 
 def empirical_quantile_map(df: DataFrame, u: str, ranks: DataFrame, out: str) -> DataFrame:
