@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabloom.functions.constants import linked_by_name
 from tabloom.operators import profile
-from tabloom.operators.order import cut_points, prefix_sums
+from tabloom.operators.order import run_lengths
 from tabloom.spec import TableSpec
 
 
@@ -84,14 +84,6 @@ def category_priors(df: DataFrame, spec: TableSpec, alpha: float = 1.0) -> DataF
         "field", "value", "n", F.try_divide(F.col("n") + F.lit(float(alpha)), F.col("t")).alias("prob"))
 
 
-def empirical_quantiles(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(field, value, n, n_before, n_total): the sorted values of every column, run-length coded."""
-    cells = profile.as_long(df, columns, "double").where(F.col("value").isNotNull())
-    counts = cells.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
-    return prefix_sums(counts, "value", ["n"], cut_points(df, columns), group="field").select(
-        "field", "value", "n", "n_before", "n_total")
-
-
 def learn_priors(df: DataFrame, spec: TableSpec, min_samples: int = 20, alpha: float = 1.0) -> Priors:
     spark = df.sparkSession
     wanted = [c for c in spec.names() if c in df.columns]
@@ -123,7 +115,7 @@ def learn_priors(df: DataFrame, spec: TableSpec, min_samples: int = 20, alpha: f
         conditional_category=union_all(tables, spark, cpt),
         spearman=profile.spearman_matrix(complete, numeric) if several else spark.createDataFrame([], matrix),
         covariance=profile.gaussian_covariance(complete, numeric) if several else spark.createDataFrame([], matrix),
-        quantiles=empirical_quantiles(base, numeric) if numeric else spark.createDataFrame(
+        quantiles=run_lengths(base, numeric) if numeric else spark.createDataFrame(
             [], "field string, value double, n long, n_before long, n_total long"),
         warnings=warnings,
     )

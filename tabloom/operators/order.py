@@ -11,7 +11,11 @@ from __future__ import annotations
 
 import json
 import math
+from collections import Counter
+from dataclasses import dataclass
+from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabloom.sources.runtime import shuffle_width
@@ -42,25 +46,34 @@ def cut_points(df: DataFrame, columns: list[str], buckets: int | None = None) ->
     return cuts
 
 
-def bucket_of(value: Column, cuts: dict[str, list] | list, group: Column | None = None) -> Column:
-    """How many cuts are <= value, by a two-step search (about 2*sqrt(P) comparisons)."""
-    per_group = cuts if isinstance(cuts, dict) else {"": cuts}
-    nested, step = {}, {}
-    for name, edges in per_group.items():
-        s = max(1, math.isqrt(len(edges)))
-        nested[name] = [edges[i : i + s] for i in range(0, len(edges), s)] or [[]]
-        step[name] = s
-    text = any(isinstance(e, str) for edges in per_group.values() for e in edges)
-    kind = "string" if text else "double"
-    value = value.cast(kind)
-    body = F.from_json(F.lit(json.dumps(nested)), f"map<string,array<array<{kind}>>>")
-    steps = F.from_json(F.lit(json.dumps(step)), "map<string,int>")
-    key = group if group is not None else F.lit("")
-    blocks, width = F.element_at(body, key), F.element_at(steps, key)
-    # Block index: last block whose first edge is <= value.
-    block = F.size(F.filter(blocks, lambda b: (F.size(b) > 0) & (F.get(b, 0) <= value)))
-    inside = F.size(F.filter(F.get(blocks, F.greatest(block - 1, F.lit(0))), lambda e: e <= value))
-    return F.when(block == 0, F.lit(0)).otherwise((block - 1) * width + inside).cast("int")
+def _numeric_bucket(df: DataFrame, value: str, edges: list, out: str) -> DataFrame:
+    """How many edges are <= value, by the JVM-side binary search of ``Bucketizer``."""
+    if not edges:
+        return df.withColumn(out, F.lit(0))
+    splits = [float("-inf"), *[e for e in edges if not math.isinf(e)], float("inf")]
+    if len(splits) < 3:
+        return df.withColumn(out, F.lit(0))
+    cutter = Bucketizer(splits=splits, inputCol=value, outputCol=out, handleInvalid="keep")
+    return cutter.transform(df).withColumn(out, F.col(out).cast("int"))
+
+
+def with_bucket(df: DataFrame, value: str, cuts: dict[str, list] | list, group: str | None = None, out: str = "_bucket") -> DataFrame:
+    """Add the ordered bucket of each value; with ``group`` every group has its own cuts."""
+    per_group = cuts if group else {"": cuts}
+    if any(isinstance(e, str) for edges in per_group.values() for e in edges):
+        found = {g: F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col(value))) for g, edges in per_group.items()}
+        if not group:
+            return df.withColumn(out, found[""])
+    else:
+        df = df.withColumn("_num", F.col(value).cast("double"))
+        for i, edges in enumerate(per_group.values()):
+            df = _numeric_bucket(df, "_num", edges, f"_cut{i}")
+        found = {g: F.col(f"_cut{i}") for i, g in enumerate(per_group)}
+    if group:
+        choice = reduce(lambda acc, g: acc.when(F.col(group) == g, found[g]), found, F)
+    else:
+        choice = found[""]
+    return df.withColumn(out, choice).drop("_num", *[f"_cut{i}" for i in range(len(per_group))])
 
 
 def prefix_sums(
@@ -77,7 +90,7 @@ def prefix_sums(
     ``_bucket`` stays in the result.
     """
     keys = [group] if group else []
-    b = df.withColumn("_bucket", bucket_of(F.col(value), cuts, F.col(group) if group else None))
+    b = with_bucket(df, value, cuts, group)
     # One row per bucket: at most len(cuts) + 1 rows per group, so it may be broadcast.
     totals = b.groupBy(*keys, "_bucket").agg(*[F.sum(w).alias(f"_s_{w}") for w in weights])
     over = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
@@ -138,86 +151,179 @@ def value_ranks(df: DataFrame, column: str, cuts: list[float] | None = None) ->
     )
 
 
-def average_rank(df: DataFrame, column: str, out: str = "rank", cuts: list[float] | None = None) -> DataFrame:
-    """Attach 1-based average ranks; the join key is the value, one row per value on the small side."""
-    ranks = value_ranks(df, column, cuts).select(F.col("value").alias("_v"), F.col("rank").alias(out))
-    return df.join(ranks, df[column] == ranks["_v"], "left").drop("_v")
+# ---- row positions ----------------------------------------------------------------------------
 
 
-def dense_index(df: DataFrame, value: str, key: str, out: str = "idx", salts: int = 16) -> DataFrame:
-    """Unique 0-based position of every row by (value, key hash, key).
+@dataclass(frozen=True)
+class OrderPlan:
+    """Where each bucket of a column starts.
 
-    Ties on ``value`` are split over ``salts`` sub-groups, so a hot value never lands in one task
-    as a whole.
+    ``edges`` cut the value axis. A value that fills several quantiles is *hot*: it is an edge itself and
+    its rows form ``salts[b]`` slots of their own, ahead of the other rows of bucket ``b``.
+    ``before[b][slot]`` is the number of rows ahead of a slot. All of this is a few numbers per bucket.
     """
-    cuts = cut_points(df, [value])[value]
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)))
-    counts = salted.groupBy(F.col(value).alias("_v"), "_salt").agg(F.count(F.lit(1)).alias("n"))
-    starts = prefix_sums(counts, "_v", ["n"], cuts, ties=["_salt"]).select(
-        "_v", F.col("_salt").alias("_s"), "n_before"
-    )
-    w = Window.partitionBy(value, "_salt").orderBy(key)
-    numbered = salted.withColumn("_k", F.row_number().over(w) - 1)
-    return (
-        numbered.join(starts, (numbered[value] == starts["_v"]) & (numbered["_salt"] == starts["_s"]))
-        .withColumn(out, (F.col("n_before") + F.col("_k")).cast("long"))
-        .drop("_v", "_s", "_salt", "_k", "n_before")
-    )
+
+    edges: list
+    hot: list
+    salts: list
+    before: list
+    total: int
+
+
+def _literal(values, ddl: str) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), ddl)
+
+
+def _placed(df: DataFrame, column: str, edges: list, hot: list, salts: list, salt: Column) -> DataFrame:
+    """Add ``_x`` (the value), ``_b`` (bucket), ``_hot`` and ``_slot``."""
+    df = _numeric_bucket(df.withColumn("_x", F.col(f"`{column}`").cast("double")), "_x", edges, "_b")
+    if not hot:
+        return df.withColumn("_hot", F.lit(False)).withColumn("_slot", F.lit(0))
+    k = F.get(_literal(salts, "array<int>"), F.col("_b"))
+    df = df.withColumn("_hot", F.col("_x").isin(hot)).withColumn("_k", k)
+    return df.withColumn("_slot", F.when(F.col("_hot"), F.pmod(salt, F.col("_k")).cast("int")).otherwise(F.col("_k"))).drop("_k")
+
+
+def order_plans(df: DataFrame, columns: list[str], salt: Column, buckets: int | None = None) -> dict[str, OrderPlan]:
+    """Plans of several numeric columns in two scans; only bucket totals reach the driver."""
+    buckets = buckets or shuffle_width(df.sparkSession)
+    fractions = [i / buckets for i in range(1, buckets)]
+    row = df.agg(*[
+        F.percentile_approx(F.col(f"`{c}`").cast("double"), fractions, 10 * buckets).alias(f"c{i}")
+        for i, c in enumerate(columns)]).first()
+    shape, cells = {}, []
+    for i, c in enumerate(columns):
+        seen = Counter(float(v) for v in (row[f"c{i}"] or []))
+        edges = sorted(seen)
+        hot = [v for v in edges if seen[v] > 1]
+        salts = [0] + [2 * seen[v] if seen[v] > 1 else 0 for v in edges]
+        shape[c] = (edges, hot, salts)
+        slots = _placed(df.where(F.col(f"`{c}`").isNotNull()), c, edges, hot, salts, salt)
+        cells.append(slots.groupBy("_b", "_slot").agg(F.count(F.lit(1)).alias("n")).withColumn("_i", F.lit(i)))
+    totals: dict = {}
+    for r in reduce(DataFrame.unionByName, cells).collect():
+        totals.setdefault(r["_i"], {})[(r["_b"], r["_slot"])] = r["n"]
+    plans = {}
+    for i, c in enumerate(columns):
+        edges, hot, salts = shape[c]
+        run, before = 0, []
+        for b, k in enumerate(salts):
+            starts = []
+            for slot in range(k + 1):
+                starts.append(run)
+                run += totals.get(i, {}).get((b, slot), 0)
+            before.append(starts)
+        plans[c] = OrderPlan(edges, hot, salts, before, run)
+    return plans
+
+
+def add_rank(df: DataFrame, column: str, plan: OrderPlan, salt: Column, out: str, weight: str | None = None) -> DataFrame:
+    """Add the 1-based average rank: one shuffle by bucket, none by value.
+
+    Rows of a hot value all have the same rank, known from the plan; their slots only spread them.
+    """
+    placed = _placed(df, column, plan.edges, plan.hot, plan.salts, salt)
+    w = F.col(weight) if weight else F.lit(1)
+    upto = Window.partitionBy("_b", "_slot").orderBy("_x")
+    peers = Window.partitionBy("_b", "_slot", "_x")
+    starts = F.get(_literal(plan.before, "array<array<bigint>>"), F.col("_b"))
+    cold = F.get(starts, F.col("_slot")) + F.sum(w).over(upto) - (F.sum(w).over(peers) - 1) / F.lit(2.0)
+    if plan.hot:
+        first, end = F.get(starts, 0), F.element_at(starts, -1)
+        cold = F.when(F.col("_hot"), first + (end - first + 1) / F.lit(2.0)).otherwise(cold)
+    return placed.withColumn(out, cold).drop("_x", "_b", "_hot", "_slot")
+
+
+def average_rank(df: DataFrame, column: str, out: str = "rank") -> DataFrame:
+    """Attach 1-based average ranks to every row; nulls get none.
+
+    Nulls and rows of hot values need no order at all, so only the other rows are shuffled.
+    """
+    salt = F.xxhash64(F.col(f"`{column}`"))
+    plan = order_plans(df, [column], salt)[column]
+    x = F.col(f"`{column}`").cast("double")
+    apart = x.isNull() | (x.isin(plan.hot) if plan.hot else F.lit(False))
+    cold = add_rank(df.where(~apart), column, plan, salt, out)
+    still = _placed(df.where(apart), column, plan.edges, plan.hot, plan.salts, F.lit(0))
+    starts = F.get(_literal(plan.before, "array<array<bigint>>"), F.col("_b"))
+    first, end = F.get(starts, 0), F.element_at(starts, -1)
+    fixed = F.when(F.col("_x").isNotNull(), first + (end - first + 1) / F.lit(2.0))
+    return cold.unionByName(still.withColumn(out, fixed).drop("_x", "_b", "_hot", "_slot"))
+
+
+def dense_index(df: DataFrame, value: str, key: str, out: str = "idx") -> DataFrame:
+    """Unique 0-based position of every row by (value, slot of the key hash, key); values must not be null.
+
+    The order agrees with the value order; only ties of a hot value are dealt over several slots.
+    """
+    salt = F.xxhash64(F.col(f"`{key}`"))
+    plan = order_plans(df, [value], salt)[value]
+    placed = _placed(df, value, plan.edges, plan.hot, plan.salts, salt)
+    starts = F.get(F.get(_literal(plan.before, "array<array<bigint>>"), F.col("_b")), F.col("_slot"))
+    w = Window.partitionBy("_b", "_slot").orderBy("_x", key)
+    return placed.withColumn(out, (starts + F.row_number().over(w) - 1).cast("long")).drop("_x", "_b", "_hot", "_slot")
 
 
 def key_index(df: DataFrame, key: str, out: str = "idx") -> DataFrame:
     """0-based position of every row in the order of a unique numeric key."""
-    cuts = cut_points(df, [key])[key]
-    one = df.withColumn("_one", F.lit(1).cast("long"))
-    return (
-        prefix_sums(one, key, ["_one"], cuts)
-        .withColumnRenamed("_one_before", out)
-        .drop("_one", "_one_total", "_bucket")
+    return dense_index(df, key, key, out)
+
+
+# ---- sorted values by position ----------------------------------------------------------------
+
+
+def run_lengths(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(field, value, n, n_before, n_total): the sorted values of every column, run-length coded."""
+    cells = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns])
+    counts = (
+        df.select(F.explode(cells).alias("c")).select("c.*").where(F.col("value").isNotNull())
+        .groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
     )
+    return prefix_sums(counts, "value", ["n"], cut_points(df, columns), group="field").select(
+        "field", "value", "n", "n_before", "n_total")
 
 
-def lookup_positions(ranks: DataFrame, positions: DataFrame, position: str, buckets: int | None = None) -> DataFrame:
-    """(position, value): the sorted reference value at each distinct 0-based position.
+def values_at(runs: DataFrame, asks: DataFrame, position: str, keep: list[str], buckets: int | None = None) -> DataFrame:
+    """(field, position, keep..., value): the sorted value of a field at each asked 0-based position.
 
-    ``ranks`` comes from :func:`value_ranks`: value ``v`` covers positions ``n_before`` ..
-    ``n_before + n - 1``. Starts and wanted positions are merged along the position axis; equal-width
-    buckets carry the last value of the bucket before, so neither a hot value nor a long run is
-    expanded.
+    ``runs`` comes from :func:`run_lengths`: a value covers positions ``n_before`` .. ``n_before + n - 1``.
+    Run starts and asks are merged along the position axis in equal-width buckets that carry the last
+    value of the bucket before, so a long run is never expanded. Asks should be spread over the axis, as
+    ranks and uniform draws are; for anything else ask for distinct positions.
     """
-    spark = ranks.sparkSession
-    buckets = buckets or shuffle_width(spark)
-    starts = ranks.select(
-        F.col("n_before").cast("long").alias("_p"),
-        F.col("value").cast("double").alias("_value"),
-        F.col("n_total").cast("long").alias("_m"),
-    )
-    wanted = positions.select(F.col(position).cast("long").alias("_p")).distinct()
-    size = starts.agg(F.max("_m").alias("m"))
-    merged = starts.drop("_m").withColumn("_want", F.lit(0)).unionByName(
-        wanted.withColumn("_value", F.lit(None).cast("double")).withColumn("_want", F.lit(1))
-    )
-    width = F.greatest(F.ceil(size.select("m").scalar() / F.lit(float(buckets))), F.lit(1))
-    merged = merged.withColumn("_b", F.floor(F.col("_p") / width).cast("int"))
-    # Carry: the value with the largest start in each bucket, at most `buckets` + 1 rows.
-    last = merged.where("_want = 0").groupBy("_b").agg(F.max_by("_value", "_p").alias("_last"))
-    frame = last.unionByName(
-        merged.where("_want = 1").select("_b").distinct().withColumn("_last", F.lit(None).cast("double"))
-    ).groupBy("_b").agg(F.max("_last").alias("_last"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = frame.select("_b", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
-    run = Window.partitionBy("_b").orderBy("_p", "_want").rowsBetween(Window.unboundedPreceding, 0)
+    buckets = buckets or shuffle_width(runs.sparkSession)
+    sizes = runs.groupBy("field").agg(F.greatest(F.ceil(F.max("n_total") / F.lit(float(buckets))), F.lit(1)).alias("_width"))
+    kinds = {f.name: f.dataType for f in asks.schema.fields}
+    starts = runs.select(
+        "field", F.col("n_before").cast("long").alias("_p"), F.col("value").alias("_value"), F.lit(0).alias("_want"),
+        *[F.lit(None).cast(kinds[c]).alias(c) for c in keep])
+    wanted = asks.select("field", F.col(position).cast("long").alias("_p"), F.lit(None).cast("double").alias("_value"), F.lit(1).alias("_want"), *keep)
+    # One row per field.
+    merged = starts.unionByName(wanted).join(F.broadcast(sizes), "field").withColumn(
+        "_b", F.floor(F.col("_p") / F.col("_width")).cast("int"))
+    run = Window.partitionBy("field", "_b").orderBy("_p", "_want").rowsBetween(Window.unboundedPreceding, 0)
     filled = merged.withColumn("_run", F.last("_value", ignorenulls=True).over(run)).where("_want = 1")
-    return filled.join(F.broadcast(carry), "_b").select(
-        F.col("_p").alias(position), F.coalesce("_run", "_carry").alias("value")
-    )
+    # At most buckets + 1 rows per field: the last value at or before the end of each bucket.
+    ends = starts.join(F.broadcast(sizes), "field").groupBy("field", F.floor(F.col("_p") / F.col("_width")).cast("int").alias("_b")).agg(
+        F.max_by("_value", "_p").alias("_last"))
+    every = sizes.select("field", F.explode(F.sequence(F.lit(0), F.lit(buckets))).alias("_b"))
+    back = Window.partitionBy("field").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = every.join(ends, ["field", "_b"], "left").select("field", "_b", F.last("_last", ignorenulls=True).over(back).alias("_carry"))
+    return filled.join(F.broadcast(carry), ["field", "_b"], "left").select(
+        "field", F.col("_p").alias(position), *keep, F.coalesce("_run", "_carry").alias("value"))
+
+
+def value_at(df: DataFrame, position: str, runs: DataFrame, out: str) -> DataFrame:
+    """Attach the sorted value at 0-based ``position`` to every row, whatever the positions are."""
+    asks = df.select(F.lit(out).alias("field"), F.col(position).cast("long").alias("_q")).distinct()
+    found = values_at(runs.withColumn("field", F.lit(out)), asks, "_q", []).select("_q", F.col("value").alias(out))
+    return df.join(found, df[position] == found["_q"], "left").drop("_q")
 
 
-def value_at(df: DataFrame, position: str, ranks: DataFrame, out: str) -> DataFrame:
-    """Attach the sorted reference value at 0-based ``position`` to every row."""
-    found = lookup_positions(ranks, df, position).select(
-        F.col(position).alias("_q"), F.col("value").alias(out)
-    )
-    return df.join(found, df[position] == found["_q"], "left").drop("_q")
+def columns_at(runs: DataFrame, asks: DataFrame, position: str, key: str, columns: list[str]) -> DataFrame:
+    """(key, columns...): one row per key from asks (field, position, key) of evenly spread positions."""
+    found = values_at(runs, asks, position, [key])
+    return found.groupBy(key).agg(*[F.max(F.when(F.col("field") == c, F.col("value"))).alias(c) for c in columns])
 
 
 def neighbour_gaps(ranks: DataFrame, column: str = "value") -> DataFrame:

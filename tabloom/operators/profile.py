@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabloom.operators.coerce import coerce_column, drop_incomplete_numeric, numeric_columns
 from tabloom.functions.special import norm_ppf
-from tabloom.operators.order import average_rank, cut_points, exact_quantiles, prefix_sums
+from tabloom.operators.order import add_rank, cut_points, exact_quantiles, order_plans, prefix_sums
 from tabloom.spec import TableSpec
 
 
@@ -327,14 +327,40 @@ def realism_quick_score(df: DataFrame, spec: TableSpec, role: str = "role", sala
 # ---- correlation ------------------------------------------------------------------------------
 
 
-def with_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Add ``rank_<c>`` for complete rows; the cuts of all columns come from one scan."""
+def with_ranks(df: DataFrame, columns: list[str], key: str | None = None) -> tuple[DataFrame, int]:
+    """(rows with ``rank_<c>`` and weight ``_w``, number of complete rows).
+
+    With a unique ``key`` the rows stay single rows; without one, rows with equal values are counted
+    first, which is all that a correlation needs.
+    """
     base = df.na.drop(subset=columns)
-    cuts = cut_points(base, columns)
-    out = base
+    rows = (
+        base.withColumn("_w", F.lit(1).cast("long")) if key
+        else base.select(*columns).groupBy(*columns).agg(F.count(F.lit(1)).alias("_w"))
+    )
+    salt = F.xxhash64(key) if key else F.xxhash64(*columns)
+    plans = order_plans(base, columns, salt)
     for c in columns:
-        out = average_rank(out, c, f"rank_{c}", cuts[c])
-    return out
+        rows = add_rank(rows, c, plans[c], salt, f"rank_{c}", "_w")
+    return rows, plans[columns[0]].total
+
+
+def rank_correlation(ranked: DataFrame, n: int, pairs: list[tuple[str, str]], names: list[str], *extra) -> DataFrame:
+    """One row with the weighted correlation of each pair of ranks; undefined is null.
+
+    Ranks are centred on their known mean (n + 1) / 2 before they are multiplied.
+    """
+    w, mid = F.col("_w"), F.lit((n + 1) / 2.0)
+    used = sorted({c for p in pairs for c in p})
+    centred = ranked.withColumns({f"_d_{c}": F.col(f"rank_{c}") - mid for c in used})
+    sums = centred.agg(
+        *[F.sum(w * F.col(f"_d_{a}") * F.col(f"_d_{b}")).alias(f"_ab{i}") for i, (a, b) in enumerate(pairs)],
+        *[F.sum(w * F.col(f"_d_{c}") * F.col(f"_d_{c}")).alias(f"_ss_{c}") for c in used], *extra)
+    rho = [
+        F.try_divide(F.col(f"_ab{i}"), F.sqrt(F.col(f"_ss_{a}")) * F.sqrt(F.col(f"_ss_{b}"))).alias(name)
+        for i, ((a, b), name) in enumerate(zip(pairs, names))]
+    done = [f"_ab{i}" for i in range(len(pairs))] + [f"_ss_{c}" for c in used]
+    return sums.select("*", *rho).drop(*done)
 
 
 def matrix_rows(one_row: DataFrame, columns: list[str], cell) -> DataFrame:
@@ -348,37 +374,38 @@ def matrix_rows(one_row: DataFrame, columns: list[str], cell) -> DataFrame:
 
 def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, value): symmetric rank correlation, 1 on the diagonal, undefined read as 0."""
-    ranked = with_ranks(df, columns)
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    one = ranked.agg(F.count(F.lit(1)).alias("n"), *[
-        F.corr(f"rank_{columns[i]}", f"rank_{columns[j]}").alias(f"r{i}_{j}") for i, j in pairs])
-
-    def cell(i, j):
-        if i == j:
-            return F.lit(1.0)
-        return F.coalesce(F.nanvl(F.col(f"r{i}_{j}"), F.lit(0.0)), F.lit(0.0))
-
-    return matrix_rows(one, columns, cell)
+    ranked, n = with_ranks(df, columns)
+    places = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    one = rank_correlation(ranked, n, [(columns[i], columns[j]) for i, j in places], [f"r{i}_{j}" for i, j in places])
+    return matrix_rows(one, columns, lambda i, j: F.lit(1.0) if i == j else F.coalesce(F.col(f"r{i}_{j}"), F.lit(0.0)))
 
 
-def with_normal_scores(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Add ``z_<c>``, the inverse normal of (rank - 0.5) / n kept inside (1e-10, 1 - 1e-10)."""
-    ranked = with_ranks(df, columns)
-    n = ranked.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+def with_normal_scores(df: DataFrame, columns: list[str], key: str | None = None) -> tuple[DataFrame, int]:
+    """:func:`with_ranks` plus ``z_<c>``, the inverse normal of (rank - 0.5) / n inside (1e-10, 1 - 1e-10)."""
+    ranked, n = with_ranks(df, columns, key)
     shares = {
-        f"_p_{c}": F.greatest(F.lit(1e-10), F.least(F.lit(1 - 1e-10), (F.col(f"rank_{c}") - F.lit(0.5)) / n))
-        for c in columns
-    }
+        f"_p_{c}": F.greatest(F.lit(1e-10), F.least(F.lit(1 - 1e-10), (F.col(f"rank_{c}") - F.lit(0.5)) / F.lit(float(max(n, 1)))))
+        for c in columns}
     scored = ranked.withColumns(shares).withColumns({f"z_{c}": norm_ppf(F.col(f"_p_{c}")) for c in columns})
-    return scored.drop(*shares)
+    return scored.drop(*shares), n
+
+
+def weighted_covariance(scored: DataFrame, columns: list[str], n: int, prefix: str = "z_") -> DataFrame:
+    """One row with the sample covariance ``v<i>_<j>`` of weighted columns whose means are near 0."""
+    w = F.col("_w")
+    places = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    sums = scored.agg(
+        *[F.sum(w * F.col(f"{prefix}{columns[i]}") * F.col(f"{prefix}{columns[j]}")).alias(f"p{i}_{j}") for i, j in places],
+        *[F.sum(w * F.col(f"{prefix}{c}")).alias(f"s{i}") for i, c in enumerate(columns)])
+    total, less = F.lit(float(n)), F.lit(float(n - 1))
+    return sums.select(*[
+        F.try_divide(F.col(f"p{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}") / total, less).alias(f"v{i}_{j}") for i, j in places])
 
 
 def gaussian_covariance(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, value): sample covariance of the normal scores."""
-    scored = with_normal_scores(df.select(*columns), columns)
-    one = scored.agg(*[
-        F.covar_samp(f"z_{columns[i]}", f"z_{columns[j]}").alias(f"v{i}_{j}")
-        for i in range(len(columns)) for j in range(i, len(columns))])
+    scored, n = with_normal_scores(df.select(*columns), columns)
+    one = weighted_covariance(scored, columns, n)
     return matrix_rows(one, columns, lambda i, j: F.coalesce(F.col(f"v{i}_{j}"), F.lit(1.0 if i == j else 0.0)))
 
 

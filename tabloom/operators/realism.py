@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tabloom.functions.special import chi2_sf, kolmogorov_pvalue
 from tabloom.operators.order import cut_points, prefix_sums
-from tabloom.operators.profile import stack_rows, with_ranks
+from tabloom.operators.profile import rank_correlation, stack_rows, with_ranks
 
 # Weights of the contribution and of the composite score.
 NUM_CONTRIB = (0.5, 0.3, 0.2)
@@ -100,10 +100,10 @@ def paired_spearman(generated: DataFrame, reference: DataFrame, columns: list[st
     pairs = align_pairs(generated, reference, columns, key)
     parts = []
     for c in columns:
-        ranked = with_ranks(pairs, [f"gen_{c}", f"ref_{c}"])
-        parts.append(ranked.agg(
-            F.coalesce(F.nanvl(F.corr(f"rank_gen_{c}", f"rank_ref_{c}"), F.lit(0.0)), F.lit(0.0)).alias("rho")
-        ).select(F.lit(c).alias("field"), "rho"))
+        two = [f"gen_{c}", f"ref_{c}"]
+        ranked, n = with_ranks(pairs.select(*two), two)
+        rho = rank_correlation(ranked, n, [(two[0], two[1])], ["rho"])
+        parts.append(rho.select(F.lit(c).alias("field"), F.coalesce("rho", F.lit(0.0)).alias("rho")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -11,8 +12,8 @@ from tabloom.functions.rng import normal, uniform
 from tabloom.functions.special import norm_cdf
 from tabloom.operators.generate import ID, clamp, independent_column
 from tabloom.operators.learn import Priors, category_parents, dependency_edges, numeric_parents
-from tabloom.operators.order import dense_index, value_at, value_ranks
-from tabloom.operators.profile import spearman_matrix, with_normal_scores
+from tabloom.operators.order import columns_at, dense_index, run_lengths, value_at
+from tabloom.operators.profile import spearman_matrix, weighted_covariance, with_normal_scores
 from tabloom.sources.runtime import materialize
 from tabloom.spec import TableSpec
 
@@ -125,30 +126,33 @@ def rank_copula_reorder(
     if len(columns) < 2 or len(complete.limit(min_rows).take(min_rows)) < min_rows:
         return generated
     target = square(spearman_matrix(complete, columns), columns)
-    scored = with_normal_scores(generated, columns)
+    scored, n = with_normal_scores(generated.select(key, *columns), columns, key)
     weights = factor(2.0 * np.sin(math.pi * target / 6.0) if exact_latent else target)
     if exact_latent:
-        one = scored.agg(*[F.covar_samp(f"z_{a}", f"z_{b}").alias(f"{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns)]).first()
-        own = np.array([[one[f"{i}_{j}"] for j in range(len(columns))] for i in range(len(columns))])
+        one = weighted_covariance(scored, columns, n).first()
+        own = np.array([[one[f"v{min(i, j)}_{max(i, j)}"] for j in range(len(columns))] for i in range(len(columns))])
         weights = weights @ np.linalg.inv(factor(own))
     scores = mix([f"z_{c}" for c in columns], weights)
-    # Every column reads the scores several times, so they are written once.
+    # Every column reads the scores twice, so they are written once.
     scored = materialize(scored.select(key, *[s.alias(f"y_{c}") for c, s in zip(columns, scores)]), "scores")
-    kinds = dict(generated.dtypes)
+    asks = reduce(DataFrame.unionByName, [
+        dense_index(scored.select(key, f"y_{c}"), f"y_{c}", key, "_i").select(F.lit(c).alias("field"), "_i", key) for c in columns])
     whole = generated.na.drop(subset=columns)
-    out = whole.drop(*columns)
-    for c in columns:
-        ordered = dense_index(scored.select(key, f"y_{c}"), f"y_{c}", key, "_i").select(key, "_i")
-        out = out.join(value_at(ordered, "_i", value_ranks(whole, c), c).select(key, F.col(c).cast(kinds[c]).alias(c)), key)
+    dealt = columns_at(run_lengths(whole, columns), asks, "_i", key, columns)
+    kinds = dict(generated.dtypes)
+    out = whole.drop(*columns).join(dealt.select(key, *[F.col(c).cast(kinds[c]).alias(c) for c in columns]), key)
     partial = generated.where(" or ".join(f"`{c}` is null" for c in columns))
     return out.select(*generated.columns).unionByName(partial)
 
 
-def empirical_quantile_map(df: DataFrame, u: str, ranks: DataFrame, out: str) -> DataFrame:
-    """sorted_reference[floor(u * (m - 1))] for each row; exact, by positions."""
-    m = ranks.agg(F.max("n_total").alias("m")).select("m").scalar()
-    place = F.greatest(F.lit(0), F.least(m - 1, F.floor(F.col(u) * (m - 1)))).cast("long")
-    return value_at(df.withColumn("_pos", place), "_pos", ranks, out).drop("_pos")
+def quantile_position(u: Column, m: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(m - 1, F.floor(u * (m - 1)))).cast("long")
+
+
+def empirical_quantile_map(df: DataFrame, u: str, runs: DataFrame, out: str) -> DataFrame:
+    """sorted_reference[floor(u * (m - 1))] for each row; exact, by positions, for any distribution of u."""
+    m = runs.agg(F.max("n_total").alias("m")).select("m").scalar()
+    return value_at(df.withColumn("_pos", quantile_position(F.col(u), m)), "_pos", runs, out).drop("_pos")
 
 
 def copula_latents(df: DataFrame, covariance: np.ndarray, columns: list[str], seed, key: str = ID) -> DataFrame:
@@ -164,10 +168,14 @@ def copula_latents(df: DataFrame, covariance: np.ndarray, columns: list[str], se
 
 def copula_sample(df: DataFrame, covariance: np.ndarray, quantiles: DataFrame, columns: list[str], seed, key: str = ID) -> DataFrame:
     """Columns with the reference's marginals and its normal-score covariance."""
-    out = copula_latents(df, covariance, columns, seed, key)
-    for c in columns:
-        out = empirical_quantile_map(out, f"u_{c}", quantiles.where(F.col("field") == c), c)
-    return out.drop(*[f"u_{c}" for c in columns])
+    latent = copula_latents(df.select(key), covariance, columns, seed, key)
+    cells = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"u_{c}").alias("u")) for c in columns])
+    sizes = quantiles.groupBy("field").agg(F.max("n_total").alias("_m"))
+    # One size per column.
+    asks = latent.select(key, F.explode(cells).alias("c")).select(key, "c.*").join(F.broadcast(sizes), "field").select(
+        "field", key, quantile_position(F.col("u"), F.col("_m")).alias("_pos"))
+    used = quantiles.where(F.col("field").isin(*columns))
+    return df.join(columns_at(used, asks, "_pos", key, columns), key)
 
 
 # ---- whole table ------------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tabloom.functions.rng import uniform
 from tabloom.operators.coerce import drop_null_target, numeric_columns
-from tabloom.operators.profile import value_counts, with_ranks
+from tabloom.operators.profile import rank_correlation, value_counts, with_ranks
 from tabloom.operators.realism import topk_shares
 
 
@@ -118,10 +118,11 @@ def label_as_int(df: DataFrame, label: str):
 def explain_numeric(df: DataFrame, label: str, columns: list[str], top: int = 3) -> DataFrame:
     """(field, rho): rank correlation with the label, strongest first; constant columns are skipped."""
     filled = df.select(label_as_int(df, label).alias("_y"), *[F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).alias(c) for c in columns])
-    ranked = with_ranks(filled, ["_y", *columns])
-    one = ranked.agg(*[F.corr(f"rank_{c}", "rank__y").alias(c) for c in columns], *[(F.min(c) != F.max(c)).alias(f"{c}|v") for c in columns])
+    ranked, n = with_ranks(filled, ["_y", *columns])
+    spread = [(F.min(c) != F.max(c)).alias(f"{c}|v") for c in columns]
+    one = rank_correlation(ranked, n, [(c, "_y") for c in columns], list(columns), *spread)
     cells = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("rho"), F.col(f"`{c}|v`").alias("varies")) for c in columns])
-    rows = one.select(F.explode(cells).alias("c")).select("c.*").where(F.col("varies") & F.col("rho").isNotNull() & ~F.isnan("rho"))
+    rows = one.select(F.explode(cells).alias("c")).select("c.*").where(F.col("varies") & F.col("rho").isNotNull())
     return rows.select("field", "rho").orderBy(F.desc(F.abs("rho")), "field").limit(top)
 
 

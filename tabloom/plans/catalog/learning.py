@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.rng import uniform
 from tabloom.operators import learn as L, profile as P, relational as R
-from tabloom.operators.order import value_ranks
+from tabloom.operators.order import run_lengths
 from tabloom.plans.catalog.registry import average_rank, query, rounded, table, u, z
 from tabloom.plans.catalog.specs import LINE_LEARNING, ORDER_LEARNING, SEED
 from tabloom.sources.runtime import materialize, scratch_path
@@ -50,8 +50,8 @@ d AS (SELECT event_id, CAST(floor({u(SEED, 'draw', 'event_id')} * ((SELECT count
 SELECT event_id, v FROM d JOIN s USING (i)""")
 def empirical_quantile_map(spark, sf):
     draws = table(spark, sf, "events").select("event_id", uniform(SEED, "draw", "event_id").alias("draw"))
-    ranks = value_ranks(table(spark, sf, "orders"), "o_totalprice")
-    return R.empirical_quantile_map(draws, "draw", ranks, "v").select("event_id", "v")
+    runs = run_lengths(table(spark, sf, "orders"), ["o_totalprice"])
+    return R.empirical_quantile_map(draws, "draw", runs, "v").select("event_id", "v")
 
 
 # The reordered columns keep their values, whatever the ranks: their sums and ranges must not move.
@@ -75,7 +75,7 @@ def copula_sample(spark, sf):
     cols = ["l_quantity", "l_extendedprice", "l_discount"]
     li = table(spark, sf, "lineitem")
     covariance = R.square(P.gaussian_covariance(li, cols), cols)
-    quantiles = materialize(L.empirical_quantiles(li, cols), "quantiles")
+    quantiles = materialize(run_lengths(li, cols), "quantiles")
     return R.copula_sample(line_ids(spark, sf), covariance, quantiles, cols, SEED)
 
 

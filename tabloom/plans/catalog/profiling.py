@@ -244,7 +244,7 @@ WITH r AS (SELECT o_orderkey, {rank_sql('o_totalprice')} AS r FROM orders),
 p AS (SELECT o_orderkey, greatest(1e-10, least(1e0 - 1e-10, (r - 0.5e0) / (SELECT count(*) FROM r))) AS p FROM r)
 SELECT o_orderkey, round({ppf('p')}, 6) AS z_o_totalprice FROM p""")
 def normal_scores(spark, sf):
-    return rounded(P.with_normal_scores(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice"]).select("o_orderkey", "z_o_totalprice"))
+    return rounded(P.with_normal_scores(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice"], "o_orderkey")[0].select("o_orderkey", "z_o_totalprice"))
 
 
 # ---- chart tables
