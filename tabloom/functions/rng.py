@@ -26,23 +26,45 @@ def subseed(seed: int | str, label: str) -> int:
     return normalize_seed(f"{normalize_seed(seed)}::{label}")
 
 
+def _digits(seed: int | str, label: str, ids: tuple) -> Column:
+    """The 32 hexadecimal md5 digits of (seed, label, ids)."""
+    cols = [F.col(i) if isinstance(i, str) else i for i in ids]
+    return F.md5(F.concat_ws(":", F.lit(f"{seed}:{label}"), *[c.cast("string") for c in cols]))
+
+
+def _share(digits: Column, start: int) -> Column:
+    """13 digits as a double in [0, 1)."""
+    return F.conv(F.substring(digits, start, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
 def uniform(seed: int | str, label: str, *ids: Column | str, method: str = "md5") -> Column:
     """Uniform double in [0, 1) from 52 hash bits."""
-    cols = [F.col(i) if isinstance(i, str) else i for i in ids]
     if method == "xxhash64":
+        cols = [F.col(i) if isinstance(i, str) else i for i in ids]
         h = F.xxhash64(F.lit(normalize_seed(seed) & 0x7FFFFFFFFFFFFFFF), F.lit(label), *cols)
         return F.shiftrightunsigned(h, 12).cast("double") / F.lit(float(1 << 52))
-    key = F.concat_ws(":", F.lit(f"{seed}:{label}"), *[c.cast("string") for c in cols])
-    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    return _share(_digits(seed, label, ids), 1)
 
 
 def normal(seed: int | str, label: str, *ids: Column | str, method: str = "md5") -> Column:
-    """Standard normal by Box-Muller; ``1 - u`` keeps the logarithm finite."""
-    u1 = uniform(seed, f"{label}/a", *ids, method=method)
-    u2 = uniform(seed, f"{label}/b", *ids, method=method)
+    """Standard normal by Box-Muller; ``1 - u`` keeps the logarithm finite.
+
+    Both uniforms come from one md5 (digits 1-13 and 14-26).
+    """
+    if method == "xxhash64":
+        u1, u2 = (uniform(seed, f"{label}/{part}", *ids, method=method) for part in ("a", "b"))
+    else:
+        d = _digits(seed, label, ids)
+        u1, u2 = _share(d, 1), _share(d, 14)
     return F.sqrt(F.lit(-2.0) * F.ln(F.lit(1.0) - u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
 
 
+def octets(seed: int | str, label: str, *ids: Column | str) -> list[Column]:
+    """Four numbers 0..255 from one md5."""
+    d = _digits(seed, label, ids)
+    return [F.conv(F.substring(d, 2 * i + 1, 2), 16, 10) for i in range(4)]
+
+
 def laplace(u: Column, scale: Column | float) -> Column:
     """Laplace(0, scale) by inversion; the half-step offset keeps u away from 0."""
     scale = F.lit(float(scale)) if isinstance(scale, (int, float)) else scale
@@ -84,9 +106,13 @@ def cumulative(probs) -> list[float]:
 
 
 def weighted_choice(values: list, probs: list | None, u: Column) -> Column:
-    """Inverse CDF over a short driver-side list; no probabilities means uniform."""
-    cum = cumulative(probs if probs else [1.0] * len(values))
-    out = F.lit(values[-1])
-    for value, edge in list(zip(values, cum))[-2::-1]:
-        out = F.when(u < F.lit(edge), F.lit(value)).otherwise(out)
-    return out
+    """Inverse CDF over a short driver-side list; no probabilities means uniform.
+
+    The position is a plain sum of comparisons, so the draw is evaluated once per row.
+    """
+    edges = cumulative(probs if probs else [1.0] * len(values))[:-1]
+    if len(edges) > 32:
+        place = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= u))
+    else:
+        place = sum(((u >= F.lit(e)).cast("int") for e in edges), F.lit(0))
+    return F.element_at(F.array(*[F.lit(v) for v in values]), place + 1)

@@ -15,6 +15,7 @@ from tabloom.functions.rng import (
     bijection,
     choose,
     normal,
+    octets,
     subseed,
     uniform,
     weighted_choice,
@@ -125,12 +126,8 @@ def email(idc: Column, seed, label: str, method="md5") -> Column:
     )
 
 
-def ipv4(idc: Column, seed, label: str, method="md5") -> Column:
-    parts = [
-        F.floor(uniform(seed, f"{label}/{i}", idc, method=method) * F.lit(256.0)).cast("string")
-        for i in range(4)
-    ]
-    return F.concat_ws(".", *parts)
+def ipv4(idc: Column, seed, label: str) -> Column:
+    return F.concat_ws(".", *octets(seed, label, idc))
 
 
 def sprinkle_nulls(value: Column, idc: Column, seed, label: str, share: float, method="md5") -> Column:
@@ -273,7 +270,7 @@ def independent_column(f: FieldSpec, spec: TableSpec, seed, idc: Column, n: int
     if f.type == "datetime":
         return datetime_uniform(idc, seed, f.name, f.min, f.max, method)
     if f.type == "ip":
-        return ipv4(idc, seed, f.name, method)
+        return ipv4(idc, seed, f.name)
     examples = (spec.metadata.get("crawl_examples") or {}).get(f.name)
     if examples:
         return choose([str(e) for e in examples], uniform(seed, f"examples/{f.name}", idc, method=method))

@@ -82,37 +82,37 @@ def prefix_sums(
     weights: list[str],
     cuts: dict[str, list] | list,
     group: str | None = None,
-    ties: list[str] | None = None,
+    neighbours: bool = False,
 ) -> DataFrame:
-    """Add ``<w>_before`` (sum over smaller rows) and ``<w>_total`` for each weight column.
+    """Add ``<w>_before`` (sum over smaller values) and ``<w>_total`` for each weight column.
 
-    ``df`` holds one row per (group, value, ties...); ``cuts`` is keyed by group if there is one.
-    ``_bucket`` stays in the result.
+    ``df`` holds one row per (group, value); ``cuts`` is keyed by group if there is one. With
+    ``neighbours`` the next smaller and larger values come along as ``previous`` and ``next``.
     """
     keys = [group] if group else []
     b = with_bucket(df, value, cuts, group)
     # One row per bucket: at most len(cuts) + 1 rows per group, so it may be broadcast.
-    totals = b.groupBy(*keys, "_bucket").agg(*[F.sum(w).alias(f"_s_{w}") for w in weights])
+    ends = [F.min(value).alias("_lo"), F.max(value).alias("_hi")] if neighbours else []
+    totals = b.groupBy(*keys, "_bucket").agg(*[F.sum(w).alias(f"_s_{w}") for w in weights], *ends)
     over = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    earlier = over.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    line = over.orderBy("_bucket")
+    earlier = line.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *keys,
         "_bucket",
         *[F.coalesce(F.sum(f"_s_{w}").over(earlier), F.lit(0)).alias(f"_o_{w}") for w in weights],
         *[F.sum(f"_s_{w}").over(over).alias(f"{w}_total") for w in weights],
+        *([F.lag("_hi").over(line).alias("_prev_hi"), F.lead("_lo").over(line).alias("_next_lo")] if neighbours else []),
     )
-    inside = (
-        Window.partitionBy(*keys, "_bucket")
-        .orderBy(value, *(ties or []))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    ran = b.select(
-        "*", *[F.coalesce(F.sum(w).over(inside), F.lit(0)).alias(f"_r_{w}") for w in weights]
-    )
+    ordered = Window.partitionBy(*keys, "_bucket").orderBy(value)
+    inside = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    near = [F.lag(value).over(ordered).alias("_prev"), F.lead(value).over(ordered).alias("_next")] if neighbours else []
+    ran = b.select("*", *[F.coalesce(F.sum(w).over(inside), F.lit(0)).alias(f"_r_{w}") for w in weights], *near)
     out = ran.join(F.broadcast(offsets), [*keys, "_bucket"])
-    for w in weights:
-        out = out.withColumn(f"{w}_before", F.col(f"_r_{w}") + F.col(f"_o_{w}"))
-    return out.drop(*[f"_r_{w}" for w in weights], *[f"_o_{w}" for w in weights])
+    done = [F.coalesce("_prev", "_prev_hi").alias("previous"), F.coalesce("_next", "_next_lo").alias("next")] if neighbours else []
+    return out.select(
+        *df.columns, *[f"{w}_total" for w in weights],
+        *[(F.col(f"_r_{w}") + F.col(f"_o_{w}")).alias(f"{w}_before") for w in weights], *done)
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], q: float, weight: str | None = None) -> DataFrame:
@@ -138,17 +138,11 @@ def exact_quantiles(df: DataFrame, columns: list[str], q: float, weight: str | N
     ).select("field", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("q_value"))
 
 
-def value_ranks(df: DataFrame, column: str, cuts: list[float] | None = None) -> DataFrame:
-    """(value, n, n_before, n_total, rank) per distinct non-null value; rank averages ties."""
-    cuts = cut_points(df, [column])[column] if cuts is None else cuts
-    counts = (
-        df.where(F.col(column).isNotNull())
-        .groupBy(F.col(column).alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return prefix_sums(counts, "value", ["n"], cuts).withColumn(
-        "rank", F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)
-    )
+def neighbour_gaps(df: DataFrame, column: str) -> DataFrame:
+    """(value, n, gap): distance of each distinct value to its nearest other value, null if there is none."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    near = prefix_sums(counts, "value", ["n"], cut_points(df, [column])[column], neighbours=True)
+    return near.select("value", "n", F.least(F.col("value") - F.col("previous"), F.col("next") - F.col("value")).alias("gap"))
 
 
 # ---- row positions ----------------------------------------------------------------------------
@@ -224,6 +218,8 @@ def add_rank(df: DataFrame, column: str, plan: OrderPlan, salt: Column, out: str
     """
     placed = _placed(df, column, plan.edges, plan.hot, plan.salts, salt)
     w = F.col(weight) if weight else F.lit(1)
+    # Nulls take part in nothing; they are spread over buckets of their own.
+    placed = placed.withColumn("_b", F.when(F.col("_x").isNull(), F.lit(-1) - F.pmod(salt, F.lit(64)).cast("int")).otherwise(F.col("_b")))
     upto = Window.partitionBy("_b", "_slot").orderBy("_x")
     peers = Window.partitionBy("_b", "_slot", "_x")
     starts = F.get(_literal(plan.before, "array<array<bigint>>"), F.col("_b"))
@@ -231,7 +227,7 @@ def add_rank(df: DataFrame, column: str, plan: OrderPlan, salt: Column, out: str
     if plan.hot:
         first, end = F.get(starts, 0), F.element_at(starts, -1)
         cold = F.when(F.col("_hot"), first + (end - first + 1) / F.lit(2.0)).otherwise(cold)
-    return placed.withColumn(out, cold).drop("_x", "_b", "_hot", "_slot")
+    return placed.withColumn(out, F.when(F.col("_x").isNotNull(), cold)).drop("_x", "_b", "_hot", "_slot")
 
 
 def average_rank(df: DataFrame, column: str, out: str = "rank") -> DataFrame:
@@ -324,21 +320,3 @@ def columns_at(runs: DataFrame, asks: DataFrame, position: str, key: str, column
     """(key, columns...): one row per key from asks (field, position, key) of evenly spread positions."""
     found = values_at(runs, asks, position, [key])
     return found.groupBy(key).agg(*[F.max(F.when(F.col("field") == c, F.col("value"))).alias(c) for c in columns])
-
-
-def neighbour_gaps(ranks: DataFrame, column: str = "value") -> DataFrame:
-    """Distance of each distinct value to its nearest other value (null if there is none).
-
-    Neighbours across a bucket edge come from the bucket minima and maxima (a few thousand rows).
-    """
-    inside = Window.partitionBy("_bucket").orderBy(column)
-    edges = ranks.groupBy("_bucket").agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
-    over = Window.partitionBy(F.lit(0)).orderBy("_bucket")
-    edges = edges.select(
-        "_bucket", F.lag("_hi").over(over).alias("_prev_hi"), F.lead("_lo").over(over).alias("_next_lo")
-    )
-    near = ranks.withColumn("_p", F.lag(column).over(inside)).withColumn("_n", F.lead(column).over(inside))
-    near = near.join(F.broadcast(edges), "_bucket")
-    below = F.col(column) - F.coalesce("_p", "_prev_hi")
-    above = F.coalesce("_n", "_next_lo") - F.col(column)
-    return near.withColumn("gap", F.least(below, above)).drop("_p", "_n", "_prev_hi", "_next_lo")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tabloom.functions.rng import laplace, uniform
 from tabloom.operators.coerce import numeric_columns, standardize
-from tabloom.operators.order import exact_quantiles, key_index, neighbour_gaps, value_ranks
+from tabloom.operators.order import exact_quantiles, key_index, neighbour_gaps
 from tabloom.sources.runtime import materialize
 
 BLOCK = 2048  # attackers handled per pass; more are done in further passes
@@ -139,7 +139,7 @@ def knn_mixed_distance(attackers: DataFrame, pool: DataFrame, numeric: list[str]
 
 def self_nn_distances_1d(df: DataFrame, column: str) -> DataFrame:
     """(distance, n): exact for one column, from the global order of its distinct values."""
-    gaps = neighbour_gaps(value_ranks(df, column))
+    gaps = neighbour_gaps(df, column)
     return gaps.select(F.when(F.col("n") > 1, F.lit(0.0)).otherwise(F.col("gap")).alias("distance"), "n").where(
         F.col("distance").isNotNull())
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabloom.operators.coerce import coerce_column, drop_incomplete_numeric, numeric_columns
-from tabloom.functions.special import norm_ppf
+from tabloom.functions.special import with_norm_ppf
 from tabloom.operators.order import add_rank, cut_points, exact_quantiles, order_plans, prefix_sums
 from tabloom.spec import TableSpec
 
@@ -327,32 +327,33 @@ def realism_quick_score(df: DataFrame, spec: TableSpec, role: str = "role", sala
 # ---- correlation ------------------------------------------------------------------------------
 
 
-def with_ranks(df: DataFrame, columns: list[str], key: str | None = None) -> tuple[DataFrame, int]:
-    """(rows with ``rank_<c>`` and weight ``_w``, number of complete rows).
+def with_ranks(df: DataFrame, columns: list[str], key: str | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """(rows with ``rank_<c>`` and weight ``_w``, number of values per column).
 
-    With a unique ``key`` the rows stay single rows; without one, rows with equal values are counted
-    first, which is all that a correlation needs.
+    With a unique ``key`` the rows stay single rows and a null gets no rank. Without one, incomplete rows
+    are dropped and equal rows are counted first, which is all that a correlation needs.
     """
-    base = df.na.drop(subset=columns)
-    rows = (
-        base.withColumn("_w", F.lit(1).cast("long")) if key
-        else base.select(*columns).groupBy(*columns).agg(F.count(F.lit(1)).alias("_w"))
-    )
+    if key:
+        base = df
+        rows = df.withColumn("_w", F.lit(1).cast("long"))
+    else:
+        base = df.select(*columns).na.drop()
+        rows = base.groupBy(*columns).agg(F.count(F.lit(1)).alias("_w"))
     salt = F.xxhash64(key) if key else F.xxhash64(*columns)
     plans = order_plans(base, columns, salt)
     for c in columns:
         rows = add_rank(rows, c, plans[c], salt, f"rank_{c}", "_w")
-    return rows, plans[columns[0]].total
+    return rows, {c: p.total for c, p in plans.items()}
 
 
-def rank_correlation(ranked: DataFrame, n: int, pairs: list[tuple[str, str]], names: list[str], *extra) -> DataFrame:
+def rank_correlation(ranked: DataFrame, n: dict[str, int], pairs: list[tuple[str, str]], names: list[str], *extra) -> DataFrame:
     """One row with the weighted correlation of each pair of ranks; undefined is null.
 
     Ranks are centred on their known mean (n + 1) / 2 before they are multiplied.
     """
-    w, mid = F.col("_w"), F.lit((n + 1) / 2.0)
+    w = F.col("_w")
     used = sorted({c for p in pairs for c in p})
-    centred = ranked.withColumns({f"_d_{c}": F.col(f"rank_{c}") - mid for c in used})
+    centred = ranked.withColumns({f"_d_{c}": F.col(f"rank_{c}") - F.lit((n[c] + 1) / 2.0) for c in used})
     sums = centred.agg(
         *[F.sum(w * F.col(f"_d_{a}") * F.col(f"_d_{b}")).alias(f"_ab{i}") for i, (a, b) in enumerate(pairs)],
         *[F.sum(w * F.col(f"_d_{c}") * F.col(f"_d_{c}")).alias(f"_ss_{c}") for c in used], *extra)
@@ -381,13 +382,17 @@ def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def with_normal_scores(df: DataFrame, columns: list[str], key: str | None = None) -> tuple[DataFrame, int]:
-    """:func:`with_ranks` plus ``z_<c>``, the inverse normal of (rank - 0.5) / n inside (1e-10, 1 - 1e-10)."""
+    """:func:`with_ranks` of complete rows plus ``z_<c>``, the inverse normal of (rank - 0.5) / n.
+
+    The share is kept inside (1e-10, 1 - 1e-10); the second result is the number of rows.
+    """
+    df = df.na.drop(subset=columns)
     ranked, n = with_ranks(df, columns, key)
-    shares = {
-        f"_p_{c}": F.greatest(F.lit(1e-10), F.least(F.lit(1 - 1e-10), (F.col(f"rank_{c}") - F.lit(0.5)) / F.lit(float(max(n, 1)))))
+    edge = 1e-10
+    p = {
+        f"z_{c}": F.greatest(F.lit(edge), F.least(F.lit(1 - edge), (F.col(f"rank_{c}") - F.lit(0.5)) / F.lit(float(max(n[c], 1)))))
         for c in columns}
-    scored = ranked.withColumns(shares).withColumns({f"z_{c}": norm_ppf(F.col(f"_p_{c}")) for c in columns})
-    return scored.drop(*shares), n
+    return with_norm_ppf(ranked, p), n[columns[0]]
 
 
 def weighted_covariance(scored: DataFrame, columns: list[str], n: int, prefix: str = "z_") -> DataFrame:

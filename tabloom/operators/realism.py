@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tabloom.functions.special import chi2_sf, kolmogorov_pvalue
 from tabloom.operators.order import cut_points, prefix_sums
 from tabloom.operators.profile import rank_correlation, stack_rows, with_ranks
+from tabloom.sources.runtime import materialize
 
 # Weights of the contribution and of the composite score.
 NUM_CONTRIB = (0.5, 0.3, 0.2)
@@ -29,33 +30,20 @@ def empirical_steps(samples: DataFrame, reference: DataFrame, columns: list[str]
     whatever their number.
     """
     names = [f"g{i}" for i in range(candidates)]
-    tag = F.col(candidate) if candidate else F.lit(0)
-    gen = _numeric_cells(samples.withColumn("_tag", tag), columns, ["_tag"])
-    gen = gen.groupBy("field", "value").agg(
-        *[F.count_if(F.col("_tag") == i).alias(n) for i, n in enumerate(names)], F.lit(0).cast("long").alias("r"))
-    ref = _numeric_cells(reference, columns).groupBy("field", "value").agg(F.count(F.lit(1)).alias("r"))
-    ref = ref.select("field", "value", *[F.lit(0).cast("long").alias(n) for n in names], "r")
-    weights = [*names, "r"]
+    tag = F.col(candidate).cast("int") if candidate else F.lit(0)
+    cells = _numeric_cells(samples.withColumn("_tag", tag), columns, ["_tag"]).unionByName(
+        _numeric_cells(reference.withColumn("_tag", F.lit(-1)), columns, ["_tag"]))
+    counts = cells.groupBy("field", "value").agg(
+        *[F.count_if(F.col("_tag") == i).alias(n) for i, n in enumerate(names)], F.count_if(F.col("_tag") == -1).alias("r"))
     cuts_g, cuts_r = cut_points(samples, columns), cut_points(reference, columns)
     cuts = {c: sorted(set(cuts_g[c]) | set(cuts_r[c])) for c in columns}
-    counts = gen.unionByName(ref).groupBy("field", "value").agg(*[F.sum(w).alias(w) for w in weights])
-    ran = prefix_sums(counts, "value", weights, cuts, group="field")
-    edges = ran.groupBy("field", "_bucket").agg(F.min("value").alias("_lo"))
-    # One row per bucket and column, so this window and this broadcast stay small.
-    edges = edges.select("field", "_bucket", F.lead("_lo").over(Window.partitionBy("field").orderBy("_bucket")).alias("_next_lo"))
-    inside = Window.partitionBy("field", "_bucket").orderBy("value")
-    return (
-        ran.withColumn("_next", F.lead("value").over(inside))
-        .join(F.broadcast(edges), ["field", "_bucket"])
-        .withColumn("next_value", F.coalesce("_next", "_next_lo"))
-        .drop("_next", "_next_lo", "_bucket")
-    )
+    return prefix_sums(counts, "value", [*names, "r"], cuts, group="field", neighbours=True)
 
 
 def ks_and_emd_many(samples: DataFrame, reference: DataFrame, columns: list[str], candidates: int = 1, candidate: str | None = None) -> DataFrame:
     """(candidate, field, n_gen, n_ref, ks_stat, ks_pvalue, emd) for every numbered sample."""
     steps = empirical_steps(samples, reference, columns, candidates, candidate)
-    width = F.col("next_value") - F.col("value")
+    width = F.col("next") - F.col("value")
     fr = (F.col("r_before") + F.col("r")) / F.col("r_total")
     aggs = [F.max("r_total").alias("n_ref")]
     for i in range(candidates):
@@ -98,16 +86,15 @@ def align_pairs(generated: DataFrame, reference: DataFrame, columns: list[str],
 def paired_spearman(generated: DataFrame, reference: DataFrame, columns: list[str], key: str) -> DataFrame:
     """(field, rho): rank correlation of the paired values; undefined read as 0."""
     pairs = align_pairs(generated, reference, columns, key)
-    parts = []
+    masked = {}
     for c in columns:
-        two = [f"gen_{c}", f"ref_{c}"]
-        ranked, n = with_ranks(pairs.select(*two), two)
-        rho = rank_correlation(ranked, n, [(two[0], two[1])], ["rho"])
-        parts.append(rho.select(F.lit(c).alias("field"), F.coalesce("rho", F.lit(0.0)).alias("rho")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        both = F.col(f"gen_{c}").isNotNull() & F.col(f"ref_{c}").isNotNull()
+        masked.update({f"{side}_{c}": F.when(both, F.col(f"{side}_{c}").cast("double")) for side in ("gen", "ref")})
+    # The joined pairs are read by two planning scans and the ranking, so they are written once.
+    pairs = materialize(pairs.select(key, *[v.alias(k) for k, v in masked.items()]), "pairs")
+    ranked, n = with_ranks(pairs, list(masked), key)
+    one = rank_correlation(ranked, n, [(f"gen_{c}", f"ref_{c}") for c in columns], list(columns))
+    return stack_rows(one, [{"field": F.lit(c), "rho": F.coalesce(F.col(f"`{c}`"), F.lit(0.0))} for c in columns])
 
 
 def side_moments(generated: DataFrame, reference: DataFrame, columns: list[str]) -> DataFrame:

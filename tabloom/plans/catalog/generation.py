@@ -8,13 +8,13 @@ from tabloom.functions import constants as K
 from tabloom.functions.rng import choose, subseed, uniform
 from tabloom.operators import generate as G
 from tabloom.operators.order import key_index
-from tabloom.plans.catalog.registry import choice, listed, query, rounded, table, u, uuid, z
+from tabloom.plans.catalog.registry import choice, digits, listed, query, rounded, table, u, uuid, wide, z
 from tabloom.plans.catalog.specs import SEED, SEGMENT_PROBS, SEGMENTS
 from tabloom.spec import TableSpec
 
 
 def ids(spark, sf):
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("_id"))
+    return wide(spark, sf, "orders", "o_orderkey", "o_orderkey").toDF("_id")
 
 
 def of(column: str) -> str:
@@ -100,7 +100,8 @@ def gen_from_examples(i):
     return choose(["Oslo", "Lima", "Pune", "Kyiv", "Graz"], uniform(SEED, "examples/city", i))
 
 
-IP_PARTS = ", ".join(f"CAST(CAST(floor({u(SEED, f'ip/{k}', ID_SQL)} * 256.0e0) AS BIGINT) AS VARCHAR)" for k in range(4))
+IP = digits(SEED, "ip", ID_SQL)
+IP_PARTS = ", ".join(f"CAST(CAST('0x' || substr({IP}, {2 * k + 1}, 2) AS BIGINT) AS VARCHAR)" for k in range(4))
 
 
 @single("gen_ipv4", of(f"concat_ws('.', {IP_PARTS})"))

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from tabloom.functions.rng import uniform
 from tabloom.operators import learn as L, profile as P, relational as R
 from tabloom.operators.order import run_lengths
-from tabloom.plans.catalog.registry import average_rank, query, rounded, table, u, z
+from tabloom.plans.catalog.registry import average_rank, query, rounded, table, u, wide, z
 from tabloom.plans.catalog.specs import LINE_LEARNING, ORDER_LEARNING, SEED
 from tabloom.sources.runtime import materialize, scratch_path
 
 
 def line_ids(spark, sf):
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("_id"))
+    return wide(spark, sf, "orders", "o_orderkey", "o_orderkey").toDF("_id")
 
 
 @query("lookup_conditional_numeric", f"""

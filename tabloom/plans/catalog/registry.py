@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tabloom.sources.runtime import spread
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -24,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:
+    """A table whose rows cost much work each, dealt over the cores if its files are few."""
+    df = table(spark, sf_dir, name)
+    return spread(df.select(*columns) if columns else df, key)
+
+
 def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
     """Round all double columns; ``special`` gives single columns another precision."""
     kinds = dict(df.dtypes)
@@ -35,12 +43,21 @@ def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
 
 
 def u(seed, label: str, *ids: str) -> str:
+    return share(digits(seed, label, *ids), 1)
+
+
+def digits(seed, label: str, *ids: str) -> str:
     cells = ", ".join(f"CAST({i} AS VARCHAR)" for i in ids)
-    return f"(CAST('0x' || substr(md5(concat_ws(':', '{seed}:{label}', {cells})), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE))"
+    return f"md5(concat_ws(':', '{seed}:{label}', {cells}))"
+
+
+def share(text: str, start: int, size: int = 13) -> str:
+    return f"(CAST('0x' || substr({text}, {start}, {size}) AS BIGINT) / CAST({16 ** size} AS DOUBLE))"
 
 
 def z(seed, label: str, *ids: str) -> str:
-    return f"(sqrt(-2.0e0 * ln(1.0e0 - {u(seed, label + '/a', *ids)})) * cos({2.0 * math.pi!r}e0 * {u(seed, label + '/b', *ids)}))"
+    d = digits(seed, label, *ids)
+    return f"(sqrt(-2.0e0 * ln(1.0e0 - {share(d, 1)})) * cos({2.0 * math.pi!r}e0 * {share(d, 14)}))"
 
 
 def choice(values: list, probs: list | None, draw: str) -> str:

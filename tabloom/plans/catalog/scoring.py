@@ -11,6 +11,7 @@ from tabloom.operators.order import key_index
 from tabloom.plans.catalog.registry import average_rank, choice, query, rounded, table, u
 from tabloom.plans.catalog.specs import PRIORITIES, SEED, SEGMENT_PROBS, SEGMENTS, STATUSES, SYNTHETIC_CUSTOMER
 from tabloom.plans.catalog.tables import SYNTHETIC_SQL, synthetic_orders
+from tabloom.sources.runtime import materialize
 from tabloom.spec import TableSpec
 
 NUM, CAT = ["o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"]
@@ -18,7 +19,8 @@ NUM, CAT = ["o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"]
 
 def sides(spark, sf):
     """Generated and reference orders with a common key."""
-    gen = synthetic_orders(spark, sf).withColumnRenamed("_id", "o_orderkey")
+    # As in a full run: generate once, write, then score the written table.
+    gen = materialize(synthetic_orders(spark, sf).withColumnRenamed("_id", "o_orderkey"), "synthetic")
     return gen, table(spark, sf, "orders").select("o_orderkey", *NUM, *CAT)
 
 
@@ -40,10 +42,10 @@ SELECT '{c}' AS field, CAST(max(tg) AS BIGINT) AS n_gen, CAST(max(tr) AS BIGINT)
   WINDOW w AS (ORDER BY v ROWS UNBOUNDED PRECEDING))"""
 
 
-def kolmogorov_sql(d: str, n1: str, n2: str, terms: int = 30) -> str:
+def kolmogorov_sql(d: str, n1: str, n2: str, terms: int = 60) -> str:
     x = f"({d} * sqrt(CAST({n1} AS DOUBLE) * {n2} / (CAST({n1} AS DOUBLE) + {n2})))"
     series = " + ".join(f"({2.0 * (-1) ** (k - 1)!r}e0 * exp({-2.0 * k * k!r}e0 * {x} * {x}))" for k in range(1, terms + 1))
-    return f"(CASE WHEN {x} < 0.2 THEN 1.0e0 ELSE least(1.0e0, greatest(0.0e0, {series})) END)"
+    return f"(CASE WHEN {x} < 0.1 THEN 1.0e0 ELSE least(1.0e0, greatest(0.0e0, {series})) END)"
 
 
 KS = f"WITH {GEN}, k AS ({union(ks_sql(c) for c in NUM)})"

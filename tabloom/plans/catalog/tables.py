@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabloom.operators import coerce as C, tables as U
 from tabloom.operators.generate import clamp as clamp_column
-from tabloom.plans.catalog.registry import choice, query, rounded, table, u
+from tabloom.plans.catalog.registry import choice, query, rounded, table, u, wide
 from tabloom.plans.catalog.specs import SEED, SEGMENT_PROBS, SEGMENTS, SYNTHETIC_ORDERS, STATUSES, STATUS_PROBS, PRIORITIES
 from tabloom.operators.generate import generate
 from tabloom.sources import tables as S
@@ -210,7 +210,7 @@ SELECT o_orderkey AS _id, CAST(0 + floor({u(SEED, 'o_custkey', 'o_orderkey')} *
 
 
 def synthetic_orders(spark, sf):
-    ids = table(spark, sf, "orders").select(F.col("o_orderkey").alias("_id"))
+    ids = wide(spark, sf, "orders", "o_orderkey", "o_orderkey").toDF("_id")
     return generate(spark, SYNTHETIC_ORDERS, SEED, ids=ids)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import patterns as X
 from tabloom.operators import priors_json as J, text as T
-from tabloom.plans.catalog.registry import query, rounded, table
+from tabloom.plans.catalog.registry import query, rounded, table, wide
 
 
 def q(text: str) -> str:
@@ -38,12 +38,12 @@ def unspelled(column: str) -> str:
 
 @query("page_text_source")
 def page_text_source(spark, sf):
-    return T.page_text_source(table(spark, sf, "pages"))
+    return T.page_text_source(wide(spark, sf, "pages", "page_id"))
 
 
 @query("redact_pii_page", f"SELECT doc_id, {unspelled(chained(spelled('text'), X.PAGE_PII))} AS text FROM documents")
 def redact_pii_page(spark, sf):
-    return T.redact_pii_page(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    return T.redact_pii_page(wide(spark, sf, "documents", "doc_id", "doc_id", "text"), "text")
 
 
 def counted_sql(source: str) -> str:
@@ -61,20 +61,20 @@ LAST = f"s{len(KINDS) - 1}"
 # Here the plain classes serve both sides.
 @query("redact_pii_counts", f"WITH {counted_sql('documents')} SELECT doc_id, text, {', '.join(f'CAST(n_{k} AS INTEGER) AS n_{k}' for k in KINDS)} FROM {LAST}")
 def redact_pii_counts(spark, sf):
-    return T.redact_pii_counts(table(spark, sf, "documents").select("doc_id", "text"), "text", unicode=False)
+    return T.redact_pii_counts(wide(spark, sf, "documents", "doc_id", "doc_id", "text"), "text", unicode=False)
 
 
 @query("pii_summary", f"WITH {counted_sql('documents')} " + " UNION ALL ".join(
     f"SELECT lang, source, '{k}' AS kind, count_if(n_{k} > 0) AS rows_hit, CAST(sum(n_{k}) AS BIGINT) AS hits FROM {LAST} GROUP BY lang, source" for k in KINDS))
 def pii_summary(spark, sf):
-    return T.pii_summary(table(spark, sf, "documents"), "text", ["lang", "source"], unicode=False)
+    return T.pii_summary(wide(spark, sf, "documents", "doc_id"), "text", ["lang", "source"], unicode=False)
 
 
 @query("mine_numbers", f"""
 WITH h AS (SELECT unnest(regexp_extract_all(text, {q(X.NUMBER)}, 1)) AS hit FROM documents), x AS (SELECT try_cast(replace(hit, ',', '') AS DOUBLE) AS x FROM h)
 SELECT count(x) AS samples, round(avg(x), 2) AS mean, round(stddev_samp(x), 2) AS std, min(x) AS min, max(x) AS max FROM x WHERE x >= 1000 AND x <= 1e7""")
 def mine_numbers(spark, sf):
-    return rounded(T.mine_numbers(table(spark, sf, "documents"), "text", "salary"), 2)
+    return rounded(T.mine_numbers(wide(spark, sf, "documents", "doc_id"), "text", "salary"), 2)
 
 
 WORDS = ["tion", "ing", "ment", "und"]
@@ -85,7 +85,7 @@ WITH w AS (SELECT lower(unnest(regexp_extract_all(text, {q(X.TOKEN)}))) AS w FRO
 c AS (SELECT c AS value, count(*) AS samples FROM w JOIN (SELECT unnest({WORDS!r}) AS c) ON contains(w, c) GROUP BY 1)
 SELECT value, samples, round(samples / CAST(sum(samples) OVER () AS DOUBLE), 6) AS prob FROM c""")
 def mine_category_shares(spark, sf):
-    return rounded(T.mine_category_shares(table(spark, sf, "documents"), "text", "on", WORDS))
+    return rounded(T.mine_category_shares(wide(spark, sf, "documents", "doc_id"), "text", "on", WORDS))
 
 
 @query("mine_examples", f"""
@@ -95,7 +95,7 @@ k AS (SELECT doc_id, pos, {unspelled(chained(spelled('line'), X.PAGE_PII))} AS e
 f AS (SELECT example, min({{'d': doc_id, 'p': pos}}) AS place FROM k GROUP BY 1 ORDER BY place LIMIT 50)
 SELECT place.d AS doc_id, CAST(place.p AS INTEGER) AS pos, example FROM f""")
 def mine_examples(spark, sf):
-    return T.mine_examples(table(spark, sf, "documents"), "text", "doc_id", "salary")
+    return T.mine_examples(wide(spark, sf, "documents", "doc_id"), "text", "doc_id", "salary")
 
 
 @query("merge_mined_priors", f"""
@@ -106,7 +106,7 @@ SELECT b.field, round(CASE WHEN m.samples >= 5 THEN m.mean ELSE b.mean END, 2) A
   round(CASE WHEN m.samples >= 5 THEN greatest(b.min, m.min) ELSE b.min END, 2) AS min, round(CASE WHEN m.samples >= 5 THEN least(b.max, m.max) ELSE b.max END, 2) AS max
 FROM b LEFT JOIN m USING (field)""")
 def merge_mined_priors(spark, sf):
-    d = table(spark, sf, "documents")
+    d = wide(spark, sf, "documents", "doc_id")
     base = d.groupBy(F.col("lang").alias("field")).agg(
         F.avg("n_chars").alias("mean"), F.stddev_pop("n_chars").alias("std"), F.min("n_chars").cast("double").alias("min"), F.max("n_chars").cast("double").alias("max"))
     hits = d.select("lang", F.explode(F.regexp_extract_all("text", F.lit(X.NUMBER), F.lit(1))).alias("hit"))

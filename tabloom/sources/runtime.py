@@ -37,3 +37,12 @@ def shuffle_width(spark: SparkSession) -> int:
     """Number of ordered buckets for a global order: a few per shuffle partition, bounded."""
     width = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     return max(8, min(4096, 2 * width))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows over the cores by key when the scan yields fewer partitions than there are cores.
+
+    A large table has many more splits than cores and passes through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
