@@ -22,11 +22,11 @@ PPF_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00,
 PPF_LOW = 0.02425
 
 
-def poly(coefficients, x: Column) -> Column:
-    """Horner scheme, highest power first."""
-    out = F.lit(coefficients[0])
+def poly(coefficients, x: str) -> str:
+    """Horner scheme over a column name, highest power first."""
+    out = f"{coefficients[0]!r}D"
     for c in coefficients[1:]:
-        out = out * x + F.lit(c)
+        out = f"({out} * {x} + ({c!r}D))"
     return out
 
 
@@ -34,7 +34,10 @@ def norm_cdf(x: Column) -> Column:
     ax = F.abs(x)
     t = F.lit(1.0) / (F.lit(1.0) + F.lit(CDF_P) * ax)
     density = F.exp(-ax * ax / F.lit(2.0)) * F.lit(1.0 / math.sqrt(2.0 * math.pi))
-    upper = density * poly((*reversed(CDF_B), 0.0), t)
+    series = F.lit(CDF_B[-1])
+    for c in reversed(CDF_B[:-1]):
+        series = series * t + F.lit(c)
+    upper = density * series * t
     return F.when(x >= 0, F.lit(1.0) - upper).otherwise(upper)
 
 
@@ -44,16 +47,18 @@ def with_norm_ppf(df: DataFrame, outputs: dict[str, Column]) -> DataFrame:
     Shared terms are columns of their own step: written out in one expression they would repeat a dozen
     times and the generated code would outgrow the compiler's limit.
     """
-    for out, p in outputs.items():
-        tail = F.sqrt(F.lit(-2.0) * F.ln(F.least(F.col("_p"), F.lit(1.0) - F.col("_p"))))
-        df = df.withColumn("_p", p).withColumn("_q", F.col("_p") - F.lit(0.5)).withColumn("_r", F.col("_q") * F.col("_q"))
-        df = df.withColumn("_edge", F.abs("_q") > F.lit(0.5 - PPF_LOW)).withColumn("_t", F.when(F.col("_edge"), tail))
-        r, t = F.col("_r"), F.col("_t")
-        far = poly(PPF_C, t) / poly(PPF_D, t)
-        df = df.withColumn(out, F.when(F.col("_edge"), F.when(F.col("_q") < 0, far).otherwise(-far)).otherwise(
-            poly(PPF_A, r) * F.col("_q") / poly(PPF_B, r)))
-        df = df.drop("_p", "_q", "_r", "_edge", "_t")
-    return df
+    names = list(enumerate(outputs))
+    steps = df.withColumns({f"_p{i}": outputs[out] for i, out in names})
+    steps = steps.withColumns({f"_q{i}": F.expr(f"_p{i} - 0.5D") for i, _ in names})
+    steps = steps.withColumns({
+        **{f"_r{i}": F.expr(f"_q{i} * _q{i}") for i, _ in names},
+        **{f"_t{i}": F.expr(f"if(abs(_q{i}) > {0.5 - PPF_LOW!r}D, sqrt(-2.0D * ln(least(_p{i}, 1.0D - _p{i}))), null)") for i, _ in names}})
+    done = {
+        out: F.expr(
+            f"if(_t{i} is null, {poly(PPF_A, f'_r{i}')} * _q{i} / {poly(PPF_B, f'_r{i}')}, "
+            f"if(_q{i} < 0, 1.0D, -1.0D) * {poly(PPF_C, f'_t{i}')} / {poly(PPF_D, f'_t{i}')})")
+        for i, out in names}
+    return steps.withColumns(done).drop(*[f"_{k}{i}" for i, _ in names for k in "pqrt"])
 
 
 def kolmogorov_pvalue(d: Column, n1: Column, n2: Column) -> Column:

@@ -108,7 +108,8 @@ def prefix_sums(
     inside = ordered.rowsBetween(Window.unboundedPreceding, -1)
     near = [F.lag(value).over(ordered).alias("_prev"), F.lead(value).over(ordered).alias("_next")] if neighbours else []
     ran = b.select("*", *[F.coalesce(F.sum(w).over(inside), F.lit(0)).alias(f"_r_{w}") for w in weights], *near)
-    out = ran.join(F.broadcast(offsets), [*keys, "_bucket"])
+    # A left join: an inner one would push a null check to one side only and hide the shared shuffle.
+    out = ran.join(F.broadcast(offsets), [*keys, "_bucket"], "left")
     done = [F.coalesce("_prev", "_prev_hi").alias("previous"), F.coalesce("_next", "_next_lo").alias("next")] if neighbours else []
     return out.select(
         *df.columns, *[f"{w}_total" for w in weights],
