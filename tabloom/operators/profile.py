@@ -355,12 +355,13 @@ def rank_correlation(ranked: DataFrame, n: dict[str, int], pairs: list[tuple[str
     used = sorted({c for p in pairs for c in p})
     centred = ranked.withColumns({f"_d_{c}": F.col(f"rank_{c}") - F.lit((n[c] + 1) / 2.0) for c in used})
     sums = centred.agg(
+        F.sum(w).alias("_rows"),
         *[F.sum(w * F.col(f"_d_{a}") * F.col(f"_d_{b}")).alias(f"_ab{i}") for i, (a, b) in enumerate(pairs)],
         *[F.sum(w * F.col(f"_d_{c}") * F.col(f"_d_{c}")).alias(f"_ss_{c}") for c in used], *extra)
     rho = [
         F.try_divide(F.col(f"_ab{i}"), F.sqrt(F.col(f"_ss_{a}")) * F.sqrt(F.col(f"_ss_{b}"))).alias(name)
         for i, ((a, b), name) in enumerate(zip(pairs, names))]
-    done = [f"_ab{i}" for i in range(len(pairs))] + [f"_ss_{c}" for c in used]
+    done = ["_rows"] + [f"_ab{i}" for i in range(len(pairs))] + [f"_ss_{c}" for c in used]
     return sums.select("*", *rho).drop(*done)
 
 
