@@ -159,22 +159,30 @@ def conditional_normal(
 # ---- repairs ----------------------------------------------------------------------------------
 
 
+def _repeated(df: DataFrame, column: str, key: str) -> DataFrame:
+    """(_v, _first): the values held more than once with their first key.
+
+    Counting is combined before the shuffle and only repeated values stay, so this side is small when
+    repeats are rare and adaptive execution then leaves the rows where they are.
+    """
+    held = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v"))
+    return held.agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+
+
 def repair_unique(df: DataFrame, column: str, key: str = ID, passes: int = 2) -> DataFrame:
-    """Later duplicates (by ``key``) get the suffix ``_<key>``.
+    """Later duplicates (by ``key``) get the suffix ``_<key>``; the first holder keeps its value.
 
-    The first holder per value comes from a map-side combined minimum, not from a window, so a hot
-    value does not meet in one task. The second pass covers a repaired text that hits an original.
+    No window over a value: a hot value never meets in one task. The second pass covers a repaired text
+    that hits an original one, which only a text with a numeric suffix can do.
     """
     out = df.withColumn(column, F.col(column).cast("string"))
-    for _ in range(passes):
-        first = out.groupBy(F.col(column).alias("_v")).agg(F.min(key).alias("_first"))
+    for step in range(passes):
+        suspects = out if step == 0 else out.where(F.col(column).rlike("_-?[0-9]+$"))
+        again = F.col("_first").isNotNull() & (F.col(key) != F.col("_first"))
+        repeated = _repeated(suspects, column, key)
         out = (
-            out.join(first, out[column] == first["_v"], "left")
-            .withColumn(
-                column,
-                F.when(F.col(key) != F.col("_first"), F.concat(F.col(column), F.lit("_"), F.col(key).cast("string")))
-                .otherwise(F.col(column)),
-            )
+            out.join(repeated, out[column] == repeated["_v"], "left")
+            .withColumn(column, F.when(again, F.concat_ws("_", column, F.col(key).cast("string"))).otherwise(F.col(column)))
             .drop("_v", "_first")
         )
     return out
@@ -182,8 +190,8 @@ def repair_unique(df: DataFrame, column: str, key: str = ID, passes: int = 2) ->
 
 def repair_unique_int(df: DataFrame, column: str, key: str = ID) -> DataFrame:
     """Later duplicates move above the maximum, one by one, so the column stays an integer."""
-    first = df.groupBy(F.col(column).alias("_v")).agg(F.min(key).alias("_first"))
-    flagged = df.join(first, df[column] == first["_v"], "left").withColumn(
+    repeated = _repeated(df, column, key)
+    flagged = df.join(repeated, df[column] == repeated["_v"], "left").withColumn(
         "_dup", F.coalesce(F.col(key) != F.col("_first"), F.lit(False))
     ).drop("_v", "_first")
     top = df.agg(F.max(column).alias("t"))

@@ -160,54 +160,57 @@ def topk_pairs(generated: DataFrame, reference: DataFrame, columns: list[str], k
         "field", "value", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("q", F.lit(0.0)).alias("q"))
 
 
-def _js_terms(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Add ``_js``, each value's part of the Jensen-Shannon divergence of the smoothed shares."""
+def pair_statistics(pairs: DataFrame, by: list[str] = ("field",), total: float = 1e5) -> DataFrame:
+    """(by..., top_k_overlap, js_divergence, chi2, dof, pvalue) from :func:`topk_pairs`, in one grouping.
+
+    Jensen-Shannon over the smoothed shares (natural log); chi-square over the shares scaled to counts. A
+    value that rounds to zero on both sides makes that table invalid: statistic null, p-value 0.
+    """
+    by = list(by)
     w = Window.partitionBy(*by)
     eps = F.lit(1e-12)
-    s = pairs.withColumn("_a", (F.col("p") + eps) / F.sum(F.col("p") + eps).over(w)).withColumn(
-        "_b", (F.col("q") + eps) / F.sum(F.col("q") + eps).over(w))
+    rows = pairs.withColumns({"_p": F.col("p") + eps, "_q": F.col("q") + eps, "_o1": F.rint(F.col("p") * F.lit(total)), "_o2": F.rint(F.col("q") * F.lit(total))})
+    rows = rows.withColumns({f"_sum{c}": F.sum(c).over(w) for c in ("_p", "_q", "_o1", "_o2")})
+    rows = rows.withColumns({"_a": F.col("_p") / F.col("_sum_p"), "_b": F.col("_q") / F.col("_sum_q"), "_col": F.col("_o1") + F.col("_o2"), "_all": F.col("_sum_o1") + F.col("_sum_o2")})
     m = (F.col("_a") + F.col("_b")) / F.lit(2.0)
-    return s.withColumn("_js", F.lit(0.5) * (F.col("_a") * F.ln(F.col("_a") / m) + F.col("_b") * F.ln(F.col("_b") / m)))
+    js = F.lit(0.5) * (F.col("_a") * F.ln(F.col("_a") / m) + F.col("_b") * F.ln(F.col("_b") / m))
+    rows = rows.withColumns({"_js": js, "_e1": F.col("_sum_o1") * F.col("_col") / F.col("_all"), "_e2": F.col("_sum_o2") * F.col("_col") / F.col("_all")})
+
+    def term(o, e):
+        return F.try_divide((F.col(o) - F.col(e)) * (F.col(o) - F.col(e)), F.col(e))
+
+    g = rows.groupBy(*by).agg(
+        (F.count_if((F.col("p") > 0) & (F.col("q") > 0)) / F.count(F.lit(1))).alias("top_k_overlap"),
+        F.sum("_js").alias("js_divergence"),
+        F.sum(term("_o1", "_e1") + term("_o2", "_e2")).alias("_chi2"),
+        F.count(F.lit(1)).alias("_k"), F.count_if(F.col("_col") > 0).alias("_valid"))
+    ok, dof = F.col("_k") == F.col("_valid"), F.col("dof")
+    return g.withColumn("dof", (F.col("_k") - 1).cast("int")).select(
+        *by, "top_k_overlap", "js_divergence", F.when(ok, F.col("_chi2")).alias("chi2"), "dof",
+        F.when(~ok, F.lit(0.0)).when(dof == 0, F.lit(1.0)).otherwise(chi2_sf(F.col("_chi2"), dof)).alias("pvalue"))
 
 
 def topk_overlap_js(pairs: DataFrame, by: list[str] = ("field",)) -> DataFrame:
-    """(by..., top_k_overlap, js_divergence) from :func:`topk_pairs`."""
-    by = list(by)
-    both = F.count_if((F.col("p") > 0) & (F.col("q") > 0))
-    return _js_terms(pairs, by).groupBy(*by).agg(
-        (both / F.count(F.lit(1))).alias("top_k_overlap"), F.sum("_js").alias("js_divergence"))
+    return pair_statistics(pairs, by).select(*by, "top_k_overlap", "js_divergence")
 
 
-def contingency_chi2(pairs: DataFrame, by: list[str] = ("field",), total: float = 1e5) -> DataFrame:
-    """(by..., chi2, dof, pvalue) of the two share vectors scaled to counts.
+def contingency_chi2(pairs: DataFrame, by: list[str] = ("field",)) -> DataFrame:
+    return pair_statistics(pairs, by).select(*by, "chi2", "dof", "pvalue")
 
-    A value that rounds to zero on both sides makes the table invalid: statistic null, p-value 0.
-    """
-    by = list(by)
-    w = Window.partitionBy(*by)
-    obs = pairs.withColumn("_o1", F.rint(F.col("p") * F.lit(total))).withColumn("_o2", F.rint(F.col("q") * F.lit(total)))
-    obs = obs.withColumn("_r1", F.sum("_o1").over(w)).withColumn("_r2", F.sum("_o2").over(w))
-    col_sum, grand = F.col("_o1") + F.col("_o2"), F.col("_r1") + F.col("_r2")
-    e1, e2 = F.col("_r1") * col_sum / grand, F.col("_r2") * col_sum / grand
-    term = F.try_divide((F.col("_o1") - e1) * (F.col("_o1") - e1), e1) + F.try_divide((F.col("_o2") - e2) * (F.col("_o2") - e2), e2)
-    g = obs.withColumn("_t", term).groupBy(*by).agg(
-        F.sum("_t").alias("_chi2"), F.count(F.lit(1)).alias("_k"), F.count("_t").alias("_valid"))
-    ok = F.col("_k") == F.col("_valid")
-    dof = (F.col("_k") - 1).cast("int")
-    return g.select(
-        *by, F.when(ok, F.col("_chi2")).alias("chi2"), dof.alias("dof"),
-        F.when(~ok, F.lit(0.0)).when(dof == 0, F.lit(1.0)).otherwise(chi2_sf(F.col("_chi2"), dof)).alias("pvalue"))
+
+def category_score():
+    """Score of one category column from its :func:`pair_statistics`."""
+    return (CAT_SCORE[0] * (1 - F.least(F.lit(1.0), F.col("js_divergence"))) + CAT_SCORE[1] * F.col("top_k_overlap")
+            + CAT_SCORE[2] * F.col("pvalue"))
 
 
 def realism_categorical(generated: DataFrame, reference: DataFrame, columns: list[str], k: int = 10) -> DataFrame:
     """(field, top_k_overlap, js_divergence, chi2_pvalue, contribution, score) per category column."""
-    pairs = topk_pairs(generated, reference, columns, k)
-    out = topk_overlap_js(pairs).join(contingency_chi2(pairs), "field")
     js, top, p = F.col("js_divergence"), F.col("top_k_overlap"), F.col("pvalue")
-    return out.select(
+    return pair_statistics(topk_pairs(generated, reference, columns, k)).select(
         "field", "top_k_overlap", "js_divergence", p.alias("chi2_pvalue"),
         (CAT_CONTRIB[0] * js + CAT_CONTRIB[1] * (1 - top) + CAT_CONTRIB[2] * (1 - p)).alias("contribution"),
-        (CAT_SCORE[0] * (1 - F.least(F.lit(1.0), js)) + CAT_SCORE[1] * top + CAT_SCORE[2] * p).alias("score"))
+        category_score().alias("score"))
 
 
 # ---- totals -----------------------------------------------------------------------------------

@@ -81,10 +81,7 @@ def candidate_scores(samples: DataFrame, reference: DataFrame, numeric: list[str
         r = r.withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1))))
         by = ["candidate", "field"]
         pairs = g.join(r, [*by, "value"], "full_outer").select(*by, "value", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("q", F.lit(0.0)).alias("q"))
-        both = realism.topk_overlap_js(pairs, by).join(realism.contingency_chi2(pairs, by), by)
-        w = realism.CAT_SCORE
-        score = w[0] * (1 - F.least(F.lit(1.0), F.col("js_divergence"))) + w[1] * F.col("top_k_overlap") + w[2] * F.col("pvalue")
-        parts.append(both.select("candidate", F.lit("categorical").alias("kind"), score.alias("score")))
+        parts.append(realism.pair_statistics(pairs, by).select("candidate", F.lit("categorical").alias("kind"), realism.category_score().alias("score")))
     return realism.composite(reduce(DataFrame.unionByName, parts), ["candidate"])
 
 
