@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabloom.functions.constants import linked_by_name
 from tabloom.operators import profile
+from tabloom.operators.coerce import drop_incomplete_numeric
 from tabloom.operators.order import run_lengths
+from tabloom.sources.runtime import materialize
 from tabloom.spec import TableSpec
 
 
@@ -33,8 +36,12 @@ class Priors:
     warnings: DataFrame
 
     def write(self, path: str) -> None:
-        for f in fields(self):
-            getattr(self, f.name).write.mode("overwrite").parquet(f"{path}/{f.name}")
+        """Write all tables; the jobs are independent, so they run side by side."""
+        def one(name: str) -> None:
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+        with ThreadPoolExecutor(4) as pool:
+            list(pool.map(one, [f.name for f in fields(self)]))
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> "Priors":
@@ -104,17 +111,19 @@ def learn_priors(df: DataFrame, spec: TableSpec, min_samples: int = 20, alpha: f
     warnings = too_few.unionByName(spark.createDataFrame(absent, "subject string, message string"))
     tables = [profile.conditional_category_table(base, p, c, alpha) for p, c in links]
     cpt = "parent string, parent_value string, child string, child_value string, samples long, prob double"
-    matrix = "a string, b string, value double"
-    complete = profile.drop_incomplete_numeric(base, numeric) if numeric else base
-    several = len(numeric) > 1
+    # One small row per pair of columns; both matrices come from the same ranking.
+    if len(numeric) > 1:
+        matrices = materialize(profile.rank_matrices(drop_incomplete_numeric(base, numeric), numeric), "matrices")
+    else:
+        matrices = spark.createDataFrame([], "a string, b string, spearman double, covariance double")
     return Priors(
         category=category_priors(base, spec, alpha),
         numeric=profile.global_numeric(base, numeric) if numeric else spark.createDataFrame(
             [], "field string, mean double, std double, min double, max double"),
         conditional_numeric=cond.where("enough = 1").drop("enough"),
         conditional_category=union_all(tables, spark, cpt),
-        spearman=profile.spearman_matrix(complete, numeric) if several else spark.createDataFrame([], matrix),
-        covariance=profile.gaussian_covariance(complete, numeric) if several else spark.createDataFrame([], matrix),
+        spearman=matrices.select("a", "b", F.col("spearman").alias("value")),
+        covariance=matrices.select("a", "b", F.col("covariance").alias("value")),
         quantiles=run_lengths(base, numeric) if numeric else spark.createDataFrame(
             [], "field string, value double, n long, n_before long, n_total long"),
         warnings=warnings,

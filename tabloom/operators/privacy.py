@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tabloom.functions.rng import laplace, uniform
-from tabloom.operators.coerce import numeric_columns, standardize
+from tabloom.operators.coerce import number, numeric_columns, standardize
 from tabloom.operators.order import exact_quantiles, key_index, neighbour_gaps
 from tabloom.sources.runtime import materialize
 
@@ -29,7 +29,7 @@ def sample_with_replacement(df: DataFrame, size: int, key: str, seed=0, label: s
 
 def laplace_noise(df: DataFrame, columns: list[str], level: float, key: str, seed=0) -> DataFrame:
     """x + Laplace(0, level * std) with nulls read as 0 and a zero std as 1."""
-    filled = {c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) for c in columns}
+    filled = {c: F.coalesce(number(df, c), F.lit(0.0)) for c in columns}
     stds = df.agg(*[F.stddev_pop(x).alias(c) for c, x in filled.items()])
     return df.withColumns({
         c: x + laplace(uniform(seed, f"noise/{c}", key), F.lit(float(level)) * F.coalesce(F.nullif(stds.select(c).scalar(), F.lit(0.0)), F.lit(1.0)))

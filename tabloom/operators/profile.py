@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabloom.operators.coerce import coerce_column, drop_incomplete_numeric, numeric_columns
+from tabloom.operators.coerce import coerce_column, number, numeric_columns
 from tabloom.functions.special import with_norm_ppf
 from tabloom.operators.order import add_rank, cut_points, exact_quantiles, order_plans, prefix_sums
 from tabloom.spec import TableSpec
@@ -59,7 +59,7 @@ def field_stats_validated(df: DataFrame, spec: TableSpec) -> DataFrame:
     for f in spec.fields:
         if f.name not in df.columns or not f.supported:
             continue
-        x = coerce_column(F.col(f"`{f.name}`"), f.type)
+        x = coerce_column(df, f.name, f.type)
         k = f.name
         aggs += [F.count_distinct(x).alias(f"{k}|d"), F.count_if(x.isNull()).alias(f"{k}|z")]
         row = {
@@ -102,7 +102,7 @@ def global_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """(field, mean, std, min, max); no values give 0, 1, 0, 1 and a zero std gives 1e-9."""
     aggs, rows = [], []
     for c in columns:
-        x = F.col(f"`{c}`").try_cast("double")
+        x = number(df, c)
         aggs += [F.count(x).alias(f"{c}|n"), F.avg(x).alias(f"{c}|mean"), F.stddev_pop(x).alias(f"{c}|std"),
                  F.min(x).alias(f"{c}|min"), F.max(x).alias(f"{c}|max")]
         some = F.col(f"`{c}|n`") > 0
@@ -125,7 +125,7 @@ def conditional_numeric(df: DataFrame, pairs: list[tuple[str, str]], min_samples
     cells = F.array(*[
         F.struct(
             F.lit(p).alias("parent"), F.col(f"`{p}`").cast("string").alias("parent_value"),
-            F.lit(c).alias("child"), F.col(f"`{c}`").try_cast("double").alias("x"))
+            F.lit(c).alias("child"), number(df, c).alias("x"))
         for p, c in pairs
     ])
     g = (
@@ -278,7 +278,7 @@ def skew_kurtosis(df: DataFrame, columns: list[str], max_skew: float = 2.0, max_
     """Biased skewness and excess kurtosis; flagged when extreme and backed by more than 3 values."""
     aggs, rows = [], []
     for c in columns:
-        x = F.col(c).try_cast("double")
+        x = number(df, c)
         aggs += [F.count(x).alias(f"{c}|n"), F.skewness(x).alias(f"{c}|s"), F.kurtosis(x).alias(f"{c}|k")]
         enough = F.col(f"`{c}|n`") > 3
 
@@ -396,16 +396,40 @@ def with_normal_scores(df: DataFrame, columns: list[str], key: str | None = None
     return with_norm_ppf(ranked, p), n[columns[0]]
 
 
-def weighted_covariance(scored: DataFrame, columns: list[str], n: int, prefix: str = "z_") -> DataFrame:
-    """One row with the sample covariance ``v<i>_<j>`` of weighted columns whose means are near 0."""
+def rank_matrices(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, spearman, covariance): both matrices from one ranking of the columns."""
+    scored, n = with_normal_scores(df.select(*columns), columns)
+    places = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    totals = {c: n for c in columns}
+    rho = rank_correlation(scored, totals, [(columns[i], columns[j]) for i, j in places], [f"r{i}_{j}" for i, j in places],
+                           *weighted_sums(columns))
+    one = rho.select(*[f"r{i}_{j}" for i, j in places], *covariance_cells(columns, n))
+    rows = [
+        {"a": F.lit(a), "b": F.lit(b),
+         "spearman": F.lit(1.0) if i == j else F.coalesce(F.col(f"r{min(i, j)}_{max(i, j)}"), F.lit(0.0)),
+         "covariance": F.coalesce(F.col(f"v{min(i, j)}_{max(i, j)}"), F.lit(1.0 if i == j else 0.0))}
+        for i, a in enumerate(columns) for j, b in enumerate(columns)]
+    return stack_rows(one, rows)
+
+
+def weighted_sums(columns: list[str], prefix: str = "z_") -> list:
     w = F.col("_w")
-    places = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    sums = scored.agg(
-        *[F.sum(w * F.col(f"{prefix}{columns[i]}") * F.col(f"{prefix}{columns[j]}")).alias(f"p{i}_{j}") for i, j in places],
-        *[F.sum(w * F.col(f"{prefix}{c}")).alias(f"s{i}") for i, c in enumerate(columns)])
+    return [
+        *[F.sum(w * F.col(f"{prefix}{columns[i]}") * F.col(f"{prefix}{columns[j]}")).alias(f"p{i}_{j}")
+          for i in range(len(columns)) for j in range(i, len(columns))],
+        *[F.sum(w * F.col(f"{prefix}{c}")).alias(f"s{i}") for i, c in enumerate(columns)]]
+
+
+def covariance_cells(columns: list[str], n: int) -> list:
     total, less = F.lit(float(n)), F.lit(float(n - 1))
-    return sums.select(*[
-        F.try_divide(F.col(f"p{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}") / total, less).alias(f"v{i}_{j}") for i, j in places])
+    return [
+        F.try_divide(F.col(f"p{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}") / total, less).alias(f"v{i}_{j}")
+        for i in range(len(columns)) for j in range(i, len(columns))]
+
+
+def weighted_covariance(scored: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """One row with the sample covariance ``v<i>_<j>`` of the weighted normal scores."""
+    return scored.agg(*weighted_sums(columns)).select(*covariance_cells(columns, n))
 
 
 def gaussian_covariance(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -462,7 +486,7 @@ def density_grid(df: DataFrame, category: str, value: str, width: int = 600, hei
 
     Rows collapse to (category, y) cells before the codes are joined.
     """
-    v = F.coalesce(F.col(value).try_cast("double"), F.lit(0.0))
+    v = F.coalesce(number(df, value), F.lit(0.0))
     facts = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
     lo, hi = facts.select("lo").scalar(), facts.select("hi").scalar()
     unit = F.when(hi == lo, F.lit(0.0)).otherwise((v - lo) / (hi - lo))

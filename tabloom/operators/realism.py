@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tabloom.functions.special import chi2_sf, kolmogorov_pvalue
+from tabloom.operators.coerce import number
 from tabloom.operators.order import cut_points, prefix_sums
 from tabloom.operators.profile import rank_correlation, stack_rows, with_ranks
 from tabloom.sources.runtime import materialize
@@ -18,7 +19,7 @@ BLEND = (0.6, 0.4)
 
 
 def _numeric_cells(df: DataFrame, columns: list[str], keep: list[str] = ()) -> DataFrame:
-    cells = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").try_cast("double").alias("value")) for c in columns])
+    cells = F.array(*[F.struct(F.lit(c).alias("field"), number(df, c).alias("value")) for c in columns])
     return df.select(*keep, F.explode(cells).alias("c")).select(*keep, "c.field", "c.value").where(F.col("value").isNotNull())
 
 
@@ -99,13 +100,10 @@ def paired_spearman(generated: DataFrame, reference: DataFrame, columns: list[st
 
 def side_moments(generated: DataFrame, reference: DataFrame, columns: list[str]) -> DataFrame:
     """(field, mean_gen, mean_ref, std_ref): one aggregate per side."""
-    def x(c):
-        return F.col(f"`{c}`").try_cast("double")
-
-    g = stack_rows(generated.agg(*[F.avg(x(c)).alias(c) for c in columns]),
+    g = stack_rows(generated.agg(*[F.avg(number(generated, c)).alias(c) for c in columns]),
                    [{"field": F.lit(c), "mean_gen": F.col(f"`{c}`")} for c in columns])
     r = stack_rows(
-        reference.agg(*[F.struct(F.avg(x(c)).alias("m"), F.stddev_pop(x(c)).alias("s")).alias(c) for c in columns]),
+        reference.agg(*[F.struct(F.avg(number(reference, c)).alias("m"), F.stddev_pop(number(reference, c)).alias("s")).alias(c) for c in columns]),
         [{"field": F.lit(c), "mean_ref": F.col(f"`{c}`.m"), "std_ref": F.col(f"`{c}`.s")} for c in columns])
     return g.join(F.broadcast(r), "field")
 

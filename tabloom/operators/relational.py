@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tabloom.functions.rng import normal, uniform
 from tabloom.functions.special import norm_cdf
+from tabloom.operators.coerce import drop_incomplete_numeric
 from tabloom.operators.generate import ID, clamp, independent_column
 from tabloom.operators.learn import Priors, category_parents, dependency_edges, numeric_parents
 from tabloom.operators.order import columns_at, dense_index, run_lengths, value_at
@@ -122,7 +123,7 @@ def rank_copula_reorder(
     dealt out in the order of the mixed score. With ``exact_latent`` the target is 2 sin(pi rho / 6) and
     the scores are whitened first, which reaches the target more closely.
     """
-    complete = reference.select(*[F.col(c).try_cast("double").alias(c) for c in columns]).na.drop()
+    complete = drop_incomplete_numeric(reference.select(*columns), columns)
     if len(columns) < 2 or len(complete.limit(min_rows).take(min_rows)) < min_rows:
         return generated
     target = square(spearman_matrix(complete, columns), columns)

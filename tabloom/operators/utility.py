@@ -10,7 +10,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tabloom.functions.rng import uniform
-from tabloom.operators.coerce import drop_null_target, numeric_columns
+from tabloom.operators.coerce import drop_null_target, number, numeric_columns
 from tabloom.operators.profile import rank_correlation, value_counts, with_ranks
 from tabloom.operators.realism import topk_shares
 
@@ -112,12 +112,12 @@ def train_synth_test_real(synthetic: DataFrame, reference: DataFrame, target: st
 
 
 def label_as_int(df: DataFrame, label: str):
-    return F.coalesce(F.col(label).try_cast("double"), F.lit(0.0)).cast("int")
+    return F.coalesce(number(df, label), F.lit(0.0)).cast("int")
 
 
 def explain_numeric(df: DataFrame, label: str, columns: list[str], top: int = 3) -> DataFrame:
     """(field, rho): rank correlation with the label, strongest first; constant columns are skipped."""
-    filled = df.select(label_as_int(df, label).alias("_y"), *[F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    filled = df.select(label_as_int(df, label).alias("_y"), *[F.coalesce(number(df, c), F.lit(0.0)).alias(c) for c in columns])
     ranked, n = with_ranks(filled, ["_y", *columns])
     spread = [(F.min(c) != F.max(c)).alias(f"{c}|v") for c in columns]
     one = rank_correlation(ranked, n, [(c, "_y") for c in columns], list(columns), *spread)

@@ -65,9 +65,10 @@ def rank_copula_reorder(spark, sf):
     # The reference couples quantity and price, so the reordering has something to do.
     reference = li.select("l_quantity", (F.col("l_quantity") * 1000 + F.col("l_extendedprice")).alias("l_extendedprice"))
     out = R.rank_copula_reorder(reference, rows, ["l_quantity", "l_extendedprice"])
-    parts = [out.agg(F.lit(c).alias("field"), F.count(c).alias("n"), F.round(F.sum(c), 2).alias("total"), F.min(c).alias("low"), F.max(c).alias("high"), F.count_distinct(c).alias("values"))
-             for c in ("l_quantity", "l_extendedprice")]
-    return parts[0].unionByName(parts[1])
+    cols = ["l_quantity", "l_extendedprice"]
+    stats = {"n": F.count, "total": lambda c: F.round(F.sum(c), 2), "low": F.min, "high": F.max, "values": F.count_distinct}
+    one = out.agg(*[fn(c).alias(f"{c}|{k}") for c in cols for k, fn in stats.items()])
+    return P.stack_rows(one, [{"field": F.lit(c), **{k: F.col(f"`{c}|{k}`") for k in stats}} for c in cols])
 
 
 @query("copula_sample")
