@@ -286,7 +286,8 @@ def values_at(runs: DataFrame, asks: DataFrame, position: str, keep: list[str],
     ``runs`` comes from :func:`run_lengths`: a value covers positions ``n_before`` .. ``n_before + n - 1``.
     Run starts and asks are merged along the position axis in equal-width buckets that carry the last
     value of the bucket before, so a long run is never expanded. Asks should be spread over the axis, as
-    ranks and uniform draws are; for anything else ask for distinct positions.
+    ranks and uniform draws are; for anything else ask for distinct positions. ``runs`` is read several
+    times, so pass a written table when it is large.
     """
     buckets = buckets or shuffle_width(runs.sparkSession)
     sizes = runs.groupBy("field").agg(F.greatest(F.ceil(F.max("n_total") / F.lit(float(buckets))), F.lit(1)).alias("_width"))

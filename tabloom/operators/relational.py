@@ -139,7 +139,9 @@ def rank_copula_reorder(
     asks = reduce(DataFrame.unionByName, [
         dense_index(scored.select(key, f"y_{c}"), f"y_{c}", key, "_i").select(F.lit(c).alias("field"), "_i", key) for c in columns])
     whole = generated.na.drop(subset=columns)
-    dealt = columns_at(run_lengths(whole, columns), asks, "_i", key, columns)
+    # The runs are read for their starts, sizes and bucket ends.
+    runs = materialize(run_lengths(whole, columns), "runs")
+    dealt = columns_at(runs, asks, "_i", key, columns)
     kinds = dict(generated.dtypes)
     out = whole.drop(*columns).join(dealt.select(key, *[F.col(c).cast(kinds[c]).alias(c) for c in columns]), key)
     partial = generated.where(" or ".join(f"`{c}` is null" for c in columns))

@@ -50,7 +50,7 @@ d AS (SELECT event_id, CAST(floor({u(SEED, 'draw', 'event_id')} * ((SELECT count
 SELECT event_id, v FROM d JOIN s USING (i)""")
 def empirical_quantile_map(spark, sf):
     draws = table(spark, sf, "events").select("event_id", uniform(SEED, "draw", "event_id").alias("draw"))
-    runs = run_lengths(table(spark, sf, "orders"), ["o_totalprice"])
+    runs = materialize(run_lengths(table(spark, sf, "orders"), ["o_totalprice"]), "runs")
     return R.empirical_quantile_map(draws, "draw", runs, "v").select("event_id", "v")
 
 
