@@ -36,3 +36,23 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = train(documents.where(fold("doc_id", 4) != 2))
     return predict(documents, model).withColumn("held_out", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)))
+
+
+@query("op5_warc", """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+         h AS (SELECT html, max(page_id) AS head FROM p WHERE octet_length(encode(html)) >= 1000 GROUP BY html)
+    SELECT page_id, octet_length(encode(p.html)) AS payload_bytes, sha1(p.html) AS payload_digest,
+           CASE WHEN head <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN head <> page_id THEN head END AS refers_to
+    FROM p LEFT JOIN h ON p.html = h.html""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabloom.llm.warc import round_trip
+
+    return round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+@query("op10_fingerprints")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabloom.llm.fingerprint import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
