@@ -56,3 +56,27 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabloom.llm.fingerprint import edited_fingerprints
 
     return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def vocabulary(name: str) -> bytes:
+    """A tokenizer's file, read on the driver; tasks get it as a broadcast of its size (1 to 2 MB)."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
+@query("op7_bpe")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tabloom.llm.bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op9_token_counts")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabloom.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json").decode())
