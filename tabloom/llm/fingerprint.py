@@ -24,13 +24,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabloom.llm.common import LOWER_TABLE, blank_word_bounds, chunks, join_words, map_rows, to_bytes, word_hashes
+from tabloom.llm.common import LOWER_TABLE, blank_word_bounds, join_words, map_rows, to_bytes, word_hashes
+from tabloom.llm.ranges import RANGE_CHARS, numbered_ranges
 
 SHINGLE = 5
 KEPT = 128
 BITS = 48
-#: Characters that one range of ids should hold.
-RANGE_CHARS = 24_000_000
 
 
 # ---- sketches ---------------------------------------------------------------------------------
@@ -131,19 +130,9 @@ def merge_fingerprints(df: DataFrame, key: str, fingerprint: str = "fingerprint"
             .applyInPandas(wholly, f"`{key}` {kind}, `{fingerprint}` string"))
 
 
-def in_ranges(rows: DataFrame, range_chars: int) -> tuple[DataFrame, int]:
+def with_followers(rows: DataFrame, range_chars: int) -> tuple[DataFrame, int]:
     """(_range, _ghost, _id, _text): every row in the range of its id, the first of each range also in the one before."""
-    n_chars, n_rows = rows.agg(F.sum(F.length("_text") + 1), F.count("_id")).first()
-    n = max(1, -(-(n_chars or 0) // range_chars))
-    cuts = sorted(set(rows.agg(F.percentile_approx("_id", [i / n for i in range(1, n)], 10_000)).first()[0] or [])) if n > 1 and n_rows else []
-    shared = rows.sparkSession.sparkContext.broadcast(np.array(cuts, np.int64))
-
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        place = np.searchsorted(shared.value, ids.to_numpy(np.int64), side="left")
-        return pd.Series(place.astype(np.int32))
-
-    dealt = rows.withColumn("_range", range_of(F.coalesce("_id", F.lit(-(1 << 63)))))
+    dealt, n = numbered_ranges(rows, range_chars)
     tops = [(r[0], r[1]) for r in dealt.select("_id", "_range").groupBy("_range").agg(F.max("_id")).orderBy("_range").collect()]
     # in descending order a range is followed by the next lower one, the lowest by the highest
     above = {tops[i][0]: tops[(i + 1) % len(tops)][0] for i in range(len(tops))}
@@ -157,8 +146,8 @@ def edited_fingerprints(documents: DataFrame, size: int = SHINGLE, kept: int = K
                         doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     rows = documents.select(F.col(f"`{doc_id}`").cast("bigint").alias("_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
-    dealt, n = in_ranges(rows, range_chars)
-    dealt = dealt.repartition(n, "_range").sortWithinPartitions("_range", "_ghost", F.desc_nulls_last("_id"), F.desc("_text"))
+    dealt, n = with_followers(rows, range_chars)
+    dealt = dealt.repartitionById(n, "_range").sortWithinPartitions("_range", "_ghost", F.desc_nulls_last("_id"), F.desc("_text"))
     names = [doc_id, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 

@@ -80,3 +80,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabloom.llm.token_counts import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json").decode())
+
+
+@query("op4_token_output")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabloom.llm.token_output import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json").decode())
