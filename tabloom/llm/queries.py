@@ -87,3 +87,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabloom.llm.token_output import round_trip
 
     return round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json").decode())
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabloom.llm.language import fold
+    from tabloom.llm.toxicity import score, train
+
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = train(documents, labels.where(fold("doc_id", 5) != 0))
+    return score(documents, model).withColumn("held_out", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)))
