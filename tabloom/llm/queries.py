@@ -97,3 +97,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = train(documents, labels.where(fold("doc_id", 5) != 0))
     return score(documents, model).withColumn("held_out", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)))
+
+
+@query("op3_html_text")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabloom.llm.html_text import main_text, train
+
+    pages = table(spark, sf_dir, "pages")
+    return main_text(pages, train(pages))
