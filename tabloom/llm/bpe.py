@@ -185,3 +185,17 @@ def digests(documents: DataFrame, ranks: bytes, pattern: str, remembered: int =
         return ids, n, made, back
 
     return map_rows(documents, [doc_id, text], work, f"`{doc_id}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+
+def encode_checked(documents: DataFrame, ranks: bytes, pattern: str, remembered: int = REMEMBERED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids, decodes (whether decoding the ids gives the text's bytes) of every row."""
+    tools = worker_merges(documents, ranks, pattern, remembered)
+    kind = documents.schema[doc_id].dataType.simpleString()
+
+    def work(keys, texts):
+        merges, known = tools()
+        rows = [np.frombuffer(b, "<u4") for b in encode_texts(texts, known)]
+        right = [merges.decode(r) == to_bytes(t) for r, t in zip(rows, texts, strict=True)]
+        return keys, [len(r) for r in rows], [r.astype(np.int32) for r in rows], right
+
+    return map_rows(documents, [doc_id, text], work, f"`{doc_id}` {kind}, n_tokens bigint, ids array<int>, decodes boolean")

@@ -112,3 +112,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabloom.llm.jaccard_join import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
