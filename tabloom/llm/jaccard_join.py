@@ -5,14 +5,16 @@ classes. With all shingles in one global order, two sets of Jaccard similarity t
 ``n - ceil(t * n) + 1``, whatever the order; rare shingles first make these prefixes selective. How rare a shingle is
 comes from counts in a table of fixed size (a hash bucket holds the sum of its shingles), which all documents fill.
 
-Classes that share a prefix shingle meet by a join on it, under the length and the positional filter; a suffix
-filter compares how many shingles each has in each of ``PARTS`` hash ranges, which bounds the overlap. What is left is
-verified once per pair on the whole sets; these are made by another scan, only for classes that pass a bit filter of the
+Classes that share a prefix shingle meet by a join on it, under the length, the positional and a first suffix filter:
+each class has ``64 * WORDS`` bits, the parity of its shingles in as many hash ranges, and two sets differ in at least
+as many shingles as their bits differ. A second suffix filter compares the numbers of shingles in ``PARTS`` hash ranges,
+which bounds the overlap also of long texts. What is left is verified once per pair on the whole sets; these are made by another scan, only for classes that pass a bit filter of the
 candidates.
 
 Groups of near copies are not expanded into all pairs. First every class of a bucket meets only the bucket's lowest
 and highest class, and the links found give components. Then only classes of different components can matter: in
-each bucket those outside its commonest component meet all of other components. So every link between components is
+each bucket those outside its commonest component meet all of other components. A pair that met at one of the
+``BEFORE`` shingles just before this one in both prefixes is not made again here. So every link between components is
 found, and the components are those of the full join.
 
 Defined cases: null is the empty text; a text without words has no shingle and no link and is its own component; a
@@ -42,6 +44,10 @@ COUNT_BITS = 22
 FILTER_BITS = 25
 #: Hash ranges of the suffix filter.
 PARTS = 64
+#: 64-bit words of parities in the first suffix filter.
+WORDS = 8
+#: Preceding prefix shingles by which a pair that has met already is known; others are met again, never missed.
+BEFORE = 16
 SEGMENTS = 64
 
 
@@ -79,6 +85,11 @@ def part_counts(shingles: np.ndarray) -> np.ndarray:
     return np.bincount((shingles & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS).astype("<u4")
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    odd = np.bincount((shingles >> np.uint64(6) & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 # ---- tables of fixed size that all tasks fill --------------------------------------------------
 
 
@@ -148,30 +159,33 @@ def passes(bits: np.ndarray, digests: list[bytes]) -> np.ndarray:
 
 
 def classes_of(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """One row per distinct non-empty set: cid, digest, smallest id, n, prefix, part counts."""
+    """One row per distinct non-empty set: cid, digest, smallest id, n, prefix, part counts, parities."""
     rarity = np.minimum(255, 8 * np.log2(1.0 + shingle_counts(texts.select("_text"), size))).astype(np.uint8)
     shared = texts.sparkSession.sparkContext.broadcast(rarity)
 
     def work(ids, rows):
-        out = [[], [], [], [], []]
+        out = [[], [], [], [], [], []]
         for i, s in zip(ids, shingle_sets(rows, size), strict=True):
             if len(s):
-                for cells, v in zip(out, (i, digest(s), len(s), prefix(s, shared.value, percent).view(np.int64), part_counts(s).tobytes()), strict=True):
+                for cells, v in zip(out, (i, digest(s), len(s), prefix(s, shared.value, percent).view(np.int64), part_counts(s).tobytes(), parities(s)), strict=True):
                     cells.append(v)
         return out
 
-    rows = map_rows(texts, ["_id", "_text"], work, "_id bigint, digest binary, n int, prefix array<bigint>, parts binary")
-    one = rows.groupBy("digest").agg(F.min("_id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts"))
+    rows = map_rows(texts, ["_id", "_text"], work, "_id bigint, digest binary, n int, prefix array<bigint>, parts binary, bits array<bigint>")
+    one = rows.groupBy("digest").agg(F.min("_id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts"), F.first("bits").alias("bits"))
     return materialize(one.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
 
-def alike(n: str, p: str, m: str, q: str, percent: int):
-    """Length and positional filter: places p of n and q of m (from 0) hold the same shingle."""
+def alike(n: str, p: str, bits: str, m: str, q: str, other: str, percent: int):
+    """Length, positional and parity filter: places p of n and q of m (from 0) hold the same shingle."""
     n, p, m, q = F.col(n), F.col(p), F.col(m), F.col(q)
+    apart = sum((F.bit_count(F.col(bits)[i].bitwiseXOR(F.col(other)[i])) for i in range(WORDS)), F.lit(0))
     least = F.least(n, m)
     most = F.least(F.least(p, q) + F.least(n - p, m - q), least)
     # overlap o of sizes n, m is enough when 100 * o >= percent * (n + m - o)
-    return (100 * least >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
+    # and n + m - 2 * o shingles, at least as many as bits differ, are then in one set only
+    return ((100 * least >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
+            & ((100 + percent) * apart <= (100 - percent) * (n + m)))
 
 
 def ordered_pairs(met: DataFrame) -> DataFrame:
@@ -249,21 +263,25 @@ def linked_classes(texts: DataFrame, size: int, percent: int) -> tuple[DataFrame
     classes = classes_of(texts, size, percent)
     rows = classes.select("cid", "n", F.posexplode("prefix").alias("place", "shingle"))
     ends = rows.groupBy("shingle").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi")
-    shared = materialize(rows.join(ends, "shingle"), "buckets")
-    hubs = shared.where("cid = lo OR cid = hi").select("shingle", F.col("cid").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"))
-    near = alike("n", "place", "m", "at", percent)
+    shared = rows.join(ends, "shingle")
+    shared = materialize(shared.join(classes.select("cid", "bits"), "cid"), "buckets")
+    hubs = shared.where("cid = lo OR cid = hi").select("shingle", F.col("cid").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("bits").alias("other_bits"))
+    near = alike("n", "place", "bits", "m", "at", "other_bits", percent)
     links = materialize(verified(ordered_pairs(shared.join(hubs, "shingle").where((F.col("cid") != F.col("other")) & near)), texts, classes, size, percent), "links")
     labels = components(links)
     # what is not yet in one component: in each bucket, all but its commonest component against the others
-    told = shared.select("shingle", "cid", "n", "place").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    told = shared.select("shingle", "cid", "n", "place", "bits").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     told = materialize(told, "told")
     by_label = told.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("k"))
     commonest = by_label.groupBy("shingle").agg(F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    mixed = materialize(told.join(commonest.select("shingle", F.col("top.label").alias("main")), "shingle"), "mixed")
-    minor = mixed.where("label <> main").select("shingle", F.col("cid").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("label").alias("other_label"))
+    mixed = told.join(commonest.select("shingle", F.col("top.label").alias("main")), "shingle").join(classes.select("cid", "prefix"), "cid")
+    before = F.slice("prefix", F.greatest(F.col("place") - BEFORE, F.lit(0)) + 1, F.least(F.col("place"), F.lit(BEFORE)))
+    mixed = materialize(mixed.withColumn("before", before).drop("prefix"), "mixed")
+    minor = mixed.where("label <> main").select("shingle", F.col("cid").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("bits").alias("other_bits"), F.col("label").alias("other_label"),
+                                                F.col("before").alias("other_before"))
     # two classes outside the commonest component would meet twice
     once = (F.col("label") == F.col("main")) | (F.col("cid") < F.col("other"))
-    rest = ordered_pairs(mixed.join(minor, "shingle").where((F.col("label") != F.col("other_label")) & once & near))
+    rest = ordered_pairs(mixed.join(minor, "shingle").where((F.col("label") != F.col("other_label")) & once & near & ~F.arrays_overlap("before", "other_before")))
     hub_pairs = ordered_pairs(shared.where("cid <> lo").select("cid", F.col("lo").alias("other")).unionAll(shared.where("cid <> hi").select("cid", F.col("hi").alias("other"))))
     more = materialize(verified(rest.join(hub_pairs, ["a", "b"], "left_anti"), texts, classes, size, percent), "links")
     return classes, components(links.unionAll(more)) if more.limit(1).count() else labels
