@@ -72,21 +72,42 @@ def laplace(u: Column, scale: Column | float) -> Column:
     return -scale * F.signum(c) * F.ln(F.lit(1.0) - F.lit(2.0) * F.abs(c))
 
 
-def affine_parameters(n: int, seed: int | str, label: str) -> tuple[int, int]:
-    """(a, b) so that ``(a * id + b) mod n`` is a bijection of 0..n-1 and never overflows a long."""
+#: Rounds of the permutation, and how often an image outside the domain is mapped again.
+FEISTEL_ROUNDS, WALKS = 4, 12
+
+
+def grid(n: int) -> tuple[int, int]:
+    """(a, b) with ``n <= a * b < n + a``: the sides of the smallest grid that the permutation mixes."""
     if n < 1 or n > 1 << 61:
         raise ValueError(f"domain size {n} outside 1..2^61")
-    h = subseed(seed, label)
-    top = max(1, min(n - 1, ((1 << 62) // n) - 1))
-    a = 1 + (h >> 20) % top
-    while math.gcd(a, n) != 1:
-        a = a - 1 if a > 1 else 1
-    return a, h % n
+    a = math.isqrt(n - 1) + 1 if n > 1 else 1
+    return a, -(-n // a)
 
 
 def bijection(idc: Column, n: int, seed: int | str, label: str) -> Column:
-    a, b = affine_parameters(n, seed, label)
-    return F.pmod(idc.cast("long") * F.lit(a) + F.lit(b), F.lit(n))
+    """A keyed permutation of 0..n-1 that stays mixed for any n.
+
+    The id is a place (row, column) of a grid of about sqrt(n) by sqrt(n); rounds shift the row by a hash of the column
+    and the column by a hash of the row. Fewer than sqrt(n) places lie outside the domain; an image there is
+    mapped again (a walk along its cycle), which a row needs with a probability below 1 / sqrt(n) each time.
+    """
+    a, b = grid(n)
+    key = subseed(seed, label) >> 1
+
+    def shift(half: Column, other: Column, size: int, step: int) -> Column:
+        return F.pmod(half + F.pmod(F.xxhash64(F.lit(key), F.lit(step), other), F.lit(size)), F.lit(size))
+
+    def image(x: Column) -> Column:
+        row, column = F.call_function("div", x, F.lit(b)), F.pmod(x, F.lit(b))
+        for step in range(FEISTEL_ROUNDS):
+            row, column = (shift(row, column, a, step), column) if step % 2 == 0 else (row, shift(column, row, b, step))
+        return row * F.lit(b) + column
+
+    out = image(idc.cast("long"))
+    if a * b > n:
+        out = F.aggregate(F.array_repeat(F.lit(0), WALKS), out, lambda x, _: F.when(x < n, x).otherwise(image(x)))
+        out = F.when(out < n, out).otherwise(F.raise_error(F.lit(f"{label}: an id of {n} left the domain {WALKS} times")).cast("long"))
+    return out
 
 
 def choose(values: list, u: Column) -> Column:

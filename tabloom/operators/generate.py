@@ -169,23 +169,23 @@ def _repeated(df: DataFrame, column: str, key: str) -> DataFrame:
     return held.agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
 
 
-def repair_unique(df: DataFrame, column: str, key: str = ID, passes: int = 2) -> DataFrame:
-    """Later duplicates (by ``key``) get the suffix ``_<key>``; the first holder keeps its value.
+def repair_unique(df: DataFrame, column: str, key: str = ID) -> DataFrame:
+    """Later duplicates (by ``key``, a unique integer) get a suffix of underscores and key; the first holder keeps its value.
 
-    No window over a value: a hot value never meets in one task. The second pass covers a repaired text
-    that hits an original one, which only a text with a numeric suffix can do.
+    The underscores are one more than any value has before a number at its end, one if none has, so a repaired
+    value can neither be an original one nor another repaired one. No window over a value: a hot value never
+    meets in one task.
     """
     out = df.withColumn(column, F.col(column).cast("string"))
-    for step in range(passes):
-        suspects = out if step == 0 else out.where(F.col(column).rlike("_-?[0-9]+$"))
-        again = F.col("_first").isNotNull() & (F.col(key) != F.col("_first"))
-        repeated = _repeated(suspects, column, key)
-        out = (
-            out.join(repeated, out[column] == repeated["_v"], "left")
-            .withColumn(column, F.when(again, F.concat_ws("_", column, F.col(key).cast("string"))).otherwise(F.col(column)))
-            .drop("_v", "_first")
-        )
-    return out
+    most = out.agg(F.coalesce(F.max(F.length(F.regexp_extract(column, "(_+)-?[0-9]+$", 1))), F.lit(0)).alias("m"))
+    suffix = F.concat(F.repeat(F.lit("_"), most.select("m").scalar() + 1), F.col(key).cast("string"))
+    again = F.col("_first").isNotNull() & (F.col(key) != F.col("_first"))
+    repeated = _repeated(out, column, key)
+    return (
+        out.join(repeated, out[column] == repeated["_v"], "left")
+        .withColumn(column, F.when(again, F.concat(column, suffix)).otherwise(F.col(column)))
+        .drop("_v", "_first")
+    )
 
 
 def repair_unique_int(df: DataFrame, column: str, key: str = ID) -> DataFrame:
