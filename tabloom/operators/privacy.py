@@ -151,7 +151,8 @@ def _cells(columns: list[str], width: float) -> list:
 def self_nn_distances(df: DataFrame, columns: list[str], enough: float = 1.0, max_cell: int = 64) -> DataFrame:
     """(distance, n): exact nearest-other-row distances, at least for the ``enough`` smallest share.
 
-    Equal rows collapse first (distance 0). Distinct points meet in a grid whose cell width starts so
+    Equal rows collapse first (distance 0). Distinct points meet in a grid over the up to three columns with the
+    most distinct values (columns that tell few points apart would leave whole tables in one cell); its cell width starts so
     small that no cell holds more than ``max_cell`` points and then doubles; a point is settled when
     its neighbour is closer than the width. Unsettled points lie farther apart than the previous width,
     so a pool point meets a bounded number of them in every round: no cell is paired with itself as a
@@ -160,7 +161,9 @@ def self_nn_distances(df: DataFrame, columns: list[str], enough: float = 1.0, ma
     if len(columns) == 1:
         return self_nn_distances_1d(df, columns[0])
     points = materialize(df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")), "points")
-    axes = columns[:3]
+    kinds = points.agg(*[F.approx_count_distinct(c).alias(f"k{i}") for i, c in enumerate(columns)]).first()
+    spread = sorted(range(len(columns)), key=lambda i: (-kinds[i], i))
+    axes = [columns[i] for i in spread[:3] if kinds[i] > 1] or columns[:1]
     facts = points.agg(
         F.sum("n").alias("rows"), F.count(F.lit(1)).alias("points"),
         F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("settled"),

@@ -60,10 +60,10 @@ DIGEST = """md5(concat_ws(chr(1), coalesce(CAST(o_orderkey AS VARCHAR), chr(2)),
 
 @query("table_fingerprint", f"""
 WITH d AS (SELECT {DIGEST} AS d FROM orders),
-p AS (SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(d, 1, 8) AS BIGINT)) AS BIGINT) AS digest_sum,
+p AS (SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(d, 1, 8) AS BIGINT)) AS VARCHAR) AS digest_sum,
   bit_xor(CAST('0x' || substr(d, 9, 15) AS BIGINT)) AS digest_xor FROM d)
 SELECT n AS "rows", digest_sum, digest_xor,
-  sha256(concat_ws(':', sha256(''), '{SEED}', CAST(n AS VARCHAR), CAST(digest_sum AS VARCHAR), CAST(digest_xor AS VARCHAR))) AS fingerprint FROM p""")
+  sha256(concat_ws(':', sha256(''), '{SEED}', CAST(n AS VARCHAR), digest_sum, CAST(digest_xor AS VARCHAR))) AS fingerprint FROM p""")
 def table_fingerprint(spark, sf):
     df = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     return S.table_fingerprint(df, seed=SEED)

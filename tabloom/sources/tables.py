@@ -47,17 +47,20 @@ def write_reports(reports: dict[str, DataFrame], path: str) -> None:
 
 
 def row_digest(columns: list[str]) -> Column:
-    """md5 over all cells as text; a null keeps its place with a mark of its own."""
-    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0002")) for c in columns]
+    """md5 over all cells as text; a null keeps its place with a mark of its own, marks inside cells are escaped."""
+    cells = [F.coalesce(F.regexp_replace(F.col(f"`{c}`").cast("string"), "[\u0001-\u0003]", "\u0003$0"), F.lit("\u0002")) for c in columns]
     return F.md5(F.concat_ws("\u0001", *cells))
 
 
 def table_fingerprint(df: DataFrame, spec: TableSpec | None = None, seed: int | str | None = None) -> DataFrame:
-    """(rows, digest_sum, digest_xor, fingerprint): the same for any row order and partitioning."""
+    """(rows, digest_sum, digest_xor, fingerprint): the same for any row order and partitioning.
+
+    The sum is a decimal of 38 digits, given as text: a long would overflow beyond 4 billion rows.
+    """
     d = df.select(row_digest(df.columns).alias("d"))
     parts = d.agg(
         F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(F.conv(F.substring("d", 1, 8), 16, 10).cast("long")), F.lit(0)).alias("digest_sum"),
+        F.coalesce(F.sum(F.conv(F.substring("d", 1, 8), 16, 10).cast("decimal(28,0)")), F.lit(0)).cast("string").alias("digest_sum"),
         F.coalesce(F.bit_xor(F.conv(F.substring("d", 9, 15), 16, 10).cast("long")), F.lit(0)).alias("digest_xor"))
     head = hashlib.sha256((spec.canonical() if spec else "").encode()).hexdigest()
     text = F.concat_ws(":", F.lit(head), F.lit(str(seed)), *[F.col(c).cast("string") for c in ("rows", "digest_sum", "digest_xor")])

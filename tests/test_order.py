@@ -104,6 +104,18 @@ def test_self_nn_threshold_against_all_pairs(spark, dims):
         assert got == pytest.approx(np.quantile(brute_self_nn(x), q), rel=1e-9, abs=1e-12)
 
 
+def test_self_nn_with_columns_that_tell_little_apart(spark, monkeypatch):
+    written = []
+    keep = P.materialize
+    monkeypatch.setattr(P, "materialize", lambda df, label="stage": written.append(label) or keep(df, label))
+    rng = np.random.default_rng(3)
+    x = np.stack([rng.integers(0, 2, 300), np.ones(300), np.ones(300), rng.uniform(size=300)], 1).astype(float)
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abcd")))
+    got = P.self_nn_threshold(df, list("abcd"), 0.1).first()[0]
+    assert got == pytest.approx(np.quantile(brute_self_nn(x), 0.1), rel=1e-9)
+    assert len(written) <= 24
+
+
 def test_self_nn_all_distances(spark):
     x = np.random.default_rng(9).normal(size=(300, 2))
     df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]))
