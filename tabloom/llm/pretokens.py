@@ -16,7 +16,7 @@ _unit = re.compile(f" ?[^{BLANKS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+")
 units = _unit.findall
 
 #: Distinct units that one Python worker remembers; beyond them it begins anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 
 
 def pretoken_pattern(pattern: str):
