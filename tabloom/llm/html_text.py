@@ -54,6 +54,9 @@ APART_NAMES = set(
     "contentinfo navigation tags metadata hidden copyright legal disclaimer outbrain taboola".split())
 #: Elements whose class names do not count: they hold the page.
 WHOLE = {"html", "body", "article", "main"}
+#: Formatting inside running text costs nothing.
+FREE = INLINE - {"a"}
+LISTS = set("ul ol li dl dt dd".split())
 TAGS = INLINE | set(
     "p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th section article main header footer nav aside form blockquote pre "
     "figure figcaption address center html body head hr details summary".split())
@@ -171,6 +174,10 @@ def weights(counts: dict[tuple[str, bool], float]) -> dict[str, float]:
         odds = math.log(inside / outside)
         if feature.startswith("word"):
             out[feature] = max(-4.0, min(1.0, odds))
+        elif feature.split("|")[0].lstrip("/") in FREE:
+            out[feature] = 0.0
+        elif feature.split("|")[0].lstrip("/") in LISTS:  # a list of links costs by its links
+            out[feature] = max(-0.4, min(0.0, odds - 1.0))
         else:
             out[feature] = max(-4.0, min(0.0, odds - 1.0))
     return out
@@ -201,23 +208,24 @@ def extract(page: str | None, scores: dict[str, float]) -> str:
         scope = ("in" if within else "out") if has else "none"
         score = scores.get(f"{feature}|{scope}")
         if score is None:
-            score = (2.0 if scope != "out" else -2.0) if feature.startswith("word") else -1.0
+            word, free = feature.startswith("word"), feature.lstrip("/") in FREE
+            score = (1.0 if scope != "out" else -2.0) if word else 0.0 if free else -1.0
         if total <= 0:
             total, start = 0.0, i
         total += n * score
         if total > best:
             best, best_from, best_to = total, start, i + 1
-    blocks: list[list[str]] = []
-    # a block belongs to the region whole: its beginning may lie behind tags that cost
-    while best_from and not any(found[best_from][3:4]) and found[best_from - 1][0] is not None and found[best_from - 1][2] is not None:
-        best_from -= 1
-    for feature, _, text, fresh, _, _ in found[best_from:best_to]:
-        if text is None or (feature is None and text != " "):
-            continue
-        if fresh or not blocks:
-            blocks.append([])
-        blocks[-1].append(text)
-    made = (" ".join("".join(b).split()) for b in blocks)
+    number, of_block = 0, []
+    for _, _, text, fresh, _, _ in found:
+        number += text is not None and fresh
+        of_block.append(number)
+    # a block belongs to the region whole, also what lies behind tags that cost
+    within = {of_block[i] for i in range(best_from, best_to) if found[i][2] is not None and found[i][0] is not None}
+    blocks: dict[int, list[str]] = {}
+    for (feature, _, text, _, _, _), block in zip(found, of_block, strict=True):
+        if text is not None and block in within and (feature is not None or text == " "):
+            blocks.setdefault(block, []).append(text)
+    made = (" ".join("".join(b).split()) for b in blocks.values())
     return "\n\n".join(b for b in made if b)
 
 
