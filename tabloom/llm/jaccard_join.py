@@ -270,11 +270,11 @@ def linked_classes(texts: DataFrame, size: int, percent: int) -> tuple[DataFrame
     links = materialize(verified(ordered_pairs(shared.join(hubs, "shingle").where((F.col("cid") != F.col("other")) & near)), texts, classes, size, percent), "links")
     labels = components(links)
     # what is not yet in one component: in each bucket, all but its commonest component against the others
-    told = shared.select("shingle", "cid", "n", "place", "bits").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    told = shared.select("shingle", "cid", "n", "place").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     told = materialize(told, "told")
     by_label = told.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("k"))
     commonest = by_label.groupBy("shingle").agg(F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    mixed = told.join(commonest.select("shingle", F.col("top.label").alias("main")), "shingle").join(classes.select("cid", "prefix"), "cid")
+    mixed = told.join(commonest.select("shingle", F.col("top.label").alias("main")), "shingle").join(classes.select("cid", "prefix", "bits"), "cid")
     before = F.slice("prefix", F.greatest(F.col("place") - BEFORE, F.lit(0)) + 1, F.least(F.col("place"), F.lit(BEFORE)))
     mixed = materialize(mixed.withColumn("before", before).drop("prefix"), "mixed")
     minor = mixed.where("label <> main").select("shingle", F.col("cid").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("bits").alias("other_bits"), F.col("label").alias("other_label"),
