@@ -25,6 +25,21 @@ CHILD_WORDS = ("amount", "price", "cost")
 # Default date range.
 DATE_LOW, DATE_HIGH = "2020-01-01 00:00:00", "2021-01-01 00:00:00"
 
+# Fragments of validation messages that readers look for.
+UNIQUENESS = "uniqueness"
+OUT_OF_BOUNDS = "values {side} {bound}"
+IN_THE_FUTURE = "timestamps are in the future"
+
+# What marks an anomaly row.
+LARGE_BYTES, LARGE_STEP = 1e9, 0.1
+NIGHT = "2020-01-01 03:00:00"
+PRIVATE_NETWORK = "10.0"
+RARE_EXTENSION = ".key"
+BYTE_FIELDS = ("bytes_out", "bytes")
+EXTENSION_FIELDS = ("file_ext", "extension")
+# What the other fields of an anomaly row hold.
+ANOMALY_INTS, ANOMALY_TRUE, ANOMALY_TEXT, ANOMALY_IP, ANOMALY_CATEGORIES = 1000.0, 0.1, "anom_", "10.0.0.1", ("A", "B")
+
 # Own short word lists for text fields.
 WORDS = ["amber", "birch", "cedar", "delta", "ember", "fjord", "grove", "harbor",
          "island", "jasper", "kettle", "lagoon", "meadow", "nectar", "orchid", "pebble",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from functools import reduce
 
 import numpy as np
@@ -121,10 +122,14 @@ def rank_copula_reorder(
 
     Normal scores are mixed by the factor of the target matrix; each column's sorted values are then
     dealt out in the order of the mixed score. With ``exact_latent`` the target is 2 sin(pi rho / 6) and
-    the scores are whitened first, which reaches the target more closely.
+    the scores are whitened first, which reaches the target more closely. A reference of fewer than
+    ``min_rows`` complete rows has no correlation to go by: the rows come back as they are, with a warning.
     """
     complete = drop_incomplete_numeric(reference.select(*columns), columns)
-    if len(columns) < 2 or len(complete.limit(min_rows).take(min_rows)) < min_rows:
+    if len(columns) < 2:
+        return generated
+    if len(complete.take(min_rows)) < min_rows:
+        warnings.warn(f"rows keep their order: the reference has fewer than {min_rows} rows with all of {columns}", stacklevel=2)
         return generated
     target = square(spearman_matrix(complete, columns), columns)
     scored, n = with_normal_scores(generated.select(key, *columns), columns, key)

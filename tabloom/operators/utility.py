@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -49,17 +48,21 @@ def confusion_matrix(scored: DataFrame, truth: str = "y", predicted: str = "pred
     return scored.groupBy(truth, predicted).agg(F.count(F.lit(1)).alias("n"))
 
 
-def predictions(synthetic: DataFrame, reference: DataFrame, target: str, key: str, seed: int = 0, trees: int = 50, test_share: float = 0.2):
+def predictions(synthetic: DataFrame, reference: DataFrame, target: str, key: str, seed: int = 0, trees: int = 50, test_share: float = 0.2,
+                task: str | None = None):
     """(scored reference rows with ``is_test``, is_classification): fit on synthetic, score on real.
 
-    Encoders are fitted once, on the training table.
+    Encoders are fitted once, on the training table. ``task`` is "classification" or "regression"; without it the
+    target's type and number of distinct values decide (``is_classification``).
     """
     s, r = drop_null_target(synthetic, target), hash_split(drop_null_target(reference, target), key, test_share, seed)
     features = [c for c in s.columns if c in r.columns and c not in (target, key)]
     numeric = numeric_columns(s, features)
     numeric = [c for c in features if c in numeric]
     text = [c for c in features if c not in numeric and isinstance(s.schema[c].dataType, (T.StringType, T.BooleanType))]
-    classify = is_classification(s, target)
+    if task not in (None, "classification", "regression"):
+        raise ValueError(f"unknown task {task}")
+    classify = is_classification(s, target) if task is None else task == "classification"
     train, fitted = onehot_top(s, text)
     score, _ = onehot_top(r, text, fitted=fitted)
     marks = [f"{c}__{i}" for c in text for i in range(len(fitted[c]))]
@@ -85,23 +88,25 @@ def predictions(synthetic: DataFrame, reference: DataFrame, target: str, key: st
     return model.transform(score).select(key, "y", "prediction", "is_test"), classify
 
 
-def train_synth_test_real(synthetic: DataFrame, reference: DataFrame, target: str, key: str, seed: int = 0, trees: int = 50) -> DataFrame:
+def train_synth_test_real(synthetic: DataFrame, reference: DataFrame, target: str, key: str, seed: int = 0, trees: int = 50,
+                          task: str | None = None) -> DataFrame:
     """One row: score on the real training part, score on the held-out part, their difference.
 
     Accuracy for classes; R2 on the training part and minus RMSE on the held-out part for numbers.
     """
-    scored, classify = predictions(synthetic, reference, target, key, seed, trees)
-    train, test = scored.where("is_test = 0"), scored.where("is_test = 1")
+    scored, classify = predictions(synthetic, reference, target, key, seed, trees, task=task)
+    train, test = F.col("is_test") == 0, F.col("is_test") == 1
     if classify:
         hit = (F.col("y") == F.col("prediction")).cast("double")
         rows = scored.agg(
-            F.avg(F.when(F.col("is_test") == 0, hit)).alias("synthetic_train_score"),
-            F.avg(F.when(F.col("is_test") == 1, hit)).alias("real_test_score"))
+            F.avg(F.when(train, hit)).alias("synthetic_train_score"),
+            F.avg(F.when(test, hit)).alias("real_test_score"))
     else:
-        evaluator = RegressionEvaluator(labelCol="y", predictionCol="prediction")
-        r2 = evaluator.setMetricName("r2").evaluate(train)
-        rmse = evaluator.setMetricName("rmse").evaluate(test)
-        rows = synthetic.sparkSession.createDataFrame([(float(r2), float(-rmse))], "synthetic_train_score double, real_test_score double")
+        error, known = (F.col("y") - F.col("prediction")) ** 2, F.when(train, F.col("y"))
+        unexplained = F.try_divide(F.avg(F.when(train, error)), F.var_pop(known))
+        rows = scored.agg(
+            (F.lit(1.0) - unexplained).alias("synthetic_train_score"),
+            (-F.sqrt(F.avg(F.when(test, error)))).alias("real_test_score"))
     return rows.select(
         "synthetic_train_score", "real_test_score",
         (F.col("real_test_score") - F.col("synthetic_train_score")).alias("delta"),

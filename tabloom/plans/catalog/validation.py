@@ -31,18 +31,18 @@ a AS (SELECT CAST(count(*) AS BIGINT) AS n, count_if(price < 5000) AS lo, count_
 """
 # rule -> (field, n_bad, message, condition) rows over the facts
 ROWS = {
-    "missing_field": [("absent", "1", "'Missing field: absent'", "true")],
-    "unsupported_type": [("wrong", "1", "'Unsupported type in schema for wrong: decimal128'", "true")],
-    "not_numeric": [("junk", "junk", "'junk: not numeric/coercible'", "junk > 0")],
+    "missing_field": [("absent", "1", "'absent: column is absent from the table'", "true")],
+    "unsupported_type": [("wrong", "1", "'wrong: type decimal128 is not known'", "true")],
+    "not_numeric": [("junk", "junk", "'junk: no value can be read as a number'", "junk > 0")],
     "below_min": [("price_text", "lo", "'price_text: ' || lo || ' values below min 5000'", "lo > 0")],
     "above_max": [("price_text", "hi", "'price_text: ' || hi || ' values above max 400000'", "hi > 0"),
                   ("o_custkey", "cust_hi", "'o_custkey: ' || cust_hi || ' values above max 1000'", "cust_hi > 0")],
     "null_fraction": [
-        ("price_text", "nulls", "'price_text: null_frac ' || printf('%.3f', nulls / CAST(n AS DOUBLE)) || ' exceeds allowed 0.010'", "nulls / CAST(n AS DOUBLE) > 0.01 + 1e-9"),
-        ("junk", "n", "'junk: null_frac 1.000 exceeds allowed 0.000'", "n > 0")],
-    "unique": [("o_custkey", "n - nu", "'o_custkey: uniqueness violated (' || nu || ' unique of ' || n || ')'", "n <> nu")],
-    "future_timestamp": [("start_date", "future", "'start_date: ' || future || ' timestamps are in the future for historical field'", "future > 0")],
-    "class_balance": [("label", "ones", "'label: class balance ' || printf('%.3f', ones / CAST(n AS DOUBLE)) || ' differs from target 0.250 by > 0.010'",
+        ("price_text", "nulls", "'price_text: share of nulls ' || printf('%.3f', nulls / CAST(n AS DOUBLE)) || ', at most 0.010 wanted'", "nulls / CAST(n AS DOUBLE) > 0.01 + 1e-9"),
+        ("junk", "n", "'junk: share of nulls 1.000, at most 0.000 wanted'", "n > 0")],
+    "unique": [("o_custkey", "n - nu", "'o_custkey: uniqueness does not hold, ' || nu || ' distinct values in ' || n || ' rows'", "n <> nu")],
+    "future_timestamp": [("start_date", "future", "'start_date: ' || future || ' timestamps are in the future'", "future > 0")],
+    "class_balance": [("label", "ones", "'label: share of ones ' || printf('%.3f', ones / CAST(n AS DOUBLE)) || ', wanted 0.250 within 0.010'",
                        "abs(ones / CAST(n AS DOUBLE) - 0.25) > 0.01 + 1e-9")],
 }
 
@@ -65,8 +65,8 @@ query("validate_table", findings_sql(ROWS))(findings)
 
 @query("val_missing_field", """
 WITH n AS (SELECT count(*) AS n FROM orders)
-SELECT 'absent' AS field, 'missing_field' AS rule, CAST(1 AS BIGINT) AS n_bad, 'Missing field: absent' AS message, 'error' AS severity, n AS checked_rows FROM n
-UNION ALL SELECT 'extra', 'unexpected_column', 1, 'Unexpected column: extra', 'warning', n FROM n""")
+SELECT 'absent' AS field, 'missing_field' AS rule, CAST(1 AS BIGINT) AS n_bad, 'absent: column is absent from the table' AS message, 'error' AS severity, n AS checked_rows FROM n
+UNION ALL SELECT 'extra', 'unexpected_column', 1, 'extra: column is not declared', 'warning', n FROM n""")
 def val_missing_field(spark, sf):
     df = dirty_orders(spark, sf)
     n = df.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
