@@ -17,6 +17,8 @@ units = _unit.findall
 
 #: Distinct units that one Python worker remembers; beyond them it begins anew.
 REMEMBERED = 400_000
+#: Characters of remembered units for each of them, so that long stretches without a blank do not pile up.
+CHARS_EACH = 64
 
 
 def pretoken_pattern(pattern: str):
@@ -31,15 +33,16 @@ class Remembered(dict):
 
     def __init__(self, work: Callable, most: int = REMEMBERED):
         super().__init__()
-        self.work, self.most = work, most
+        self.work, self.most, self.chars = work, most, 0
 
     def learn(self, found: list[list[str]]) -> None:
         new = set().union(*found).difference(self)
-        if len(self) + len(new) > self.most:
+        if len(self) + len(new) > self.most or self.chars + sum(map(len, new)) > CHARS_EACH * self.most:
             self.clear()
-            new = set().union(*found)
+            self.chars, new = 0, set().union(*found)
         if new:
             new = list(new)
+            self.chars += sum(map(len, new))
             self.update(zip(new, self.work(new), strict=True))
 
 

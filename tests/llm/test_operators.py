@@ -182,6 +182,16 @@ def test_bpe_like_the_library(tiktoken_encoding):
                 assert merges.decode(np.frombuffer(ids, "<u4")) == (t or "").encode()
 
 
+def test_remembered_units_are_bounded_by_their_length():
+    asked = []
+    known = pretokens.Remembered(lambda new: asked.extend(new) or [len(u) for u in new], 2)
+    known.learn([["a" * 100]])
+    known.learn([["b" * 40, "b" * 40]])  # 140 characters are more than 2 * 64: begun anew
+    assert dict(known) == {"b" * 40: 40} and known.chars == 40
+    known.learn([["b" * 40, "c"]])
+    assert asked == ["a" * 100, "b" * 40, "c"] and known.chars == 41
+
+
 def test_bpe_tables(docs, tiktoken_encoding):
     import public_tokenizers as P
 
