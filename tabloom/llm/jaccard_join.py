@@ -17,6 +17,10 @@ each bucket those outside its commonest component meet all of other components.
 ``BEFORE`` shingles just before this one in both prefixes is not made again here. So every link between components is
 found, and the components are those of the full join.
 
+Numbers of links, where asked for, count every pair: both ends of a link lie in one component, so inside each component
+all pairs of classes are verified on their whole sets, block against block, and only sums leave a task. A row's number
+is that of the other rows whose sets are alike, rows with an equal set among them.
+
 Defined cases: null is the empty text; a text without words has no shingle and no link and is its own component; a
 text of fewer words than a shingle is one shingle; repeated rows fall into one class; a component's id is its smallest
 document id, null ids aside; an empty table gives no row; other columns are not read.
@@ -49,6 +53,10 @@ WORDS = 8
 #: Preceding prefix shingles by which a pair that has met already is known; others are met again, never missed.
 BEFORE = 16
 SEGMENTS = 64
+#: Classes of a component in one block, about; a task holds the sets of two.
+BLOCK = 128
+#: Shingles that are counted at once in a pair of blocks.
+COUNTED = 4096
 
 
 # ---- sets -------------------------------------------------------------------------------------
@@ -159,7 +167,7 @@ def passes(bits: np.ndarray, digests: list[bytes]) -> np.ndarray:
 
 
 def classes_of(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """One row per distinct non-empty set: cid, digest, smallest id, n, prefix, part counts, parities."""
+    """One row per distinct non-empty set: cid, digest, smallest id, rows, n, prefix, part counts, parities."""
     rarity = np.minimum(255, 8 * np.log2(1.0 + shingle_counts(texts.select("_text"), size))).astype(np.uint8)
     shared = texts.sparkSession.sparkContext.broadcast(rarity)
 
@@ -172,7 +180,7 @@ def classes_of(texts: DataFrame, size: int, percent: int) -> DataFrame:
         return out
 
     rows = map_rows(texts, ["_id", "_text"], work, "_id bigint, digest binary, n int, prefix array<bigint>, parts binary, bits array<bigint>")
-    one = rows.groupBy("digest").agg(F.min("_id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts"), F.first("bits").alias("bits"))
+    one = rows.groupBy("digest").agg(F.min("_id").alias("first_id"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts"), F.first("bits").alias("bits"))
     return materialize(one.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
 
@@ -205,8 +213,8 @@ def after_suffix_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> D
     return pairs.join(one, "a").join(two, "b").select("a", "b", "parts_a", "parts_b").mapInArrow(work, "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of candidate pairs (a, b) of classes, those whose sets are alike."""
+def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of candidate pairs (a, b) of classes, those whose sets are alike; and (cid, shingles) of all classes in candidates."""
     pairs = materialize(after_suffix_filter(pairs, classes, percent), "candidates")
     asked = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select("b")).distinct()
     named = classes.select("cid", "digest").join(asked, "cid", "left_semi")
@@ -237,7 +245,7 @@ def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int,
 
     left = whole.select(F.col("cid").alias("a"), F.col("shingles").alias("set_a"))
     right = whole.select(F.col("cid").alias("b"), F.col("shingles").alias("set_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a bigint, b bigint"), whole
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -258,8 +266,59 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def linked_classes(texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The classes, and (cid, label) of those with a link to another class."""
+def alike_in_run(n: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets are alike, as a matrix; of two blocks only pairs across them."""
+    shingles, at = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], np.repeat(np.arange(len(sets)), n)[order]
+    same = np.zeros((len(sets), len(sets)), np.int64)
+    for first in range(0, len(shingles), COUNTED):
+        lo, hi = np.searchsorted(at, (first, first + COUNTED))
+        held = np.zeros((len(sets), min(COUNTED, len(shingles) - first)), np.float32)
+        held[owner[lo:hi], at[lo:hi] - first] = 1
+        same += (held @ held.T).astype(np.int64)
+    out = 100 * same >= percent * (n[:, None] + n - same)
+    np.fill_diagonal(out, False)
+    return out & (sides[:, None] != sides) if sides.min() < sides.max() else out
+
+
+def link_sums(classes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(cid, linked): rows of other classes whose sets are like that of the class; classes without any are left out."""
+    blocks = labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    dealt = labels.join(blocks, "label").withColumn("side", F.pmod(F.xxhash64("cid"), "blocks"))
+    dealt = dealt.join(classes.select("cid", "rows"), "cid").join(sets, "cid")
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    met = met.select("label", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "cid", "side", "rows", "shingles")
+
+    def runs(batches):
+        key, held = None, []
+        for batch in batches:
+            cells = [c.to_pylist() for c in batch.columns]
+            for label, lo, hi, *row in zip(*cells, strict=True):
+                if (label, lo, hi) != key:
+                    if held:
+                        yield key, held
+                    key, held = (label, lo, hi), []
+                held.append(row)
+        if held:
+            yield key, held
+
+    def count(batches):
+        for (_, lo, hi), held in runs(batches):
+            cids, sides, rows, shingles = zip(*held, strict=True)
+            sides = np.array(sides)
+            if lo < hi and sides.min() == sides.max():  # the other block is empty
+                continue
+            found = [np.frombuffer(x, "<u8") for x in shingles]
+            linked = alike_in_run(np.array([len(x) for x in found]), sides, found, percent) @ np.array(rows, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(linked, pa.int64())], ["cid", "linked"])
+
+    dealt = met.repartition("label", "lo", "hi").sortWithinPartitions("label", "lo", "hi")
+    return dealt.mapInArrow(count, "cid bigint, linked bigint").groupBy("cid").agg(F.sum("linked").alias("linked"))
+
+
+def linked_classes(texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The classes, (cid, label) of those with a link to another class, and (cid, shingles) of at least those."""
     classes = classes_of(texts, size, percent)
     rows = classes.select("cid", "n", F.posexplode("prefix").alias("place", "shingle"))
     ends = rows.groupBy("shingle").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi")
@@ -267,7 +326,8 @@ def linked_classes(texts: DataFrame, size: int, percent: int) -> tuple[DataFrame
     shared = materialize(shared.join(classes.select("cid", "bits"), "cid"), "buckets")
     hubs = shared.where("cid = lo OR cid = hi").select("shingle", F.col("cid").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("bits").alias("other_bits"))
     near = alike("n", "place", "bits", "m", "at", "other_bits", percent)
-    links = materialize(verified(ordered_pairs(shared.join(hubs, "shingle").where((F.col("cid") != F.col("other")) & near)), texts, classes, size, percent), "links")
+    found, sets = verified(ordered_pairs(shared.join(hubs, "shingle").where((F.col("cid") != F.col("other")) & near)), texts, classes, size, percent)
+    links = materialize(found, "links")
     labels = components(links)
     # what is not yet in one component: in each bucket, all but its commonest component against the others
     told = shared.select("shingle", "cid", "n", "place").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
@@ -283,17 +343,23 @@ def linked_classes(texts: DataFrame, size: int, percent: int) -> tuple[DataFrame
     once = (F.col("label") == F.col("main")) | (F.col("cid") < F.col("other"))
     rest = ordered_pairs(mixed.join(minor, "shingle").where((F.col("label") != F.col("other_label")) & once & near & ~F.arrays_overlap("before", "other_before")))
     hub_pairs = ordered_pairs(shared.where("cid <> lo").select("cid", F.col("lo").alias("other")).unionAll(shared.where("cid <> hi").select("cid", F.col("hi").alias("other"))))
-    more = materialize(verified(rest.join(hub_pairs, ["a", "b"], "left_anti"), texts, classes, size, percent), "links")
-    return classes, components(links.unionAll(more)) if more.limit(1).count() else labels
+    found, others = verified(rest.join(hub_pairs, ["a", "b"], "left_anti"), texts, classes, size, percent)
+    more = materialize(found, "links")
+    sets = sets.unionAll(others.join(sets.select("cid"), "cid", "left_anti"))
+    return classes, components(links.unionAll(more)) if more.limit(1).count() else labels, sets
 
 
-def near_duplicates(documents: DataFrame, size: int = SIZE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def near_duplicates(documents: DataFrame, size: int = SIZE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", n_links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row, and with ``n_links`` the number of other rows that it is alike to."""
     texts = documents.select(F.col(f"`{doc_id}`").cast("bigint").alias("_id"), F.col(f"`{text}`").alias("_text"))
-    classes, labels = linked_classes(texts, size, percent)
-    named = classes.select("cid", "digest", "first_id").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    classes, labels, sets = linked_classes(texts, size, percent)
+    named = classes.select("cid", "digest", "first_id", "rows").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component"))
-    by_digest = named.join(smallest, "label").select("digest", "component")
+    by_digest = named.join(smallest, "label")
+    if n_links:
+        by_digest = by_digest.join(link_sums(classes, labels, sets, percent), "cid", "left")
+        by_digest = by_digest.withColumn("links", F.col("rows") - 1 + F.coalesce("linked", F.lit(0)))
+    by_digest = by_digest.select("digest", "component", *["links"] * n_links)
 
     def members(ids, rows):
         found = [*shingle_sets(rows, size)]
@@ -301,7 +367,8 @@ def near_duplicates(documents: DataFrame, size: int = SIZE, percent: int = PERCE
 
     rows = map_rows(texts, ["_id", "_text"], members, "_id bigint, n bigint, digest binary")
     return rows.join(by_digest, "digest", "left").select(
-        F.col("_id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "_id").alias("component_id"))
+        F.col("_id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "_id").alias("component_id"),
+        *[F.coalesce("links", F.lit(0).cast("bigint")).alias("n_links")] * n_links)
 
 
 def keep_one(documents: DataFrame, size: int = SIZE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
