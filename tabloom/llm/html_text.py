@@ -3,7 +3,8 @@
 A page becomes one sequence of tags and words. Every item has a score, words of running text above zero, tags and
 words of links mostly below; the best contiguous region of the sequence is found by one scan that keeps the best sum so
 far. The blocks of that region are the text, without subtrees whose element or class names say that they are
-not content (menus, forms, notices, adverts, comments, ...): those score nothing and are never given out.
+not content (menus, forms, notices, adverts, comments, ...): those score nothing and are never given out. A form or
+an element with such a name is not left out if it holds an ``article`` or ``main`` or most of the page's words.
 
 Scores are log odds of lying inside the content, learned from labelled pages: the few in ``html_samples`` and a bounded
 sample of the given pages that label themselves by exactly one ``article`` element. Each labelled page is counted
@@ -35,8 +36,10 @@ _token = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     r"|<(?P<raw>script|style|noscript|template|iframe|textarea|title|svg|object|select)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>", re.S | re.I)
-_named = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_hidden = re.compile(r"""\bhidden\b(?!\s*=)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_named = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_hidden = re.compile(r"""aria-hidden\s*=\s*["']?true|\bstyle\s*=\s*(?:"[^"]*display\s*:\s*none|'[^']*display\s*:\s*none|display\s*:\s*none)""", re.I)
+_values = re.compile(r"""=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)""")
+_bare_hidden = re.compile(r"(?:^|\s)hidden(?=[\s/]|$)", re.I)
 _parts = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,7 +54,7 @@ APART_NAMES = set(
     "gdpr notice notices alert popup modal overlay sidebar sidebars side aside rail widget widgets menu menus nav navbar navigation breadcrumb "
     "breadcrumbs pagination pager share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies "
     "discussion footer foot masthead topbar toolbar newsletter subscribe subscription signup login search searchbox skip complementary "
-    "contentinfo navigation tags metadata hidden copyright legal disclaimer outbrain taboola".split())
+    "contentinfo navigation tags metadata copyright legal disclaimer outbrain taboola".split())
 #: Elements whose class names do not count: they hold the page.
 WHOLE = {"html", "body", "article", "main"}
 #: Formatting inside running text costs nothing.
@@ -65,38 +68,56 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
         "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
-def apart(name: str, rest: str) -> bool:
-    """Whether the element is no main text by its name, or by the words of its class, id or role."""
+def hides(rest: str) -> bool:
+    """Whether a tag hides its element: the bare attribute, aria-hidden or display:none."""
+    return bool(_hidden.search(rest) or "hidden" in rest.lower() and _bare_hidden.search(_values.sub("= ", rest)))
+
+
+def named_apart(name: str, rest: str) -> bool:
+    """Whether the words of class, id or role say that the element is no main text; the ids of headings name their subject."""
+    return any(p.lower() in APART_NAMES for m in _named.finditer(rest) if name not in HEADS or m[1].lower() != "id"
+               for p in _parts.findall(m[2] or m[3] or m[4] or ""))
+
+
+def apart(name: str, rest: str) -> int:
+    """2 for an element that is no main text; 1 for a form or by its names, which may also be a wrapper of the page."""
     if name in APART:
-        return True
+        return 1 if name == "form" and not hides(rest) else 2
     if name in WHOLE or not rest.strip():
-        return False
-    if _hidden.search(rest):
-        return True
-    return any(p.lower() in APART_NAMES for m in _named.finditer(rest) for p in _parts.findall(m[1] or m[2] or m[3] or ""))
+        return 0
+    return 2 if hides(rest) else int(named_apart(name, rest))
 
 
-def items(page: str | None, label: str | None = None) -> list[tuple]:
+def items(page: str | None, label: str | None = None, wrappers: frozenset[int] | None = None) -> list[tuple]:
     """(feature, number of items, text or None, whether it starts a block, scope, labelled inside) in page order.
 
     Feature None: inside a subtree that is apart. Scope: 1 inside ``article`` or ``main``, else 0. ``label``: an
-    attribute that marks labelled content; without it the content is what lies in ``article``.
+    attribute that marks labelled content; without it the content is what lies in ``article``. ``wrappers``: where the
+    tags of wrappers start, which are not apart; found by a scan before.
     """
     out: list[tuple] = []
-    stack: list[list] = []  # name, apart, scope, link, labelled
+    stack: list[list] = []  # name, apart, scope, link, labelled, surely apart, note of a form or named element
+    notes: list[list[int]] = []  # place of the tag, words before, words up to the end, place of the end
+    cores: list[int] = []  # places of main and of articles without such a name
+    counted = 0  # words that are not surely apart
     page = page or ""
     at = 0
     fresh = True
 
     def words(text: str) -> None:
+        nonlocal counted
         n = len(text.split())
         if not n and not text:
             return
         top = stack[-1] if stack else ("", False, 0, False, False)
+        counted += 0 if stack and top[5] else n
         feature = None if top[1] else "word:link" if top[3] else "word:head" if any(s[0] in HEADS for s in stack[-3:]) else "word"
         out.append((feature, n, text, fresh, top[2], top[4]))
 
-    def close(k: int) -> None:
+    def close(k: int, place: int) -> None:
+        for s in stack[k:]:
+            if s[6]:
+                s[6][2:] = counted, place
         del stack[k:]
 
     for m in _token.finditer(page):
@@ -115,32 +136,44 @@ def items(page: str | None, label: str | None = None) -> list[tuple]:
             top = stack[-1] if stack else ("", False, 0, False, False)
             out.append((None if top[1] else f"/{kind}", 1, None, False, top[2], top[4]))
             if k is not None and (block or not any(s[0] not in INLINE for s in stack[k + 1:])):
-                close(k)
+                close(k, m.start())
         else:
             if block:  # a new block ends an open paragraph and formatting left open in it
                 k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE), None)
                 if k is not None and stack[k][0] in ENDED:
-                    close(k)
+                    close(k, m.start())
             if name in ENDS:
                 own, edge = ENDS[name]
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in edge:
                         break
                     if stack[i][0] in own:
-                        close(i)
+                        close(i, m.start())
                         break
             top = stack[-1] if stack else ("", False, 0, False, False)
             within = top[2] or int(name in ("article", "main"))
-            gone = top[1] or apart(name, rest) or (name == "header" and not top[2])
+            kept_out = apart(name, rest)
+            note = [m.start(), counted, counted, m.start()] if kept_out == 1 else None
+            sure = bool(stack and top[5]) or kept_out == 2 or (name == "header" and not top[2])
+            if not sure and (name == "main" or name == "article" and not named_apart(name, rest)):
+                cores.append(m.start())
+            gone = top[1] or sure or (kept_out == 1 and m.start() not in (wrappers or ()))
             marked = top[4] or (name == "article" if label is None else label in rest)
             out.append((None if gone else kind, 1, None, False, within, marked))
             if name not in VOID and not rest.endswith("/"):
-                stack.append([name, gone, within, top[3] or name == "a", marked])
+                stack.append([name, gone, within, top[3] or name == "a", marked, sure, note])
+                if note:
+                    notes.append(note)
         if name == "br":
             out.append((None, 0, " ", False, stack[-1][2] if stack else 0, False))
         fresh = fresh or block
     if at < len(page):
         words(entities.unescape(page[at:]))
+    if wrappers is None and notes:
+        close(0, len(page))
+        found = frozenset(a for a, before, upto, b in notes if 2 * (upto - before) > counted or any(a < c < b for c in cores))
+        if found:
+            return items(page, label, found)
     return out
 
 
