@@ -36,6 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tabloom.llm.common import LOWER_TABLE, blank_word_bounds, chunks, join_words, map_rows, to_bytes, word_hashes
 from tabloom.sources.runtime import materialize
@@ -349,9 +350,8 @@ def linked_classes(texts: DataFrame, size: int, percent: int) -> tuple[DataFrame
     return classes, components(links.unionAll(more)) if more.limit(1).count() else labels, sets
 
 
-def near_duplicates(documents: DataFrame, size: int = SIZE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", n_links: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row, and with ``n_links`` the number of other rows that it is alike to."""
-    texts = documents.select(F.col(f"`{doc_id}`").cast("bigint").alias("_id"), F.col(f"`{text}`").alias("_text"))
+def members(texts: DataFrame, size: int, percent: int, n_links: bool = False) -> DataFrame:
+    """_id, n, digest, label and smallest id of the component, with ``n_links`` also links, of every row."""
     classes, labels, sets = linked_classes(texts, size, percent)
     named = classes.select("cid", "digest", "first_id", "rows").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component"))
@@ -359,22 +359,51 @@ def near_duplicates(documents: DataFrame, size: int = SIZE, percent: int = PERCE
     if n_links:
         by_digest = by_digest.join(link_sums(classes, labels, sets, percent), "cid", "left")
         by_digest = by_digest.withColumn("links", F.col("rows") - 1 + F.coalesce("linked", F.lit(0)))
-    by_digest = by_digest.select("digest", "component", *["links"] * n_links)
+    by_digest = by_digest.select("digest", "label", "component", *["links"] * n_links)
 
-    def members(ids, rows):
+    def work(ids, rows):
         found = [*shingle_sets(rows, size)]
         return ids, [len(s) for s in found], [digest(s) if len(s) else None for s in found]
 
-    rows = map_rows(texts, ["_id", "_text"], members, "_id bigint, n bigint, digest binary")
-    return rows.join(by_digest, "digest", "left").select(
+    return map_rows(texts, ["_id", "_text"], work, "_id bigint, n bigint, digest binary").join(by_digest, "digest", "left")
+
+
+def named_texts(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return documents.select(F.col(f"`{doc_id}`").cast("bigint").alias("_id"), F.col(f"`{text}`").alias("_text"))
+
+
+def near_duplicates(documents: DataFrame, size: int = SIZE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", n_links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row, and with ``n_links`` the number of other rows that it is alike to."""
+    return members(named_texts(documents, doc_id, text), size, percent, n_links).select(
         F.col("_id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "_id").alias("component_id"),
         *[F.coalesce("links", F.lit(0).cast("bigint")).alias("n_links")] * n_links)
 
 
 def keep_one(documents: DataFrame, size: int = SIZE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows, all columns, without those of a component's other documents; repeated rows stay once, null ids stay."""
-    found = near_duplicates(documents, size, percent, doc_id, text)
-    gone = found.where(F.col("component_id") != F.col(doc_id)).select(F.col(doc_id).alias("_gone"))
-    left = documents.join(gone, F.col(f"`{doc_id}`") == F.col("_gone"), "left_anti")
-    n, distinct = documents.agg(F.count(f"`{doc_id}`"), F.countDistinct(f"`{doc_id}`")).first()
-    return left.dropDuplicates() if n > distinct else left
+    """Of every component one row, all columns: of its smallest id, and there of the smallest digest. Null ids stay.
+
+    Rows are told apart by id and set, so an id may occur on several texts. Repeated rows of an id stay once; those
+    without a shingle if all their columns are equal.
+    """
+    rows = members(named_texts(documents, doc_id, text), size, percent).where("_id IS NOT NULL").groupBy("_id", "digest", "label").agg(F.count(F.lit(1)).alias("k"))
+    rows = materialize(rows, "members")
+    first = rows.where("digest IS NOT NULL").groupBy("label").agg(F.min(F.struct("_id", "digest")).alias("first"))
+    gone = rows.join(first, "label").where(F.struct("_id", "digest") != F.col("first")).select(F.col("_id").alias("_gone"), F.col("digest").alias("_gone_set"))
+
+    def mark(batches):
+        for batch in batches:
+            cells, sets = batch.column(batch.schema.names.index(text)).to_pylist(), []
+            for lo, hi in chunks([len(t) if t else 1 for t in cells]):
+                sets += [digest(s) if len(s) else None for s in shingle_sets(cells[lo:hi], size)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sets, pa.binary())], [*batch.schema.names, "_own_set"])
+
+    marked = documents.mapInArrow(mark, StructType([*documents.schema.fields, StructField("_own_set", BinaryType())]))
+    name = F.col(f"`{doc_id}`").cast("bigint")
+    left = marked.join(gone, (name == F.col("_gone")) & (F.col("_own_set") == F.col("_gone_set")), "left_anti")
+    often = rows.where("k > 1").select(F.col("_id").alias("_often"), F.col("digest").alias("_often_set"))
+    if not often.limit(1).count():
+        return left.drop("_own_set")
+    same = (name == F.col("_often")) & F.col("_own_set").eqNullSafe(F.col("_often_set"))
+    again = left.join(often, same, "left_semi")
+    once = again.where("_own_set IS NOT NULL").dropDuplicates([doc_id, "_own_set"]).unionAll(again.where("_own_set IS NULL").dropDuplicates())
+    return left.join(often, same, "left_anti").unionAll(once).drop("_own_set")
