@@ -1,9 +1,9 @@
 """Token counts without token ids.
 
-A document is a list of pre-token frequencies; every distinct pre-token of a task is counted in pieces once, by the
-tokenizers library; counts and frequencies are joined by unit number and summed per document. No document's ids are
-made, and nothing moves between tasks: frequencies would be many times larger than the counts they are joined to, so
-the join is done where they lie, over the distinct units of a stretch of documents.
+A document is a list of units parted by blanks. A unit new to a worker is counted in pieces by the tokenizers library and
+remembered; every occurrence is looked up and the counts are summed per document. There are no frequencies and no join:
+a unit is counted once per worker, and again after the remembered units reached their bound and were dropped. No
+document's ids are made, and nothing moves between tasks.
 
 Special tokens inside a text are one token each, as the library counts them by default. Defined cases: null is the
 empty text, with no byte and no token; repeated rows are counted one by one; other columns are not read.
