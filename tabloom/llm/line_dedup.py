@@ -224,8 +224,10 @@ def drop_repeated_lines(documents: DataFrame, min_chars: int = MIN_CHARS, most_b
     shared = documents.sparkSession.sparkContext.broadcast(twice_filter(documents, text, min_chars, most_bits))
     found = materialize(documents.select(number.alias("doc"), t.alias("text")).mapInArrow(
         _suspects(shared, min_chars), "digest binary, doc long, row long"), "suspects")
-    repeats = found.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    # Both lists are written: a join of two plain scans can split a line or a text that a third of all rows hold.
+    repeats = materialize(found.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last"), "repeats")
     drops = found.join(repeats, "digest").where("doc > first").groupBy("doc", "row").agg(F.collect_set("digest").alias("drops"))
+    drops = materialize(drops, "drops")
 
     rows = documents.select(i.alias("doc_id"), number.alias("doc"), t.alias("text"))
     kind = StructType([*rows.schema.fields, StructField("row", LongType())])
