@@ -7,15 +7,17 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabloom.functions.rng import laplace, uniform
-from tabloom.operators.coerce import number, numeric_columns, standardize
+from tabloom.operators.coerce import column_moments, number, numeric_columns, standardize
 from tabloom.operators.order import exact_quantiles, key_index, neighbour_gaps
 from tabloom.sources.runtime import materialize
 
-BLOCK = 2048  # attackers handled per pass; more are done in further passes
+BLOCK = 65_536  # attackers of one broadcast; more are done in further passes
 CHUNK = 2048  # pool rows compared at once inside a task
+LEAF = 16  # attackers in a leaf of the tree
+FIRST_ROWS = 20_000  # about so many pool rows give the first bounds of a large pool
 
 
 def sample_with_replacement(df: DataFrame, size: int, key: str, seed=0, label: str = "attackers") -> DataFrame:
@@ -37,101 +39,168 @@ def laplace_noise(df: DataFrame, columns: list[str], level: float, key: str, see
     })
 
 
-def _nearest_in_task(points: np.ndarray, draws: np.ndarray, columns: list[str], key: str, k: int):
-    """A task's k nearest pool rows per attacker, by (distance, key)."""
-
+class AttackerTree:
+    """A k-d tree over the attackers: boxes halved along their widest side, down to ``LEAF`` points."""
+
+    def __init__(self, points: np.ndarray):
+        self.order = np.arange(len(points))
+        self.points = points
+        self.nodes: list[tuple] = []  # (low, high, start, end, left, right)
+        if len(points):
+            self._grow(0, len(points))
+        self.points = points[self.order]
+
+    def _grow(self, start: int, end: int) -> int:
+        mine = self.points[self.order[start:end]]
+        low, high, at = mine.min(axis=0), mine.max(axis=0), len(self.nodes)
+        self.nodes.append(())
+        left = right = -1
+        widest = int(np.argmax(high - low))
+        if end - start > LEAF and high[widest] > low[widest]:
+            half = (end - start) // 2
+            self.order[start:end] = self.order[start:end][np.argpartition(mine[:, widest], half)]
+            left, right = self._grow(start, start + half), self._grow(start + half, end)
+        self.nodes[at] = (low, high, start, end, left, right)
+        return at
+
+    def improving(self, x: np.ndarray, bound: np.ndarray):
+        """(row, attacker place, distance) of all pairs whose distance is at most the attacker's bound."""
+        found, open_ = [], [(0, np.arange(len(x)))] if self.nodes and len(x) else []
+        while open_:
+            at, rows = open_.pop()
+            low, high, start, end, left, right = self.nodes[at]
+            gap = np.maximum(np.maximum(low - x[rows], x[rows] - high), 0.0)
+            far = bound[start:end].max()
+            rows = rows[np.sqrt((gap * gap).sum(axis=1)) <= far * (1 + 1e-9)]  # the slack covers rounding only
+            if not len(rows):
+                continue
+            if left >= 0:
+                open_ += [(left, rows), (right, rows)]
+                continue
+            sq = np.zeros((len(rows), end - start))
+            for j in range(x.shape[1]):
+                diff = self.points[start:end, j][None, :] - x[rows, j][:, None]
+                sq += diff * diff
+            dist = np.sqrt(sq)
+            r, a = np.nonzero(dist <= bound[start:end][None, :])
+            found.append((rows[r], a + start, dist[r, a]))
+        return [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+
+
+def _nearest_in_task(shared, columns: list[str], key: str, variant: str, k: int):
+    """A task's k nearest pool rows per variant and attacker, by (distance, key).
+
+    ``shared`` holds the tree, the draws in its order and, per variant, bounds that no wanted distance exceeds.
+    """
     def smallest(d: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((d["_key"].to_numpy(), d["_dist"].to_numpy(), d["_at"].to_numpy()))
-        d = d.iloc[order]
+        d = d.iloc[np.lexsort((d["_key"].to_numpy(), d["_dist"].to_numpy(), d["_at"].to_numpy()))]
         return d[d.groupby("_at", sort=False).cumcount() < k]
 
     def run(batches):
-        best = None
-        limit = np.full(len(points), np.inf)
+        tree, draws, first = shared.value
+        best: dict[int, pd.DataFrame] = {}
+        limits: dict[int, np.ndarray] = {}
         for pdf in batches:
-            for start in range(0, len(pdf), CHUNK):
-                part = pdf.iloc[start : start + CHUNK]
-                x = part[columns].to_numpy(dtype=float)
-                sq = np.zeros((len(points), len(x)))
-                for j in range(points.shape[1]):
-                    diff = points[:, j : j + 1] - x[None, :, j]
-                    sq += diff * diff
-                dist = np.sqrt(sq)
-                kth = min(k, dist.shape[1]) - 1
-                bound = np.minimum(limit, np.partition(dist, kth, axis=1)[:, kth] if kth + 1 == k else np.inf)
-                at, row = np.nonzero(dist <= bound[:, None])
-                if not len(at):
-                    continue
-                found = part.iloc[row].drop(columns=columns).reset_index(drop=True)
-                found["_at"], found["_dist"] = at, dist[at, row]
-                found = found.rename(columns={key: "_key"})
-                best = smallest(found if best is None else pd.concat([best, found], ignore_index=True))
-                worst = best.groupby("_at")["_dist"].agg(["size", "max"])
-                full = worst[worst["size"] == k]
-                limit[full.index.to_numpy()] = full["max"].to_numpy()
-        if best is not None:
-            out = best.copy()
+            for number, rows in pdf.groupby(variant, sort=False):
+                limit = limits.setdefault(number, first.get(number, np.full(len(draws), np.inf)).copy())
+                for start in range(0, len(rows), CHUNK):
+                    part = rows.iloc[start : start + CHUNK]
+                    row, at, dist = tree.improving(part[columns].to_numpy(dtype=float), limit)
+                    if not len(row):
+                        continue
+                    found = part.iloc[row].drop(columns=columns).reset_index(drop=True).rename(columns={key: "_key"})
+                    found["_at"], found["_dist"] = at, dist
+                    mine = best[number] = smallest(pd.concat([best[number], found], ignore_index=True) if number in best else found)
+                    worst = mine.groupby("_at")["_dist"].agg(["size", "max"])
+                    full = worst[worst["size"] == k]
+                    limit[full.index.to_numpy()] = np.minimum(limit[full.index.to_numpy()], full["max"].to_numpy())
+        for mine in best.values():
+            out = mine.copy()
             out["_draw"] = draws[out["_at"].to_numpy()]
             yield out.drop(columns="_at")
 
     return run
 
 
-def nearest_rows(attackers: DataFrame, pool: DataFrame, numeric: list[str], categorical: list[str], draw: str, key: str, k: int = 5) -> DataFrame:
-    """(draw, key, dist, p_<cat>...): the k nearest pool rows of each attacker over the numeric columns.
+def nearest_rows(attackers: DataFrame, pool: DataFrame, numeric: list[str], categorical: list[str], draw: str, key: str, k: int = 5,
+                 variant: str | None = None) -> DataFrame:
+    """(variant, draw, key, dist, p_<cat>...): the k nearest pool rows of each attacker over the numeric columns.
 
-    The pool stays where it is: tasks keep k rows per attacker, and a second top-k runs over those.
-    Attackers go out in blocks of at most ``BLOCK`` rows, so what a task holds is bounded.
+    ``variant`` numbers pools that lie in one table (noise levels, candidates): all are searched in the same scan. The pool
+    stays where it is; the attackers, a sample of bounded size, go out as a tree in blocks of at most ``BLOCK``, and a pool row
+    meets only those whose k nearest it can still improve. For a large pool, some ``FIRST_ROWS`` of its rows give bounds that
+    all tasks start from. Tasks keep k rows per attacker, and a second top-k runs over those.
     """
-    spark = pool.sparkSession
+    spark, tag = pool.sparkSession, variant or "_variant"
     cats = [f"p_{c}" for c in categorical]
-    slim = pool.select(*numeric, key, *[F.col(c).cast("string").alias(p) for c, p in zip(categorical, cats)])
+    pool = pool if variant else pool.withColumn(tag, F.lit(0))
+    slim = pool.select(F.col(tag).cast("int").alias("_variant"), *numeric, key, *[F.col(c).cast("string").alias(p) for c, p in zip(categorical, cats)])
     schema = T.StructType([
-        T.StructField("_key", pool.schema[key].dataType), *[T.StructField(p, T.StringType()) for p in cats],
+        T.StructField("_variant", T.IntegerType()), T.StructField("_key", pool.schema[key].dataType), *[T.StructField(p, T.StringType()) for p in cats],
         T.StructField("_dist", T.DoubleType()), T.StructField("_draw", T.LongType())])
+    w = Window.partitionBy("_variant", "_draw").orderBy("_dist", "_key")
+
+    def nearest(rows: DataFrame, shared) -> DataFrame:
+        found = rows.mapInPandas(_nearest_in_task(shared, numeric, key, "_variant", k), schema)
+        return found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)
+
     numbered = attackers.select(F.col(draw).cast("long").alias(draw), *numeric)
-    total = numbered.count()
+    total, size = numbered.count(), slim.count()
     parts, after = [], None
     for _ in range(0, total, BLOCK):
         rest = numbered if after is None else numbered.where(F.col(draw) > after)
         block = rest.orderBy(draw).limit(BLOCK).toPandas()
         after = int(block[draw].iloc[-1])
-        fn = _nearest_in_task(block[numeric].to_numpy(dtype=float), block[draw].to_numpy(), numeric, key, k)
-        parts.append(slim.mapInPandas(fn, schema))
-    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
-    w = Window.partitionBy("_draw").orderBy("_dist", "_key")
-    best = found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)
-    return best.select(F.col("_draw").alias(draw), F.col("_key").alias(key), F.col("_dist").alias("dist"), *cats)
-
-
-def fewest_mismatches(attackers: DataFrame, pool: DataFrame, categorical: list[str], draw: str) -> DataFrame:
-    """(draw, distance): fewest differing categories over the whole pool.
+        tree = AttackerTree(block[numeric].to_numpy(dtype=float))
+        draws, first = block[draw].to_numpy()[tree.order], {}
+        if size > 4 * FIRST_ROWS:
+            some = slim.where(uniform(0, "bounds", key) < F.lit(FIRST_ROWS / size))
+            rows = nearest(some, spark.sparkContext.broadcast((tree, draws, {}))).where(F.col("_n") == k).select("_variant", "_draw", "_dist").toPandas()
+            place = pd.Series(np.arange(len(draws)), index=draws)
+            for number, mine in rows.groupby("_variant"):
+                first[number] = np.full(len(draws), np.inf)
+                first[number][place[mine["_draw"]].to_numpy()] = mine["_dist"].to_numpy()
+        parts.append(nearest(slim, spark.sparkContext.broadcast((tree, draws, first))))
+    best = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    return best.select(*([F.col("_variant").alias(variant)] if variant else []), F.col("_draw").alias(draw), F.col("_key").alias(key),
+                       F.col("_dist").alias("dist"), *cats)
+
+
+def fewest_mismatches(attackers: DataFrame, pool: DataFrame, categorical: list[str], draw: str, variant: str | None = None) -> DataFrame:
+    """(variant, draw, distance): fewest differing categories over the whole pool.
 
     For every subset of categories that may agree, the pool's distinct combinations are joined on that
     subset; the largest agreeing subset decides. Only distinct combinations move.
     """
-    combos = pool.select(*[F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias(c) for c in categorical]).distinct()
-    a = attackers.select(draw, *[F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias(c) for c in categorical])
-    best = a.select(draw, F.lit(float(len(categorical))).alias("distance"))
+    by = [variant] if variant else []
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias(c) for c in categorical]
+    combos = pool.select(*by, *text).distinct()
+    a = attackers.select(draw, *text)
+    if variant:  # the numbers of the pools are few
+        numbers = [r[0] for r in combos.select(variant).distinct().orderBy(variant).collect()]
+        a = a.withColumn(variant, F.explode(F.array(*[F.lit(n).cast(combos.schema[variant].dataType) for n in numbers]))) if numbers else a.where("false").withColumn(variant, F.lit(0))
+    best = a.select(*by, draw, F.lit(float(len(categorical))).alias("distance"))
     for mask in product((0, 1), repeat=len(categorical)):
         same = [c for c, m in zip(categorical, mask) if m]
         if same:
-            hits = a.join(combos.select(*same).distinct(), same, "left_semi")
-            best = best.unionByName(hits.select(draw, F.lit(float(len(categorical) - len(same))).alias("distance")))
-    return best.groupBy(draw).agg(F.min("distance").alias("distance"))
+            hits = a.join(combos.select(*by, *same).distinct(), [*by, *same], "left_semi")
+            best = best.unionByName(hits.select(*by, draw, F.lit(float(len(categorical) - len(same))).alias("distance")))
+    return best.groupBy(*by, draw).agg(F.min("distance").alias("distance"))
 
 
-def knn_mixed_distance(attackers: DataFrame, pool: DataFrame, numeric: list[str], categorical: list[str], draw: str, key: str, k: int = 5) -> DataFrame:
-    """(draw, distance): over the k numerically nearest pool rows, the least distance plus mismatches.
+def knn_mixed_distance(attackers: DataFrame, pool: DataFrame, numeric: list[str], categorical: list[str], draw: str, key: str, k: int = 5,
+                       variant: str | None = None) -> DataFrame:
+    """(variant, draw, distance): over the k numerically nearest pool rows, the least distance plus mismatches.
 
     Numeric columns are expected on a common scale already.
     """
     if not numeric:
-        return fewest_mismatches(attackers, pool, categorical, draw)
-    near = nearest_rows(attackers, pool, numeric, categorical, draw, key, k)
+        return fewest_mismatches(attackers, pool, categorical, draw, variant)
+    near = nearest_rows(attackers, pool, numeric, categorical, draw, key, k, variant)
     mine = attackers.select(draw, *[F.col(c).cast("string").alias(f"a_{c}") for c in categorical])
     miss = sum(((~F.col(f"a_{c}").eqNullSafe(F.col(f"p_{c}"))).cast("double") for c in categorical), F.lit(0.0))
-    return near.join(mine, draw).groupBy(draw).agg(F.min(F.col("dist") + miss).alias("distance"))
+    by = [variant] if variant else []
+    return near.join(mine, draw).groupBy(*by, draw).agg(F.min(F.col("dist") + miss).alias("distance"))
 
 
 # ---- distance of every row to its nearest other row -------------------------------------------
@@ -228,32 +297,82 @@ def _quasi(synthetic: DataFrame, reference: DataFrame, identifiers: list[str]) -
     return numeric, [c for c in qi if c not in numeric]
 
 
+def noisy_pools(pool: DataFrame, numeric: list[str], others: list[str], levels: list[float], key: str, seed, scale_by: DataFrame) -> DataFrame:
+    """The pool once for every noise level, scaled by ``scale_by``, told apart by ``_level``: one scan, its rows multiplied."""
+    filled = {c: F.coalesce(number(pool, c), F.lit(0.0)) for c in numeric}
+    own = pool.agg(*[F.stddev_pop(x).alias(c) for c, x in filled.items()])
+    base = scale_by.withColumns({c: F.coalesce(number(scale_by, c), F.lit(0.0)) for c in numeric})
+    moments = column_moments(base, numeric)
+    cells = []
+    for i, level in enumerate(levels):
+        made = {c: x + laplace(uniform(seed, f"noise/{c}", key), F.lit(float(level)) * F.coalesce(F.nullif(own.select(c).scalar(), F.lit(0.0)), F.lit(1.0)))
+                if level else x for c, x in filled.items()}
+        cells.append(F.struct(F.lit(i).alias("_level"), *[
+            ((x - moments.select(f"mean_{c}").scalar()) / F.coalesce(F.nullif(moments.select(f"std_{c}").scalar(), F.lit(0.0)), F.lit(1.0))).alias(c)
+            for c, x in made.items()]))
+    return pool.select(key, *others, F.explode(F.array(*cells)).alias("_n")).select(key, *others, "_n.*")
+
+
 def noise_tradeoff(
     synthetic: DataFrame, reference: DataFrame, identifiers: list[str], levels: list[float], key: str,
     attackers: int = 1000, seed=0, scale: str = "reference",
 ) -> DataFrame:
     """(noise_level, threshold, rate): share of attackers closer than the threshold, per noise level.
 
-    ``scale="own"`` rescales attackers, pool and reference each by their own moments.
+    All levels are searched in one scan of the synthetic table. ``scale="own"`` rescales attackers, pool and reference each by
+    their own moments.
     """
     numeric, cats = _quasi(synthetic, reference, identifiers)
     ref = reference.select(key, *numeric, *cats)
+    pool = synthetic.select(key, *numeric, *cats)
 
     def scaled(df):
         return standardize(df, numeric, by=None if scale == "own" else ref) if numeric else df
 
     threshold = materialize(self_nn_threshold(scaled(ref), numeric), "threshold")
     att = materialize(scaled(sample_with_replacement(ref, attackers, key, seed)), "attackers")
-    out = []
-    for level in levels:
-        pool = synthetic.select(key, *numeric, *cats)
-        if level and numeric:
-            pool = laplace_noise(pool, numeric, level, key, seed)
-        d = knn_mixed_distance(att, scaled(pool), numeric, cats, "draw", key)
-        t = threshold.select("threshold").scalar()
-        out.append(d.agg(F.coalesce(F.avg((F.col("distance") < t).cast("int")), F.lit(0.0)).alias("rate")).select(
-            F.lit(float(level)).alias("noise_level"), t.alias("threshold"), "rate"))
-    return reduce(DataFrame.unionByName, out)
+    if not numeric:
+        pools = pool.withColumn("_level", F.explode(F.array(*[F.lit(i) for i in range(len(levels))])))
+    elif scale == "own":
+        noisy = [laplace_noise(pool, numeric, level, key, seed) if level else pool for level in levels]
+        pools = reduce(DataFrame.unionByName, [standardize(p, numeric).withColumn("_level", F.lit(i)) for i, p in enumerate(noisy)])
+    else:
+        pools = noisy_pools(pool, numeric, cats, levels, key, seed, ref)
+    t = threshold.select("threshold").scalar()
+    rates = closer_rates(knn_mixed_distance(att, pools, numeric, cats, "draw", key, variant="_level"), t, "_level")
+    named = ref.sparkSession.createDataFrame([(i, float(level)) for i, level in enumerate(levels)], "_level int, noise_level double")
+    return named.join(rates, "_level", "left").select("noise_level", t.alias("threshold"), F.coalesce("rate", F.lit(0.0)).alias("rate"))
+
+
+def closer_rates(distances: DataFrame, threshold: Column, variant: str) -> DataFrame:
+    """(variant, rate): share of attackers with a smaller distance than the threshold."""
+    return distances.groupBy(variant).agg(F.avg((F.col("distance") < threshold).cast("int")).alias("rate"))
+
+
+def risk_facts(reference: DataFrame, identifiers: list[str], key: str, row: str, attackers: int, seed=0) -> dict:
+    """What the tables of many candidates are compared with: the scaled attackers and the threshold, written once.
+
+    ``row`` is the name that the key has in the candidates' tables.
+    """
+    numeric, cats = _quasi(reference, reference, identifiers)
+    ref = reference.select(F.col(key).alias(row), *numeric, *cats)
+
+    def scaled(df):
+        return standardize(df, numeric, by=ref) if numeric else df
+
+    return {"numeric": numeric, "categorical": cats, "row": row, "scaled": scaled,
+            "threshold": materialize(self_nn_threshold(scaled(ref), numeric), "threshold"),
+            "attackers": materialize(scaled(sample_with_replacement(ref, attackers, row, seed)), "attackers")}
+
+
+def candidate_risk(samples: DataFrame, facts: dict, candidate: str, candidates: int) -> DataFrame:
+    """(candidate, reid_rate) of all candidates' tables, searched in one scan against the same attackers."""
+    numeric, cats = facts["numeric"], facts["categorical"]
+    pools = facts["scaled"](samples.select(candidate, facts["row"], *numeric, *cats))
+    distances = knn_mixed_distance(facts["attackers"], pools, numeric, cats, "draw", facts["row"], variant=candidate)
+    rates = closer_rates(distances, facts["threshold"].select("threshold").scalar(), candidate)
+    every = samples.sparkSession.range(candidates).select(F.col("id").cast("int").alias(candidate))
+    return every.join(rates, candidate, "left").select(candidate, F.coalesce("rate", F.lit(0.0)).alias("reid_rate"))
 
 
 def reid_risk(

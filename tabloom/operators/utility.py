@@ -9,6 +9,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tabloom.functions.rng import uniform
+from tabloom.operators import boosting
 from tabloom.operators.coerce import drop_null_target, number, numeric_columns
 from tabloom.operators.profile import rank_correlation, value_counts, with_ranks
 from tabloom.operators.realism import topk_shares
@@ -48,21 +49,25 @@ def confusion_matrix(scored: DataFrame, truth: str = "y", predicted: str = "pred
     return scored.groupBy(truth, predicted).agg(F.count(F.lit(1)).alias("n"))
 
 
-def predictions(synthetic: DataFrame, reference: DataFrame, target: str, key: str, seed: int = 0, trees: int = 50, test_share: float = 0.2,
-                task: str | None = None):
-    """(scored reference rows with ``is_test``, is_classification): fit on synthetic, score on real.
-
-    Encoders are fitted once, on the training table. ``task`` is "classification" or "regression"; without it the
-    target's type and number of distinct values decide (``is_classification``).
-    """
-    s, r = drop_null_target(synthetic, target), hash_split(drop_null_target(reference, target), key, test_share, seed)
-    features = [c for c in s.columns if c in r.columns and c not in (target, key)]
-    numeric = numeric_columns(s, features)
+def shared_features(synthetic: DataFrame, reference: DataFrame, target: str, skip: tuple = ()) -> tuple[list[str], list[str]]:
+    """(numeric, text) columns that both tables have."""
+    features = [c for c in synthetic.columns if c in reference.columns and c not in (target, *skip)]
+    numeric = numeric_columns(synthetic, features)
     numeric = [c for c in features if c in numeric]
-    text = [c for c in features if c not in numeric and isinstance(s.schema[c].dataType, (T.StringType, T.BooleanType))]
+    return numeric, [c for c in features if c not in numeric and isinstance(synthetic.schema[c].dataType, (T.StringType, T.BooleanType))]
+
+
+def is_task(synthetic: DataFrame, target: str, task: str | None) -> bool:
+    """Whether classes are to be told apart; ``task`` says so, or the target's type and number of values."""
     if task not in (None, "classification", "regression"):
         raise ValueError(f"unknown task {task}")
-    classify = is_classification(s, target) if task is None else task == "classification"
+    return is_classification(synthetic, target) if task is None else task == "classification"
+
+
+def forest_predictions(synthetic: DataFrame, reference: DataFrame, target: str, key: str, seed: int, trees: int, test_share: float, task: str | None):
+    s, r = drop_null_target(synthetic, target), hash_split(drop_null_target(reference, target), key, test_share, seed)
+    numeric, text = shared_features(s, r, target, (key,))
+    classify = is_task(s, target, task)
     train, fitted = onehot_top(s, text)
     score, _ = onehot_top(r, text, fitted=fitted)
     marks = [f"{c}__{i}" for c in text for i in range(len(fitted[c]))]
@@ -88,31 +93,87 @@ def predictions(synthetic: DataFrame, reference: DataFrame, target: str, key: st
     return model.transform(score).select(key, "y", "prediction", "is_test"), classify
 
 
-def train_synth_test_real(synthetic: DataFrame, reference: DataFrame, target: str, key: str, seed: int = 0, trees: int = 50,
-                          task: str | None = None) -> DataFrame:
-    """One row: score on the real training part, score on the held-out part, their difference.
+def boosted_predictions(synthetic: DataFrame, reference: DataFrame, target: str, key: str, seed: int = 0, test_share: float = 0.2,
+                        task: str | None = None, settings: boosting.Settings | None = None, group: str | None = None, groups: int = 1,
+                        group_key: str | None = None):
+    """(reference rows with key, is_test, group, y and prediction; is_classification): boosted trees fitted on synthetic rows.
 
-    Accuracy for classes; R2 on the training part and minus RMSE on the held-out part for numbers.
+    ``group`` numbers synthetic tables that lie in one, 0 to ``groups`` - 1; each gets its own models, all fitted in one job, and
+    every reference row is scored by all of them. Classes are coded by their place in ascending order of text, others as -1.
     """
-    scored, classify = predictions(synthetic, reference, target, key, seed, trees, task=task)
+    tag, row = group or "_group", group_key or key
+    s = drop_null_target(synthetic, target)
+    s = s if group else s.withColumn(tag, F.lit(0))
+    r = hash_split(drop_null_target(reference, target), key, test_share, seed)
+    numeric, text = shared_features(s, r, target, (key, row, tag))
+    classify = is_task(s, target, task)
+    train, fitted = onehot_top(s, text)
+    score, _ = onehot_top(r, text, fitted=fitted)
+    features = numeric + [f"{c}__{i}" for c in text for i in range(len(fitted[c]))]
+    classes = boosting.classes_of(train, target, tag) if classify else None
+    models = boosting.fit(train, features, target, tag, row, classes, settings or boosting.Settings(seed=seed)) if classes or not classify else []
+    # The target goes along under a name that the marks cannot have.
+    scored = boosting.predict(score.withColumn("y", F.col(target).cast("string" if classify else "double")), features, models, groups, classes or ([""] if classify else None),
+                              [key, "is_test", "y"])
+    flat = scored.select(key, "is_test", "y", F.posexplode("predicted").alias(tag, "prediction"))
+    if classify:
+        code = {c: (F.array_position(F.array(*[F.lit(v) for v in classes or [""]]), F.col(c)) - 1).cast("double") for c in ("y", "prediction")}
+        flat = flat.withColumns({c: F.coalesce(x, F.lit(-1.0 if c == "y" else -2.0)) for c, x in code.items()})
+    return flat, classify
+
+
+LEARNERS = ("boosted", "forest")
+
+
+def predictions(synthetic: DataFrame, reference: DataFrame, target: str, key: str, seed: int = 0, trees: int = 50, test_share: float = 0.2,
+                task: str | None = None, learner: str = "forest"):
+    """(scored reference rows with ``is_test``, is_classification): fit on synthetic, score on real.
+
+    Encoders are fitted once, on the training table. ``task`` is "classification" or "regression"; without it the
+    target's type and number of distinct values decide (``is_classification``). ``learner`` is "boosted" (depth 4, four fifths of rows
+    and features per tree) or "forest".
+    """
+    if learner not in LEARNERS:
+        raise ValueError(f"unknown learner {learner}")
+    if learner == "forest":
+        return forest_predictions(synthetic, reference, target, key, seed, trees, test_share, task)
+    rows, classify = boosted_predictions(synthetic, reference, target, key, seed, test_share, task, boosting.Settings(rounds=trees, seed=seed))
+    return rows.select(key, "y", "prediction", "is_test"), classify
+
+
+def utility_scores(scored: DataFrame, classify: bool, by: list[str]) -> DataFrame:
+    """Accuracy for classes; R2 on the training part and minus RMSE on the held-out part for numbers; per value of ``by``."""
     train, test = F.col("is_test") == 0, F.col("is_test") == 1
     if classify:
         hit = (F.col("y") == F.col("prediction")).cast("double")
-        rows = scored.agg(
-            F.avg(F.when(train, hit)).alias("synthetic_train_score"),
-            F.avg(F.when(test, hit)).alias("real_test_score"))
+        scores = [F.avg(F.when(train, hit)).alias("synthetic_train_score"), F.avg(F.when(test, hit)).alias("real_test_score")]
     else:
         error, known = (F.col("y") - F.col("prediction")) ** 2, F.when(train, F.col("y"))
         unexplained = F.try_divide(F.avg(F.when(train, error)), F.var_pop(known))
-        rows = scored.agg(
-            (F.lit(1.0) - unexplained).alias("synthetic_train_score"),
-            (-F.sqrt(F.avg(F.when(test, error)))).alias("real_test_score"))
-    return rows.select(
+        scores = [(F.lit(1.0) - unexplained).alias("synthetic_train_score"), (-F.sqrt(F.avg(F.when(test, error)))).alias("real_test_score")]
+    return scored.groupBy(*by).agg(*scores)
+
+
+def train_synth_test_real(synthetic: DataFrame, reference: DataFrame, target: str, key: str, seed: int = 0, trees: int = 50,
+                          task: str | None = None, learner: str = "forest") -> DataFrame:
+    """One row: score on the real training part, score on the held-out part, their difference.
+
+    Accuracy for classes; R2 on the training part and minus RMSE on the held-out part for numbers.
+    """
+    scored, classify = predictions(synthetic, reference, target, key, seed, trees, task=task, learner=learner)
+    return utility_scores(scored, classify, []).select(
         "synthetic_train_score", "real_test_score",
         (F.col("real_test_score") - F.col("synthetic_train_score")).alias("delta"),
         F.lit(int(classify)).alias("is_classification"))
 
 
+def candidate_utility(samples: DataFrame, reference: DataFrame, target: str, key: str, sample_key: str, candidate: str = "candidate",
+                      candidates: int = 1, seed: int = 0, task: str | None = None) -> DataFrame:
+    """(candidate, real_test_score, is_classification) of all candidates' tables: their models are fitted in one job."""
+    scored, classify = boosted_predictions(samples, reference, target, key, seed, task=task, group=candidate, groups=candidates, group_key=sample_key)
+    return utility_scores(scored, classify, [candidate]).select(candidate, "real_test_score", F.lit(int(classify)).alias("is_classification"))
+
+
 # ---- explanation ------------------------------------------------------------------------------
 
 
@@ -154,6 +215,7 @@ def objective_score(rows: DataFrame, objective: str = "balanced") -> DataFrame:
         "realism": F.col("realism"),
         "utility": F.col("utility_score"),
         "privacy": F.lit(100.0) - F.col("risk_score"),
+        "test_score": F.col("real_test_score"),
         "balanced": F.lit(0.45) * F.col("realism") + F.lit(0.35) * F.col("utility_score") - F.lit(0.20) * F.col("risk_score"),
     }[objective]
     return scored.withColumn("objective", value)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from tabloom.operators import privacy as PR, realism as R, sweep as T, utility as U
 from tabloom.operators.coerce import standardize
 from tabloom.operators.generate import generate
 from tabloom.operators.order import key_index
-from tabloom.plans.catalog.registry import average_rank, choice, query, rounded, table, u
+from tabloom.plans.catalog.registry import average_rank, choice, query, rounded, table, u, z
 from tabloom.plans.catalog.specs import PRIORITIES, SEED, SEGMENT_PROBS, SEGMENTS, STATUSES, SYNTHETIC_CUSTOMER
 from tabloom.plans.catalog.tables import SYNTHETIC_SQL, synthetic_orders
 from tabloom.sources.runtime import materialize
@@ -31,14 +33,14 @@ def union(parts) -> str:
 GEN = f"g AS ({SYNTHETIC_SQL})"
 
 
-def ks_sql(c: str) -> str:
+def ks_sql(c: str, gen: str = "g", ref: str = "orders") -> str:
     """Both CDFs at every distinct value, the KS distance and the area between them."""
     return f"""
 SELECT '{c}' AS field, CAST(max(tg) AS BIGINT) AS n_gen, CAST(max(tr) AS BIGINT) AS n_ref, max(abs(fg - fr)) AS ks_stat,
   coalesce(sum(abs(fg - fr) * (nv - v)), 0) AS emd FROM (
   SELECT v, sum(a) OVER w / sum(a) OVER () AS fg, sum(b) OVER w / sum(b) OVER () AS fr, sum(a) OVER () AS tg, sum(b) OVER () AS tr, lead(v) OVER (ORDER BY v) AS nv
   FROM (SELECT v, CAST(sum(a) AS DOUBLE) AS a, CAST(sum(b) AS DOUBLE) AS b FROM (
-    SELECT CAST({c} AS DOUBLE) AS v, 1 AS a, 0 AS b FROM g UNION ALL SELECT CAST({c} AS DOUBLE), 0, 1 FROM orders) GROUP BY v)
+    SELECT CAST({c} AS DOUBLE) AS v, 1 AS a, 0 AS b FROM {gen} UNION ALL SELECT CAST({c} AS DOUBLE), 0, 1 FROM {ref}) GROUP BY v)
   WINDOW w AS (ORDER BY v ROWS UNBOUNDED PRECEDING))"""
 
 
@@ -253,6 +255,19 @@ def train_synth_test_real(spark, sf):
     return rounded(U.train_synth_test_real(syn, ref, "big", "o_orderkey", trees=20))
 
 
+@query("boosted_utility", f"""
+WITH t AS (SELECT o_orderkey, CAST(o_totalprice > 250000 AS INTEGER) AS big, {u(0, 'split', 'o_orderkey')} AS x FROM orders),
+s AS (SELECT big, CAST(x < 0.2e0 OR x = (SELECT min(x) FROM t) AS INTEGER) AS is_test FROM t)
+SELECT CAST(big AS DOUBLE) AS y, is_test, count(*) AS n, 1 AS in_bounds, 1 AS nearly_all_right FROM s GROUP BY big, is_test""")
+def boosted_utility(spark, sf):
+    """Rows per true class and part of the reference; the shares of right predictions lie in their bounds and near one."""
+    syn, ref = line_sides(spark, sf)
+    scored, _ = U.predictions(syn, ref, "big", "o_orderkey", learner="boosted")
+    right = F.avg((F.col("y") == F.col("prediction")).cast("double"))
+    return scored.groupBy("y", "is_test").agg(F.count(F.lit(1)).alias("n"), right.between(0.0, 1.0).cast("int").alias("in_bounds"),
+                                              (right > 0.9).cast("int").alias("nearly_all_right"))
+
+
 @query("confusion_matrix")
 def confusion_matrix(spark, sf):
     syn, ref = line_sides(spark, sf)
@@ -354,8 +369,66 @@ SEARCH = TableSpec.from_dict({"fields": [
 
 @query("score_candidates")
 def score_candidates(spark, sf):
-    ref = table(spark, sf, "orders").select("o_totalprice", "o_custkey", "o_orderstatus")
-    _, history = T.search(SEARCH, ref, rounds=2, batch=3, budget=1000, seed=SEED)
+    ref = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_custkey", "o_orderstatus")
+    _, history = T.search(SEARCH, ref, rounds=2, batch=3, budget=1000, seed=SEED, key="o_orderkey", target="o_orderstatus")
+    return rounded(history, 4)
+
+
+BASE = TableSpec.from_dict({"fields": [
+    {"name": "c_acctbal", "type": "float", "distribution": "normal", "mean": 4500, "std": 3200},
+    {"name": "c_nationkey", "type": "int", "distribution": "normal", "mean": 12, "std": 7},
+    {"name": "c_mktsegment", "type": "category", "categories": SEGMENTS, "probs": SEGMENT_PROBS}]})
+BUDGET = 400
+BASE_SQL = f"""g AS (SELECT i AS c_custkey, 4500.0e0 + 3200.0e0 * {z(SEED, 'c_acctbal', 'i')} AS c_acctbal,
+  CAST(round_even(12.0e0 + 7.0e0 * {z(SEED, 'c_nationkey', 'i')}, 0) AS BIGINT) AS c_nationkey,
+  {choice(SEGMENTS, SEGMENT_PROBS, u(SEED, 'c_mktsegment', 'i'))} AS c_mktsegment FROM (SELECT unnest(range({BUDGET})) AS i)),
+k AS ({ks_sql('c_acctbal', 'g', 'customer')} UNION ALL {ks_sql('c_nationkey', 'g', 'customer')}),
+sd AS (SELECT 'c_acctbal' AS field, stddev_pop(c_acctbal) AS s FROM customer UNION ALL SELECT 'c_nationkey', stddev_pop(c_nationkey) FROM customer),
+num AS (SELECT avg((0.4e0 * (1 - ks_stat) + 0.3e0 * exp(-emd / ((s + 1e-9) * 3.0e0))) / 0.7e0) AS score FROM k JOIN sd USING (field)),
+tg AS ({topk_sql('g', 'c_mktsegment')}), tr AS ({topk_sql('customer', 'c_mktsegment')}),
+pq AS (SELECT coalesce(tg.share, 0) AS p, coalesce(tr.share, 0) AS q FROM tg FULL JOIN tr USING (field, value)),
+sm AS (SELECT p, q, (p + 1e-12) / sum(p + 1e-12) OVER () AS a, (q + 1e-12) / sum(q + 1e-12) OVER () AS b FROM pq),
+js AS (SELECT count_if(p > 0 AND q > 0) / CAST(count(*) AS DOUBLE) AS o, sum(0.5e0 * (a * ln(a / ((a + b) / 2)) + b * ln(b / ((a + b) / 2)))) AS j FROM sm),
+ob AS (SELECT round_even(p * 100000, 0) AS o1, round_even(q * 100000, 0) AS o2 FROM pq),
+ex AS (SELECT o1, o2, sum(o1) OVER () * (o1 + o2) / (sum(o1) OVER () + sum(o2) OVER ()) AS e1, sum(o2) OVER () * (o1 + o2) / (sum(o1) OVER () + sum(o2) OVER ()) AS e2 FROM ob),
+x2 AS (SELECT sum((o1 - e1) * (o1 - e1) / e1 + (o2 - e2) * (o2 - e2) / e2) AS chi2 FROM ex),
+re AS (SELECT 100.0e0 * (0.6e0 * (SELECT score FROM num) + 0.4e0 * (0.5e0 * (1 - least(1.0e0, j)) + 0.3e0 * o + 0.2e0 * exp(-chi2 / 2) * (1 + chi2 / 2))) AS realism FROM js, x2),
+mo AS (SELECT avg(c_acctbal) AS m0, stddev_pop(c_acctbal) AS s0, avg(c_nationkey) AS m1, stddev_pop(c_nationkey) AS s1 FROM customer),
+rs AS (SELECT c_custkey, (c_acctbal - m0) / s0 AS x, (c_nationkey - m1) / s1 AS y, c_mktsegment AS seg, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer, mo),
+po AS (SELECT c_custkey, (c_acctbal - m0) / s0 AS x, (c_nationkey - m1) / s1 AS y, c_mktsegment AS seg FROM g, mo),
+n AS (SELECT count(*) AS n FROM customer),
+att AS (SELECT draw, x, y, seg FROM (SELECT i AS draw, CAST(floor({u(SEED, 'attackers', 'i')} * n) AS BIGINT) AS pick
+  FROM (SELECT unnest(range({BUDGET})) AS i), n WHERE i < n) JOIN rs ON pick = i),
+di AS (SELECT draw, min(d + miss) AS distance FROM (SELECT draw, d, miss, row_number() OVER (PARTITION BY draw ORDER BY d, c_custkey) AS k FROM (
+  SELECT a.draw, p.c_custkey, sqrt((a.x - p.x) * (a.x - p.x) + (a.y - p.y) * (a.y - p.y)) AS d, CAST(a.seg <> p.seg AS DOUBLE) AS miss FROM att a, po p)) WHERE k <= 5 GROUP BY draw),
+{THRESHOLD},
+ri AS (SELECT 100.0e0 * avg(CASE WHEN distance < t THEN 1.0e0 ELSE 0.0e0 END) AS risk FROM di, th)"""
+
+
+@query("score_base", f"""WITH {BASE_SQL}, o AS (SELECT realism, 50.0e0 AS utility, risk FROM re, ri)
+SELECT 'balanced' AS goal, round(0.45e0 * realism + 0.35e0 * utility - 0.20e0 * risk, 4) AS objective, round(realism, 4) AS realism, utility, round(risk, 4) AS privacy_risk FROM o
+UNION ALL SELECT 'privacy', round(100.0e0 - risk, 4), round(realism, 4), utility, round(risk, 4) FROM o
+UNION ALL SELECT 'realism', round(realism, 4), round(realism, 4), utility, round(risk, 4) FROM o
+UNION ALL SELECT 'utility', utility, round(realism, 4), utility, round(risk, 4) FROM o""")
+def score_base(spark, sf):
+    """The unchanged specification by all four objectives; without a target the utility is neutral."""
+    ref = table(spark, sf, "customer").select("c_custkey", *QI)
+    samples = materialize(T.candidate_tables(spark, [BASE], BUDGET, SEED), "samples")
+    goal = T.Objective(BASE, ref, key="c_custkey", attackers=min(BUDGET, ref.count()), seed=SEED)
+    rows = materialize(goal.measured(samples, 1), "measured")
+    made = [U.objective_score(rows, name).withColumn("goal", F.lit(name)) for name in ("balanced", "privacy", "realism", "utility")]
+    return rounded(reduce(DataFrame.unionByName, made).select(
+        "goal", "objective", "realism", F.col("utility_score").alias("utility"), F.col("risk_score").alias("privacy_risk")), 4)
+
+
+@query("search_utility")
+def search_utility(spark, sf):
+    """The other search: means, spreads and bounds move, and the bare held-out score of the models decides."""
+    ref = table(spark, sf, "customer").select("c_custkey", *QI).withColumn("rich", (F.col("c_acctbal") > 4500).cast("int"))
+    spec = TableSpec.from_dict({"fields": [
+        {"name": "c_acctbal", "type": "float", "min": -900, "max": 9900}, {"name": "c_mktsegment", "type": "category", "categories": SEGMENTS},
+        {"name": "rich", "type": "bool"}]})
+    _, history = T.search(spec, ref, rounds=1, batch=3, budget=500, seed=SEED, key="c_custkey", target="rich", objective="test_score", bounds=True)
     return rounded(history, 4)
 
 

@@ -29,11 +29,12 @@ def run(
     spark: SparkSession, spec: TableSpec, seed: int | str = 42, n: int | None = None, reference: DataFrame | None = None,
     reference_key: str | None = None, quasi_identifiers: list[str] | None = None, noise_level: float = 0.01,
     attackers: int = 1000, target: str | None = None, anomalies: dict | None = None, tolerance: dict | None = None,
-    search_rounds: int = 0, **generation,
+    search_rounds: int = 0, objective: str = "balanced", learner: str = "boosted", **generation,
 ) -> dict[str, DataFrame]:
     """Report tables by name. The generated table is written once to the shared folder and reused."""
     if search_rounds and reference is not None:
-        spec, history = sweep.search(spec, reference, rounds=search_rounds)
+        spec, history = sweep.search(spec, reference, rounds=search_rounds, key=reference_key, identifiers=quasi_identifiers, target=target,
+                                     objective=objective if reference_key else None)
     made = generate_table(spark, spec, seed, n, reference, **generation)
     if anomalies:
         made = tables.inject_anomalies(made, spec, anomalies.get("type", "large_exfil"), int(anomalies.get("n", 0)), seed)
@@ -75,7 +76,7 @@ def run(
             out["privacy"] = privacy.reid_risk(synthetic, reference, qi, reference_key, attackers, noise_level)
             if target:
                 out["utility"] = utility.train_synth_test_real(synthetic.select(reference_key, *num, *cat, *([target] if target not in num + cat else [])),
-                                                               reference, target, reference_key)
+                                                               reference, target, reference_key, learner=learner)
     return out
 
 
