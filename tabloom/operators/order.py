@@ -15,6 +15,8 @@ from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -116,27 +118,124 @@ def prefix_sums(
         *[(F.col(f"_r_{w}") + F.col(f"_o_{w}")).alias(f"{w}_before") for w in weights], *done)
 
 
+# ---- exact quantiles by counting digits -------------------------------------------------------
+
+DIGIT = 16
+#: Columns of one scan: a task counts 65,536 digits of each.
+TOGETHER = 32
+#: Values of all wanted buckets together that may be fetched instead of counted once more.
+FEW = 20_000
+
+
+def ordered_keys(values: np.ndarray) -> np.ndarray:
+    """Longs in the order of the doubles; both zeros are one value, and so are all not-a-numbers, the largest."""
+    values = np.where(np.isnan(values), np.nan, values + 0.0)
+    bits = np.ascontiguousarray(values).view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
+
+
+def keys_value(key: int) -> float:
+    return float(np.array([key if key >= 0 else key ^ 0x7FFFFFFFFFFFFFFF], np.int64).view(np.float64)[0])
+
+
+def _cells(batch, column: int):
+    values, weight = batch.column(column), batch.column(batch.num_columns - 1)
+    known = np.asarray(values.is_valid())
+    return ordered_keys(values.filter(pa.array(known)).to_numpy(zero_copy_only=False).astype(np.float64)), np.asarray(weight)[known]
+
+
+def _count_digits(slots: list[tuple[int, int]], level: int):
+    """(slot, digit, n, lo, hi): of the values that begin with a slot's digits so far, how many go on with each digit."""
+    def run(batches):
+        size, shift = 1 << DIGIT, 64 - DIGIT * (level + 1)
+        n, lo, hi = np.zeros((len(slots), size), np.int64), np.full((len(slots), size), np.iinfo(np.int64).max), np.full((len(slots), size), np.iinfo(np.int64).min)
+        for batch in batches:
+            for slot, (column, begin) in enumerate(slots):
+                keys, weight = _cells(batch, column)
+                if level:
+                    mine = keys >> (shift + DIGIT) == begin
+                    keys, weight = keys[mine], weight[mine]
+                digit = (keys >> shift) + (size // 2 if level == 0 else 0) & (size - 1)
+                np.add.at(n[slot], digit, weight)
+                np.minimum.at(lo[slot], digit, keys)
+                np.maximum.at(hi[slot], digit, keys)
+        for slot in range(len(slots)):
+            at = np.flatnonzero(n[slot])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), slot), pa.int32()), pa.array(at.astype(np.int32)), pa.array(n[slot][at]),
+                                              pa.array(lo[slot][at]), pa.array(hi[slot][at])], names=["slot", "digit", "n", "lo", "hi"])
+
+    return run
+
+
+def _fetch(slots: list[tuple[int, int]], level: int):
+    """(slot, key, n) of the values that begin with a slot's digits."""
+    def run(batches):
+        for batch in batches:
+            for slot, (column, begin) in enumerate(slots):
+                keys, weight = _cells(batch, column)
+                mine = keys >> (64 - DIGIT * level) == begin
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(mine.sum()), slot), pa.int32()), pa.array(keys[mine]), pa.array(weight[mine])],
+                                                 names=["slot", "key", "n"])
+
+    return run
+
+
 def exact_quantiles(df: DataFrame, columns: list[str], q: float, weight: str | None = None) -> DataFrame:
-    """(field, q_value): linearly interpolated quantile of each numeric column.
+    """(field, q_value): linearly interpolated quantile of each numeric column; a column without values has no row.
 
-    Works on counts per distinct value, so no task holds all values of a column.
+    Values become longs of the same order, and their digits of 16 bits are counted from the top: every pass is one grouping
+    of at most 65,536 counts for each wanted place, no value moves. A place is found when its bucket holds one value (ties end
+    early), when few values are left (they are fetched), or after the fourth digit.
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns])
-    w = F.col(weight) if weight else F.lit(1)
-    counts = (
-        df.select(F.explode(cells).alias("c"), w.alias("w")).select("c.*", "w")
-        .where(F.col("value").isNotNull()).groupBy("field", "value").agg(F.sum("w").alias("n"))
-    )
-    ran = prefix_sums(counts, "value", ["n"], cut_points(df, columns), group="field")
-    place = F.lit(float(q)) * (F.col("n_total") - 1)
-    low, high = F.floor(place), F.ceil(place)
-    end = F.col("n_before") + F.col("n")
-    covers = {"lo": (F.col("n_before") <= low) & (low < end), "hi": (F.col("n_before") <= high) & (high < end)}
-    return ran.groupBy("field").agg(
-        F.max(F.when(covers["lo"], F.col("value"))).alias("lo"),
-        F.max(F.when(covers["hi"], F.col("value"))).alias("hi"),
-        F.max(place - low).alias("part"),
-    ).select("field", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("q_value"))
+    if len(columns) > TOGETHER:
+        parts = [exact_quantiles(df, columns[i:i + TOGETHER], q, weight) for i in range(0, len(columns), TOGETHER)]
+        return reduce(DataFrame.unionByName, parts)
+    w = F.col(f"`{weight}`").cast("long") if weight else F.lit(1).cast("long")
+    cells = df.select(*[F.col(f"`{c}`").cast("double").alias(f"_{i}") for i, c in enumerate(columns)], w.alias("_w"))
+    spark, level = df.sparkSession, 0
+    found: dict[tuple[int, str], int] = {}  # (column, which end of the interpolation) to the key at its place
+    part: dict[int, float] = {}
+    # Open places: column, end, digits so far, place among the values with these digits.
+    open_: list[tuple[int, str, int, int]] = [(i, end, 0, -1) for i in range(len(columns)) for end in ("low", "high")]
+    while open_:
+        slots = sorted({(i, begin) for i, _, begin, _ in open_})
+        counted = cells.mapInArrow(_count_digits(slots, level), "slot int, digit int, n long, lo long, hi long").groupBy("slot", "digit").agg(
+            F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        line = Window.partitionBy("slot").orderBy("digit")
+        ran = counted.withColumn("before", F.sum("n").over(line) - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy("slot")))
+        if level == 0:
+            at = F.lit(float(q)) * (F.col("total") - 1)
+            wanted = ran.select("*", at.alias("_at"), F.explode(F.array(*[
+                F.struct(F.lit(e).alias("end"), x.cast("long").alias("place")) for e, x in (("low", F.floor(at)), ("high", F.ceil(at)))])).alias("p")).select("*", "p.*")
+        else:
+            places = F.array(*[F.struct(F.lit(slots.index((i, b))).alias("s"), F.lit(e).alias("end"), F.lit(place).cast("long").alias("place")) for i, e, b, place in open_])
+            wanted = ran.withColumn("p", F.explode(F.filter(places, lambda x: x["s"] == F.col("slot")))).select("*", "p.end", "p.place")
+        rows = wanted.where((F.col("before") <= F.col("place")) & (F.col("place") < F.col("before") + F.col("n"))).collect()
+        now, left = [], 0
+        for r in rows:
+            i, begin = slots[r["slot"]]
+            if level == 0:
+                part[i] = r["_at"] - math.floor(r["_at"])
+            if r["lo"] == r["hi"]:
+                found[i, r["end"]] = r["lo"]
+            else:
+                digit = r["digit"] - (1 << DIGIT - 1) if level == 0 else r["digit"]
+                now.append((i, r["end"], (begin << DIGIT) + digit, r["place"] - r["before"]))
+        left = sum({(r["slot"], r["digit"]): r["n"] for r in rows if r["lo"] != r["hi"]}.values())
+        open_, level = now, level + 1
+        if open_ and left <= FEW:
+            slots = sorted({(i, begin) for i, _, begin, _ in open_})
+            few = cells.mapInArrow(_fetch(slots, level), "slot int, key long, n long").toPandas().sort_values(["slot", "key"])
+            for i, end, begin, place in open_:
+                mine = few[few["slot"] == slots.index((i, begin))]
+                found[i, end] = int(mine["key"].iloc[int(np.searchsorted(mine["n"].cumsum().to_numpy(), place, side="right"))])
+            break
+    out = []
+    for i, c in enumerate(columns):
+        if (i, "low") in found:
+            low, high = keys_value(found[i, "low"]), keys_value(found[i, "high"])
+            out.append((c, low if low == high else low + (high - low) * part[i]))
+    return spark.createDataFrame(out, "field string, q_value double")
 
 
 def neighbour_gaps(df: DataFrame, column: str) -> DataFrame:

@@ -17,6 +17,7 @@ from tabloom.sources.runtime import materialize
 BLOCK = 65_536  # attackers of one broadcast; more are done in further passes
 CHUNK = 2048  # pool rows compared at once inside a task
 LEAF = 16  # attackers in a leaf of the tree
+MOST_CELLS, SAMPLED = 65_536, 16  # cells of distinct points at most, and points of the sample for each
 FIRST_ROWS = 20_000  # about so many pool rows give the first bounds of a large pool
 
 
@@ -213,63 +214,136 @@ def self_nn_distances_1d(df: DataFrame, column: str) -> DataFrame:
         F.col("distance").isNotNull())
 
 
-def _cells(columns: list[str], width: float) -> list:
-    return [F.floor(F.col(c) / F.lit(width)).cast("long").alias(f"_c{i}") for i, c in enumerate(columns)]
+class Cuts:
+    """Cells of about equally many points: the space is halved at medians of alternating columns, told from a sample.
 
+    A node is (column, value, left, right), points below the value going left; a leaf is (-1, 0, cell, cell).
+    """
+
+    def __init__(self, sample: np.ndarray, cells: int):
+        self.nodes: list[tuple] = []
+        self.cells = 0
+        self._cut(sample, cells, 0)
 
-def self_nn_distances(df: DataFrame, columns: list[str], enough: float = 1.0, max_cell: int = 64) -> DataFrame:
-    """(distance, n): exact nearest-other-row distances, at least for the ``enough`` smallest share.
+    def _cut(self, x: np.ndarray, cells: int, column: int) -> int:
+        at = len(self.nodes)
+        self.nodes.append(())
+        if cells > 1 and len(x) > 1:
+            for j in [*range(column, x.shape[1]), *range(column)]:
+                value = np.sort(x[:, j])[len(x) // 2]
+                if value == x[:, j].min():  # half of the points share the least value: cut above it
+                    above = x[:, j][x[:, j] > value]
+                    if not len(above):
+                        continue
+                    value = above.min()
+                below = x[:, j] < value
+                right = cells // 2
+                self.nodes[at] = (j, float(value), self._cut(x[below], cells - right, (j + 1) % x.shape[1]), self._cut(x[~below], right, (j + 1) % x.shape[1]))
+                return at
+        self.nodes[at] = (-1, 0.0, self.cells, self.cells)
+        self.cells += 1
+        return at
 
-    Equal rows collapse first (distance 0). Distinct points meet in a grid over the up to three columns with the
-    most distinct values (columns that tell few points apart would leave whole tables in one cell); its cell width starts so
-    small that no cell holds more than ``max_cell`` points and then doubles; a point is settled when
-    its neighbour is closer than the width. Unsettled points lie farther apart than the previous width,
-    so a pool point meets a bounded number of them in every round: no cell is paired with itself as a
-    whole. The rest, if any, is reported with an infinite distance.
+    def touched(self, x: np.ndarray, radius: np.ndarray):
+        """(row, cell) of every cell that the ball around a row reaches."""
+        found, open_ = [], [(0, np.arange(len(x)))]
+        while open_:
+            at, rows = open_.pop()
+            if not len(rows):
+                continue
+            column, value, left, right = self.nodes[at]
+            if column < 0:
+                found.append((rows, np.full(len(rows), left)))
+                continue
+            v, r = x[rows, column], radius[rows] * (1 + 1e-9)
+            open_ += [(left, rows[v - r < value]), (right, rows[v + r >= value])]
+        return [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 2
+
+
+def nearest_within(x: np.ndarray) -> np.ndarray:
+    """Distance of every one of some distinct points to the nearest other one."""
+    tree, best = AttackerTree(x), np.full(len(x), np.inf)
+    for _, _, start, end, left, _ in tree.nodes:
+        if left < 0 and end - start > 1:
+            mine = tree.points[start:end]
+            gap = np.sqrt(((mine[:, None, :] - mine[None, :, :]) ** 2).sum(axis=2))
+            np.fill_diagonal(gap, np.inf)
+            best[start:end] = gap.min(axis=1)
+    for start in range(0, len(x), CHUNK):
+        row, at, dist = tree.improving(tree.points[start : start + CHUNK], best)
+        other = row + start != at
+        np.minimum.at(best, at[other], dist[other])
+    out = np.empty(len(x))
+    out[tree.order] = best
+    return out
+
+
+def self_nn_distances(df: DataFrame, columns: list[str], enough: float = 1.0, cell_points: int = 4096) -> DataFrame:
+    """(distance, n): distance to the nearest other row; exact for the ``enough`` smallest share, and never too small for the rest.
+
+    Equal rows collapse first (distance 0). Distinct points are dealt to cells of about ``cell_points`` by cuts at quantiles of
+    alternating columns; inside a cell every point finds its nearest neighbour, which bounds the true distance. One exchange sends
+    the points whose ball reaches over the border of their cell to the cells it touches; no ball needs to be larger than
+    the bound that the wanted share lies under. The number of jobs does not depend on the columns or their values.
     """
     if len(columns) == 1:
         return self_nn_distances_1d(df, columns[0])
-    points = materialize(df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")), "points")
-    kinds = points.agg(*[F.approx_count_distinct(c).alias(f"k{i}") for i, c in enumerate(columns)]).first()
-    spread = sorted(range(len(columns)), key=lambda i: (-kinds[i], i))
-    axes = [columns[i] for i in spread[:3] if kinds[i] > 1] or columns[:1]
-    facts = points.agg(
-        F.sum("n").alias("rows"), F.count(F.lit(1)).alias("points"),
-        F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("settled"),
-        *[(F.max(c) - F.min(c)).alias(f"s{i}") for i, c in enumerate(columns)]).first()
-    wanted = int(np.ceil(enough * (facts["rows"] - 1))) + 1
-    span = max([facts[f"s{i}"] or 0.0 for i in range(len(columns))] + [0.0])
-    settled = facts["settled"]
-    done = [points.where("n > 1").select(F.lit(0.0).alias("distance"), "n")]
-    open_points = points.where("n = 1").drop("n")
-    width = span / max(1.0, facts["points"] ** (1.0 / len(axes))) if span else 1.0
-    while span and width > span * 1e-12:
-        top = points.groupBy(*_cells(axes, width)).agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0]
-        if top <= max_cell:
-            break
-        width /= 4.0
-    while span and facts["points"] > 1 and settled < wanted:
-        home = open_points.select(*columns, *_cells(axes, width))
-        around = F.array(*[F.struct(*[F.lit(s).cast("long").alias(f"s{i}") for i, s in enumerate(step)]) for step in product((-1, 0, 1), repeat=len(axes))])
-        asks = home.withColumn("_s", F.explode(around)).select(
-            *[F.col(c).alias(f"q_{c}") for c in columns], *[(F.col(f"_c{i}") + F.col(f"_s.s{i}")).alias(f"_c{i}") for i in range(len(axes))])
-        pool = points.select(*columns, *_cells(axes, width))
-        gap = F.sqrt(sum(((F.col(f"q_{c}") - F.col(c)) * (F.col(f"q_{c}") - F.col(c)) for c in columns), F.lit(0.0)))
-        other = reduce(lambda a, b: a | b, [F.col(f"q_{c}") != F.col(c) for c in columns])
-        near = asks.join(pool, [f"_c{i}" for i in range(len(axes))]).where(other).groupBy(*[f"q_{c}" for c in columns]).agg(F.min(gap).alias("distance"))
-        near = materialize(near.where(F.col("distance") <= F.lit(width)), "near")
-        count = near.count()
-        done.append(near.select("distance", F.lit(1).cast("long").alias("n")))
-        settled += count
-        if count:
-            open_points = materialize(open_points.join(
-                near.select(*[F.col(f"q_{c}").alias(c) for c in columns]), columns, "left_anti"), "open")
-        if width > 4.0 * span * len(columns):
-            break
-        width *= 2.0
-    out = reduce(DataFrame.unionByName, done)
-    left = open_points.agg(F.count(F.lit(1)).alias("n")).where("n > 0")
-    return out.unionByName(left.select(F.lit(float("inf")).alias("distance"), "n")) if settled < facts["rows"] else out
+    spark = df.sparkSession
+    kind = ", ".join(f"`{c}` double" for c in columns)
+    counted = df.groupBy(*[F.col(c).cast("double").alias(c) for c in columns]).agg(F.count(F.lit(1)).alias("_n"))
+    points = materialize(counted.withColumn("_id", F.monotonically_increasing_id()), "points")
+    n_points, n_rows, settled = points.agg(F.count(F.lit(1)), F.sum("_n"), F.sum(F.when(F.col("_n") > 1, F.col("_n")))).first()
+    if not n_points:
+        return spark.createDataFrame([], "distance double, n long")
+    n_cells = min(MOST_CELLS, -(-n_points // cell_points))
+    some = points.where(uniform(0, "cuts", "_id") < F.lit(SAMPLED * n_cells / n_points)) if n_cells > 1 else points.where("false")
+    cuts = Cuts(some.select(*columns).toPandas().to_numpy(dtype=float).reshape(-1, len(columns)), n_cells)
+    shared = spark.sparkContext.broadcast(cuts)
+
+    def celled(batches):
+        for pdf in batches:
+            row, cell = shared.value.touched(pdf[columns].to_numpy(dtype=float), np.zeros(len(pdf)))
+            pdf = pdf.iloc[row].copy()
+            pdf["_cell"] = cell.astype(np.int32)
+            yield pdf
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = nearest_within(pdf[columns].to_numpy(dtype=float))
+        return pdf.assign(_bound=np.where(pdf["_n"] > 1, 0.0, found))
+
+    home = f"{kind}, _n long, _id long, _cell int"
+    bounded = materialize(points.mapInPandas(celled, home).groupBy("_cell").applyInPandas(inside, f"{home}, _bound double"), "bounded")
+    if cuts.cells == 1:
+        return bounded.select(F.col("_bound").alias("distance"), F.col("_n").alias("n"))
+    # The wanted smallest distances lie under the bound at their place, as no bound is below its distance.
+    place = min(1.0, (enough * (n_rows - 1) + 2) / n_rows)
+    limit = exact_quantiles(bounded.withColumn("_bound", F.least(F.col("_bound"), F.lit(1e300))), ["_bound"], place, weight="_n").first()["q_value"] if enough < 1 else float("inf")
+
+    def leaving(batches):
+        for pdf in batches:
+            radius = np.minimum(pdf["_bound"].to_numpy(), limit * (1 + 1e-9))
+            row, cell = shared.value.touched(pdf[columns].to_numpy(dtype=float), radius)
+            out = pdf.iloc[row][[*columns, "_id"]].copy()
+            out["_cell"], out["_radius"] = cell.astype(np.int32), radius[row]
+            yield out[cell != pdf["_cell"].to_numpy()[row]]
+
+    def meet(guests: pd.DataFrame, hosts: pd.DataFrame) -> pd.DataFrame:
+        tree, x = AttackerTree(guests[columns].to_numpy(dtype=float)), hosts[columns].to_numpy(dtype=float)
+        best = guests["_radius"].to_numpy()[tree.order]
+        for start in range(0, len(x), CHUNK):
+            _, at, dist = tree.improving(x[start : start + CHUNK], best)
+            np.minimum.at(best, at, dist)
+        return pd.DataFrame({"_id": guests["_id"].to_numpy()[tree.order], "_met": best})
+
+    guests = bounded.where("_n = 1").mapInPandas(leaving, f"{kind}, _id long, _cell int, _radius double")
+    met = guests.groupBy("_cell").cogroup(bounded.select(*columns, "_cell").groupBy("_cell")).applyInPandas(meet, "_id long, _met double")
+    nearer = met.where(F.col("_met") < float("inf")).groupBy("_id").agg(F.min("_met").alias("_met"))
+    return bounded.join(nearer, "_id", "left").select(_nearer("_bound", "_met", limit).alias("distance"), F.col("_n").alias("n"))
+
+
+def _nearer(bound: str, met: str, limit: float) -> Column:
+    """The smaller of both; a guest's own radius comes back where it met nobody, and says only that nothing is nearer."""
+    return F.when(F.col(met).isNull(), F.col(bound)).when((F.col(met) >= F.lit(limit)) & (F.col(bound) > F.col(met)), F.col(bound)).otherwise(F.least(bound, met))
 
 
 def self_nn_threshold(df: DataFrame, columns: list[str], q: float = 0.1) -> DataFrame:
@@ -280,7 +354,7 @@ def self_nn_threshold(df: DataFrame, columns: list[str], q: float = 0.1) -> Data
     if not columns or len(df.take(2)) < 2:
         return df.sparkSession.createDataFrame([(0.5,)], "threshold double")
     d = self_nn_distances(df, columns, enough=q)
-    # Infinite rows only mark "farther than the quantile"; a finite stand-in keeps the arithmetic clean.
+    # A point that is alone in its cell and met nobody is infinitely far; a finite stand-in keeps the arithmetic clean.
     d = d.withColumn("distance", F.when(F.col("distance") == float("inf"), F.lit(1e300)).otherwise(F.col("distance")))
     return exact_quantiles(d, ["distance"], q, weight="n").select(F.col("q_value").alias("threshold"))
 
