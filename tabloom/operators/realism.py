@@ -23,27 +23,44 @@ def _numeric_cells(df: DataFrame, columns: list[str], keep: list[str] = ()) -> D
     return df.select(*keep, F.explode(cells).alias("c")).select(*keep, "c.field", "c.value").where(F.col("value").isNotNull())
 
 
-def empirical_steps(samples: DataFrame, reference: DataFrame, columns: list[str], candidates: int = 1, candidate: str | None = None) -> DataFrame:
+def reference_facts(reference: DataFrame, numeric: list[str], categorical: list[str]) -> dict:
+    """What every comparison asks of a reference, written once: counts per value, cuts, moments, largest shares."""
+    facts: dict = {"cuts": {}}
+    if numeric:
+        counts = _numeric_cells(reference, numeric).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+        facts["counts"], facts["cuts"] = materialize(counts, "counts"), cut_points(reference, numeric)
+        facts["moments"] = materialize(side_moments(reference, reference, numeric).select("field", "std_ref"), "moments")
+    if categorical:
+        facts["shares"] = materialize(topk_shares(reference, categorical).select("field", "value", "share"), "shares")
+    return facts
+
+
+def empirical_steps(samples: DataFrame, reference: DataFrame, columns: list[str], candidates: int = 1, candidate: str | None = None,
+                    facts: dict | None = None) -> DataFrame:
     """Empirical CDFs of the reference (``r``) and of every sample (``g0``, ``g1``, ...) per column.
 
     One row per distinct value with running counts and the next larger value. ``candidate`` numbers the
     samples 0..candidates-1; they become weight columns, so the reference is counted and ordered once
-    whatever their number.
+    whatever their number; with ``facts`` its counts and cuts are read instead.
     """
     names = [f"g{i}" for i in range(candidates)]
     tag = F.col(candidate).cast("int") if candidate else F.lit(0)
-    cells = _numeric_cells(samples.withColumn("_tag", tag), columns, ["_tag"]).unionByName(
-        _numeric_cells(reference.withColumn("_tag", F.lit(-1)), columns, ["_tag"]))
-    counts = cells.groupBy("field", "value").agg(
-        *[F.count_if(F.col("_tag") == i).alias(n) for i, n in enumerate(names)], F.count_if(F.col("_tag") == -1).alias("r"))
-    cuts_g, cuts_r = cut_points(samples, columns), cut_points(reference, columns)
+    cells = _numeric_cells(samples.withColumn("_tag", tag), columns, ["_tag"]).withColumn("n", F.lit(1).cast("long"))
+    if facts:
+        known = facts["counts"].select(F.lit(-1).alias("_tag"), "field", "value", "n")
+    else:
+        known = _numeric_cells(reference.withColumn("_tag", F.lit(-1)), columns, ["_tag"]).withColumn("n", F.lit(1).cast("long"))
+    counts = cells.unionByName(known).groupBy("field", "value").agg(
+        *[F.coalesce(F.sum(F.when(F.col("_tag") == i, F.col("n"))), F.lit(0)).alias(n) for i, n in [*enumerate(names), (-1, "r")]])
+    cuts_g, cuts_r = cut_points(samples, columns), facts["cuts"] if facts else cut_points(reference, columns)
     cuts = {c: sorted(set(cuts_g[c]) | set(cuts_r[c])) for c in columns}
     return prefix_sums(counts, "value", [*names, "r"], cuts, group="field", neighbours=True)
 
 
-def ks_and_emd_many(samples: DataFrame, reference: DataFrame, columns: list[str], candidates: int = 1, candidate: str | None = None) -> DataFrame:
+def ks_and_emd_many(samples: DataFrame, reference: DataFrame, columns: list[str], candidates: int = 1, candidate: str | None = None,
+                    facts: dict | None = None) -> DataFrame:
     """(candidate, field, n_gen, n_ref, ks_stat, ks_pvalue, emd) for every numbered sample."""
-    steps = empirical_steps(samples, reference, columns, candidates, candidate)
+    steps = empirical_steps(samples, reference, columns, candidates, candidate, facts)
     width = F.col("next") - F.col("value")
     fr = (F.col("r_before") + F.col("r")) / F.col("r_total")
     aggs = [F.max("r_total").alias("n_ref")]

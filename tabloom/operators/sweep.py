@@ -65,23 +65,24 @@ def candidate_tables(spark: SparkSession, specs: list[TableSpec], budget: int, s
     return reduce(DataFrame.unionByName, parts)
 
 
-def candidate_scores(samples: DataFrame, reference: DataFrame, numeric: list[str], categorical: list[str], candidates: int) -> DataFrame:
+def candidate_scores(samples: DataFrame, reference: DataFrame, numeric: list[str], categorical: list[str], candidates: int,
+                     facts: dict | None = None) -> DataFrame:
     """(candidate, numeric_score, categorical_score, composite_score) for all candidates in one job.
 
-    The reference is aggregated once; the candidates are weight columns or a grouping key beside it.
-    Rows of different tables have no common key, so the rank term is left out.
+    The reference is aggregated once, or read from its ``facts`` (``realism.reference_facts``); the candidates are weight columns
+    or a grouping key beside it. Rows of different tables have no common key, so the rank term is left out.
     """
     parts = []
     if numeric:
-        ks = realism.ks_and_emd_many(samples, reference, numeric, candidates, "candidate")
-        std = realism.side_moments(reference, reference, numeric).select("field", "std_ref")
+        ks = realism.ks_and_emd_many(samples, reference, numeric, candidates, "candidate", facts)
+        std = facts["moments"] if facts else realism.side_moments(reference, reference, numeric).select("field", "std_ref")
         decay = F.exp(-F.col("emd") / ((F.col("std_ref") + F.lit(1e-9)) * F.lit(3.0)))
         a, b = realism.NUM_SCORE[0], realism.NUM_SCORE[1]
         parts.append(ks.join(F.broadcast(std), "field").select(
             "candidate", F.lit("numeric").alias("kind"), ((a * (1 - F.col("ks_stat")) + b * decay) / F.lit(a + b)).alias("score")))
     if categorical:
         g = realism.topk_shares(samples, categorical, keep=["candidate"]).select("candidate", "field", "value", F.col("share").alias("p"))
-        r = realism.topk_shares(reference, categorical).select("field", "value", F.col("share").alias("q"))
+        r = (facts["shares"] if facts else realism.topk_shares(reference, categorical)).select("field", "value", F.col("share").alias("q"))
         r = r.withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1))))
         by = ["candidate", "field"]
         pairs = g.join(r, [*by, "value"], "full_outer").select(*by, "value", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("q", F.lit(0.0)).alias("q"))
@@ -121,6 +122,7 @@ class Objective:
             raise ValueError(f"the reference has no column {target}")
         self.reference, self.seed = reference, seed
         self.columns = list(dict.fromkeys([*self.numeric, *self.categorical, *([target] if target else [])]))
+        self.reference_facts = realism.reference_facts(reference, self.numeric, self.categorical)
         known = identifiers or self.numeric + self.categorical
         self.facts = privacy.risk_facts(reference, known, key, ID, attackers, seed) if key else None
         if self.facts:
@@ -128,7 +130,8 @@ class Objective:
 
     def measured(self, samples: DataFrame, candidates: int) -> DataFrame:
         """(candidate, realism, real_test_score, is_classification, reid_rate) of ``samples`` (candidate, _id and the columns)."""
-        rows = candidate_scores(samples, self.reference, self.numeric, self.categorical, candidates).select("candidate", F.col("composite_score").alias("realism"))
+        rows = candidate_scores(samples, self.reference, self.numeric, self.categorical, candidates, self.reference_facts).select(
+            "candidate", F.col("composite_score").alias("realism"))
         if not self.key:
             return rows
         rows = rows.join(privacy.candidate_risk(samples, self.facts, "candidate", candidates), "candidate")

@@ -95,16 +95,17 @@ def forest_predictions(synthetic: DataFrame, reference: DataFrame, target: str,
 
 def boosted_predictions(synthetic: DataFrame, reference: DataFrame, target: str, key: str, seed: int = 0, test_share: float = 0.2,
                         task: str | None = None, settings: boosting.Settings | None = None, group: str | None = None, groups: int = 1,
-                        group_key: str | None = None):
+                        group_key: str | None = None, held_out: bool = False):
     """(reference rows with key, is_test, group, y and prediction; is_classification): boosted trees fitted on synthetic rows.
 
     ``group`` numbers synthetic tables that lie in one, 0 to ``groups`` - 1; each gets its own models, all fitted in one job, and
-    every reference row is scored by all of them. Classes are coded by their place in ascending order of text, others as -1.
+    every reference row (of the held-out part alone with ``held_out``) is scored by all of them. Classes are coded by their place in ascending order of text, others as -1.
     """
     tag, row = group or "_group", group_key or key
     s = drop_null_target(synthetic, target)
     s = s if group else s.withColumn(tag, F.lit(0))
     r = hash_split(drop_null_target(reference, target), key, test_share, seed)
+    r = r.where("is_test = 1") if held_out else r
     numeric, text = shared_features(s, r, target, (key, row, tag))
     classify = is_task(s, target, task)
     train, fitted = onehot_top(s, text)
@@ -170,7 +171,7 @@ def train_synth_test_real(synthetic: DataFrame, reference: DataFrame, target: st
 def candidate_utility(samples: DataFrame, reference: DataFrame, target: str, key: str, sample_key: str, candidate: str = "candidate",
                       candidates: int = 1, seed: int = 0, task: str | None = None) -> DataFrame:
     """(candidate, real_test_score, is_classification) of all candidates' tables: their models are fitted in one job."""
-    scored, classify = boosted_predictions(samples, reference, target, key, seed, task=task, group=candidate, groups=candidates, group_key=sample_key)
+    scored, classify = boosted_predictions(samples, reference, target, key, seed, task=task, group=candidate, groups=candidates, group_key=sample_key, held_out=True)
     return utility_scores(scored, classify, [candidate]).select(candidate, "real_test_score", F.lit(int(classify)).alias("is_classification"))
 
 
