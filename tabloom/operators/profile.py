@@ -149,32 +149,40 @@ def conditional_numeric_drivers(df: DataFrame, spec: TableSpec, drivers, min_sam
     return conditional_numeric(df, pairs, min_samples, zero_std=1.0).where("enough = 1").drop("enough")
 
 
-def conditional_category_table(df: DataFrame, parent: str, child: str, alpha: float = 1.0, null_as: str = "__null__") -> DataFrame:
-    """P(child | parent) with Dirichlet smoothing over all child values.
+def conditional_category_sparse(df: DataFrame, parent: str, child: str, alpha: float = 1.0, null_as: str = "__null__") -> DataFrame:
+    """P(child | parent) with Dirichlet smoothing, without the pairs that never occur.
 
-    Observed pairs are counted first; the grid of missing pairs is built from the per-parent totals and
-    the list of child values, never from rows.
+    Observed pairs have a row each; a row with a null child holds, per parent, the share of every child not seen with it. What
+    grows with the parents times the children is never made.
     """
-    pairs = (
-        df.where(F.col(parent).isNotNull())
-        .groupBy(F.col(parent).cast("string").alias("parent_value"),
-                 F.coalesce(F.col(child).cast("string"), F.lit(null_as)).alias("child_value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    children = df.select(F.coalesce(F.col(child).cast("string"), F.lit(null_as)).alias("child_value")).distinct()
-    listed = children.agg(F.sort_array(F.collect_set("child_value")).alias("vals"))
+    value = F.coalesce(F.col(child).cast("string"), F.lit(null_as)).alias("child_value")
+    pairs = df.where(F.col(parent).isNotNull()).groupBy(F.col(parent).cast("string").alias("parent_value"), value).agg(F.count(F.lit(1)).alias("n"))
+    k = df.select(value).distinct().agg(F.count(F.lit(1)).alias("k")).select("k").scalar()
     totals = pairs.groupBy("parent_value").agg(F.sum("n").alias("samples"))
-    grid = totals.select(
-        "parent_value", "samples", F.explode(listed.select("vals").scalar()).alias("child_value")
-    )
-    k = F.size(listed.select("vals").scalar())
-    return (
-        grid.join(pairs, ["parent_value", "child_value"], "left")
-        .select(
-            F.lit(parent).alias("parent"), "parent_value", F.lit(child).alias("child"), "child_value", "samples",
-            ((F.coalesce("n", F.lit(0)) + F.lit(float(alpha))) / (F.col("samples") + k * F.lit(float(alpha)))).alias("prob"),
-        )
-    )
+    rows = pairs.join(totals, "parent_value").unionByName(
+        totals.select("parent_value", F.lit(None).cast("string").alias("child_value"), F.lit(0).cast("long").alias("n"), "samples"))
+    return rows.select(
+        F.lit(parent).alias("parent"), "parent_value", F.lit(child).alias("child"), "child_value", "samples",
+        ((F.col("n") + F.lit(float(alpha))) / (F.col("samples") + k * F.lit(float(alpha)))).alias("prob"))
+
+
+#: Groups that the child values are dealt to when a whole table of parents and children is written out.
+CHILD_GROUPS = 64
+
+
+def conditional_category_table(df: DataFrame, parent: str, child: str, alpha: float = 1.0, null_as: str = "__null__") -> DataFrame:
+    """P(child | parent) with Dirichlet smoothing over all child values, one row for every parent and child.
+
+    The sparse table gives the shares; parents meet the child values group by group, so no list of values is held anywhere.
+    """
+    sparse = conditional_category_sparse(df, parent, child, alpha, null_as)
+    group = F.pmod(F.xxhash64("child_value"), F.lit(CHILD_GROUPS))
+    children = df.select(F.coalesce(F.col(child).cast("string"), F.lit(null_as)).alias("child_value")).distinct().withColumn("_g", group)
+    rest = sparse.where("child_value IS NULL").drop("child_value").withColumnRenamed("prob", "_rest")
+    grid = rest.withColumn("_g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(CHILD_GROUPS - 1).cast("long")))).join(children, "_g").drop("_g")
+    seen = sparse.where("child_value IS NOT NULL").select("parent_value", "child_value", "prob")
+    return grid.join(seen, ["parent_value", "child_value"], "left").select(
+        "parent", "parent_value", "child", "child_value", "samples", F.coalesce("prob", "_rest").alias("prob"))
 
 
 def role_salary_from_table(df: DataFrame, role: str = "role", salary: str = "salary") -> DataFrame:

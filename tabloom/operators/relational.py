@@ -14,7 +14,7 @@ from tabloom.functions.special import norm_cdf
 from tabloom.operators.coerce import drop_incomplete_numeric
 from tabloom.operators.generate import ID, clamp, independent_column
 from tabloom.operators.learn import Priors, category_parents, dependency_edges, numeric_parents
-from tabloom.operators.order import columns_at, dense_index, run_lengths, value_at
+from tabloom.operators.order import columns_at, cut_points, dense_index, prefix_sums, run_lengths, value_at
 from tabloom.operators.profile import spearman_matrix, weighted_covariance, with_normal_scores
 from tabloom.sources.runtime import materialize
 from tabloom.spec import TableSpec
@@ -67,18 +67,42 @@ def pick(cats: Column, cum: Column, u: Column) -> Column:
     return F.get(cats, F.size(F.filter(cum, lambda c: c <= u)))
 
 
+def share_ranges(cpt: DataFrame) -> DataFrame:
+    """(parent_value, child_value, lo, hi, slots): the stretch of [0, 1) of every child, in ascending order, and the parent's number of children."""
+    line = Window.partitionBy("parent_value").orderBy("child_value")
+    ran = cpt.withColumn("hi", F.sum("prob").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    last = F.lead("child_value").over(line).isNull()
+    return ran.select("parent_value", "child_value", F.coalesce(F.lag("hi").over(line), F.lit(0.0)).alias("lo"), F.when(last, F.lit(1.0)).otherwise(F.col("hi")).alias("hi"),
+                      F.count(F.lit(1)).over(Window.partitionBy("parent_value")).alias("slots"))
+
+
 def lookup_cpt_sample(df: DataFrame, parent: str, cpt: DataFrame, out: str, seed, key: str = ID) -> DataFrame:
-    """Draw a child from P(child | parent); unseen parents draw evenly from all children, else 'unknown'."""
-    arrays = sampling_arrays(cpt.select("parent_value", "child_value", "prob"), ["parent_value"])
-    every = cpt.agg(F.sort_array(F.collect_set("child_value")).alias("v")).select("v").scalar()
-    a = arrays.select(F.col("parent_value").alias("_pv"), "cats", "cum")
-    u = uniform(seed, out, key)
-    even = F.get(every, F.floor(u * F.size(every)).cast("int"))
-    return (
-        df.join(a, df[parent].cast("string") == a["_pv"], "left")
-        .withColumn(out, F.coalesce(pick(F.col("cats"), F.col("cum"), u), even, F.lit("unknown")))
-        .drop("_pv", "cats", "cum")
-    )
+    """Draw a child from P(child | parent); unseen parents draw evenly from all children, else 'unknown'.
+
+    A draw u meets the stretches of its parent by an equi-join: [0, 1) has as many slots as the parent has children, a
+    stretch is listed in the slots that it touches (two on average), and the bounds decide inside a slot. Even draws are
+    looked up by the place of a child in the order of all. No list of children is held per parent or as a whole.
+    """
+    cpt = cpt.select("parent_value", "child_value", "prob")
+    ranges = share_ranges(cpt)
+    sizes = ranges.groupBy(F.col("parent_value").alias("_pv")).agg(F.max("slots").alias("_slots"))
+
+    def slot(x):
+        return F.least(F.col("slots") - 1, F.floor(x * F.col("slots")))
+
+    listed = ranges.where("lo < hi").select(F.col("parent_value").alias("_pv2"), F.col("child_value").alias("_drawn"), "lo", "hi", F.explode(F.sequence(slot(F.col("lo")), slot(F.col("hi")))).alias("_in"))
+    children = cpt.select(F.col("child_value").alias("_even")).distinct().withColumn("n", F.lit(1).cast("long"))
+    every = prefix_sums(children, "_even", ["n"], cut_points(children, ["_even"])["_even"]).select("_even", F.col("n_before").alias("_place"))
+    k = cpt.agg(F.count_distinct("child_value").alias("k")).select("k").scalar()
+    drawn = df.withColumn("_u", uniform(seed, out, key)).join(sizes, df[parent].cast("string") == F.col("_pv"), "left")
+    drawn = drawn.withColumn("_slot", F.least(F.col("_slots") - 1, F.floor(F.col("_u") * F.col("_slots"))))
+    # Rows with a known parent ask for a place that does not exist, each for another, so they do not meet in one task.
+    none = -1 - F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20))
+    drawn = drawn.withColumn("_ask", F.when(F.col("_pv").isNull(), F.floor(F.col("_u") * k)).otherwise(none))
+    inside = (F.col("_pv") == F.col("_pv2")) & (F.col("_slot") == F.col("_in")) & (F.col("lo") <= F.col("_u")) & (F.col("_u") < F.col("hi"))
+    met = drawn.join(listed, inside, "left").join(every, F.col("_ask") == F.col("_place"), "left")
+    return met.withColumn(out, F.coalesce("_drawn", "_even", F.lit("unknown"))).drop(
+        "_u", "_pv", "_slots", "_slot", "_ask", "_pv2", "_drawn", "lo", "hi", "_in", "_even", "_place")
 
 
 def prior_sample(df: DataFrame, prior: DataFrame, out: str, seed, key: str = ID) -> DataFrame:
