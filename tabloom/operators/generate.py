@@ -6,6 +6,7 @@ partitioning, and a preview equals the first rows of the full run.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -250,6 +251,21 @@ def role_bands(spec: TableSpec, learned: dict | None = None) -> dict:
     return bands
 
 
+def numeric_prior(spec: TableSpec, f: FieldSpec) -> FieldSpec:
+    """The field with the moments and bounds that it lacks itself taken from a numeric prior of the specification."""
+    prior = (spec.metadata.get("llm_priors") or {}).get("priors", {}).get(f.name, {})
+    told = prior.get("distribution") if prior.get("type") == "numeric" else None
+    if not f.numeric or not isinstance(told, dict):
+        return f
+    told = {**(told.get("params") or {}), **told}
+    fresh = {p: told[p] for p in ("mean", "std", "min", "max") if getattr(f, p) is None and isinstance(told.get(p), (int, float))}
+    return replace(f, **fresh)
+
+
+def with_numeric_priors(spec: TableSpec) -> TableSpec:
+    return replace(spec, fields=tuple(numeric_prior(spec, f) for f in spec.fields))
+
+
 def independent_column(f: FieldSpec, spec: TableSpec, seed, idc: Column, n: int | None, method: str) -> Column:
     """The column of a field that needs no other column."""
     mean, std = (0.0 if f.mean is None else f.mean), (1.0 if f.std is None else f.std)
@@ -305,6 +321,7 @@ def generate(
     ``ids`` may supply the ids (then ``n`` is their domain size); otherwise they are
     ``first_id .. first_id + n - 1``.
     """
+    spec = with_numeric_priors(spec)
     n = spec.n_rows if n is None and ids is None else n
     rows = ids.select(ID) if ids is not None else spark.range(first_id, first_id + max(0, n)).toDF(ID)
     idc = F.col(ID)

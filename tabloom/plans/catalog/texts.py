@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import patterns as X
 from tabloom.operators import priors_json as J, text as T
+from tabloom.plans import enrich as E
 from tabloom.plans.catalog.registry import query, rounded, table, wide
+from tabloom.spec import TableSpec
 
 
 def q(text: str) -> str:
@@ -117,6 +119,36 @@ def merge_mined_priors(spark, sf):
     return rounded(T.merge_mined_priors(base, mined), 2)
 
 
+# ---- a specification enriched from the documents
+
+MINED = TableSpec.from_dict({"fields": [
+    {"name": "salary", "type": "int", "mean": 100, "std": 5, "min": 1200, "max": 900000}, {"name": "amount", "type": "float", "min": 3, "max": 5000},
+    {"name": "nothing", "type": "float", "mean": 1}, {"name": "ending", "type": "category", "categories": ["tion", "ing", "ment", "zzz"]},
+    {"name": "quiet", "type": "category", "categories": ["a", "b"], "probs": [0.25, 0.75]}]})
+HINTS = {"salary": "salary", "amount": "on", "nothing": "no text says this", "ending": "er", "quiet": "qqzz"}
+
+
+@query("enrich_numbers", f"""
+WITH s AS (SELECT * FROM (VALUES ('salary', 'salary', 100.0e0, 5.0e0, 1200.0e0, 900000.0e0), ('amount', 'on', NULL, NULL, 3.0e0, 5000.0e0), ('nothing', 'no text says this', 1.0e0, NULL, 0.0e0, 100.0e0)) AS t(field, hint, mean, std, lo, hi)),
+h AS (SELECT field, unnest(regexp_extract_all(text, {q(X.NUMBER)}, 1)) AS hit FROM s JOIN documents ON contains(lower(text), hint)),
+x AS (SELECT * FROM (SELECT field, try_cast(replace(hit, ',', '') AS DOUBLE) AS x FROM h) WHERE x IS NOT NULL AND (field <> 'salary' OR x BETWEEN 1000 AND 1e7)),
+m AS (SELECT field, avg(x) AS a, coalesce(stddev_samp(x), 0) AS b, min(x) AS c, max(x) AS d FROM x GROUP BY field HAVING count(*) >= 5)
+SELECT field, round(coalesce(a, mean), 2) AS mean, round(CASE WHEN b IS NOT NULL THEN greatest(1e-9, b) ELSE std END, 2) AS std,
+  round(CASE WHEN c IS NOT NULL THEN greatest(lo, c) ELSE lo END, 2) AS min, round(CASE WHEN d IS NOT NULL THEN least(hi, d) ELSE hi END, 2) AS max FROM s LEFT JOIN m USING (field)""")
+def enrich_numbers(spark, sf):
+    hints = {f: HINTS[f] for f in ("salary", "amount", "nothing")}
+    return rounded(E.enriched_numbers(MINED, E.texts_by_field(wide(spark, sf, "documents", "doc_id", "doc_id", "text"), "text", "doc_id", hints), hints), 2)
+
+
+@query("enrich_shares", f"""
+WITH c AS (SELECT unnest(['tion', 'ing', 'ment', 'zzz']) AS value), w AS (SELECT lower(unnest(regexp_extract_all(text, {q(X.TOKEN)}))) AS w FROM documents WHERE contains(lower(text), 'er')),
+n AS (SELECT value, count(w) AS n FROM c LEFT JOIN w ON contains(w, value) GROUP BY value)
+SELECT 'ending' AS field, value, round(n / CAST(sum(n) OVER () AS DOUBLE), 6) AS prob FROM n UNION ALL SELECT 'quiet', 'a', 0.25e0 UNION ALL SELECT 'quiet', 'b', 0.75e0""")
+def enrich_shares(spark, sf):
+    hints = {f: HINTS[f] for f in ("ending", "quiet")}
+    return rounded(E.enriched_shares(MINED, E.texts_by_field(wide(spark, sf, "documents", "doc_id", "doc_id", "text"), "text", "doc_id", hints), hints))
+
+
 # ---- priors as JSON: one answer text per brand, some of them damaged
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabloom.operators import learn, privacy, profile, realism, relational, sweep, tables, utility, validate
 from tabloom.operators.generate import ID, generate
+from tabloom.plans.enrich import enrich
 from tabloom.sources.runtime import materialize
 from tabloom.sources.tables import table_fingerprint
 from tabloom.spec import TableSpec
@@ -29,9 +30,16 @@ def run(
     spark: SparkSession, spec: TableSpec, seed: int | str = 42, n: int | None = None, reference: DataFrame | None = None,
     reference_key: str | None = None, quasi_identifiers: list[str] | None = None, noise_level: float = 0.01,
     attackers: int = 1000, target: str | None = None, anomalies: dict | None = None, tolerance: dict | None = None,
+    texts: DataFrame | None = None, text: str = "text", text_key: str = "page_id", hints: dict | None = None,
     search_rounds: int = 0, objective: str = "balanced", learner: str = "boosted", **generation,
 ) -> dict[str, DataFrame]:
-    """Report tables by name. The generated table is written once to the shared folder and reused."""
+    """Report tables by name. The generated table is written once to the shared folder and reused.
+
+    ``texts`` enrich the specification before anything is generated.
+    """
+    mined = None
+    if texts is not None:
+        spec, mined = enrich(spec, texts, text, text_key, hints)
     if search_rounds and reference is not None:
         spec, history = sweep.search(spec, reference, rounds=search_rounds, key=reference_key, identifiers=quasi_identifiers, target=target,
                                      objective=objective if reference_key else None)
@@ -49,6 +57,8 @@ def run(
         "quick_score": profile.realism_quick_score(plain, spec),
         "fingerprint": table_fingerprint(plain, spec, seed),
     }
+    if mined is not None:
+        out["mined"] = mined
     if search_rounds and reference is not None:
         out["search_history"] = history
     if numeric:
