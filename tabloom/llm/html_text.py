@@ -4,7 +4,11 @@ A page becomes one sequence of tags and words. Every item has a score, words of
 words of links mostly below; the best contiguous region of the sequence is found by one scan that keeps the best sum so
 far. The blocks of that region are the text, without subtrees whose element or class names say that they are
 not content (menus, forms, notices, adverts, comments, ...): those score nothing and are never given out. A form or
-an element with such a name is not left out if it holds an ``article`` or ``main`` or most of the page's words.
+an element with such a name is a wrapper of the page, and not left out, if it holds ``main`` or an ``article`` that has no such
+name itself; a form, or an element whose name has other words too (``has-sidebar``), also if it holds most of the page's words.
+Elements named after comments are wrappers only around ``main`` or around the first article if that has a heading, and adverts
+never by their words: a long thread is not the text. Inside an article fewer names count, and an id only as a whole, as sections
+are named after their subject; and a region that touches an article takes in all of it.
 
 Scores are log odds of lying inside the content, learned from labelled pages: the few in ``html_samples`` and a bounded
 sample of the given pages that label themselves by exactly one ``article`` element. Each labelled page is counted
@@ -21,6 +25,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -55,6 +60,14 @@ APART_NAMES = set(
     "breadcrumbs pagination pager share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies "
     "discussion footer foot masthead topbar toolbar newsletter subscribe subscription signup login search searchbox skip complementary "
     "contentinfo navigation tags metadata copyright legal disclaimer outbrain taboola".split())
+#: Those of them that make no wrapper by holding many words.
+COMMENT_NAMES = set("comment comments commentlist disqus respond reply replies discussion".split())
+ADVERT_NAMES = set("ad ads adv advert adverts advertisement advertising adslot adsense sponsor sponsored promo promotion promotions outbrain taboola".split())
+#: Those that count inside an article, where the others may name a subject.
+STRICT_NAMES = ADVERT_NAMES | set(
+    "banner cookie cookies consent gdpr popup modal overlay sidebar sidebars widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs "
+    "pagination pager share sharing social related recommended recommendations comment comments commentlist disqus respond replies newsletter subscribe "
+    "subscription signup login".split())
 #: Elements whose class names do not count: they hold the page.
 WHOLE = {"html", "body", "article", "main"}
 #: Formatting inside running text costs nothing.
@@ -73,32 +86,56 @@ def hides(rest: str) -> bool:
     return bool(_hidden.search(rest) or "hidden" in rest.lower() and _bare_hidden.search(_values.sub("= ", rest)))
 
 
-def named_apart(name: str, rest: str) -> bool:
-    """Whether the words of class, id or role say that the element is no main text; the ids of headings name their subject."""
-    return any(p.lower() in APART_NAMES for m in _named.finditer(rest) if name not in HEADS or m[1].lower() != "id"
-               for p in _parts.findall(m[2] or m[3] or m[4] or ""))
+def names_of(name: str, rest: str) -> list[tuple[bool, list[str]]]:
+    """(whether it is the id, its words) of every class, id and role name; the ids of headings name their subject."""
+    return [(m[1].lower() == "id", [p.lower() for p in _parts.findall(token)]) for m in _named.finditer(rest)
+            if name not in HEADS or m[1].lower() != "id" for token in (m[2] or m[3] or m[4] or "").split()]
 
 
-def apart(name: str, rest: str) -> int:
-    """2 for an element that is no main text; 1 for a form or by its names, which may also be a wrapper of the page."""
+def named_apart(name: str, rest: str, inside: bool = False) -> bool:
+    """Whether the words of class, id or role say that the element is no main text; ``inside`` an article fewer count."""
+    if not inside:
+        return any(p in APART_NAMES for _, parts in names_of(name, rest) for p in parts)
+    return any((all if of_id else any)(p in STRICT_NAMES for p in parts) for of_id, parts in names_of(name, rest) if parts)
+
+
+#: How an element that is apart may yet be a wrapper: never, around the article, around the first article with a heading, by its words.
+NEVER, AROUND, HEADED, BY_WORDS = range(1, 5)
+
+
+def apart(name: str, rest: str, inside: bool = False) -> int:
+    """0 for an element that may be main text, else in what case it is a wrapper."""
     if name in APART:
-        return 1 if name == "form" and not hides(rest) else 2
+        return BY_WORDS if name == "form" and not hides(rest) else NEVER
     if name in WHOLE or not rest.strip():
         return 0
-    return 2 if hides(rest) else int(named_apart(name, rest))
+    if hides(rest):
+        return NEVER
+    if not named_apart(name, rest, inside):
+        return 0
+    named = [parts for _, parts in names_of(name, rest) if any(p in APART_NAMES for p in parts)]
+    words = {p for parts in named for p in parts}
+    if words & COMMENT_NAMES:
+        return HEADED
+    return AROUND if words & ADVERT_NAMES or any(all(p in APART_NAMES for p in parts) for parts in named) else BY_WORDS
 
 
 def items(page: str | None, label: str | None = None, wrappers: frozenset[int] | None = None) -> list[tuple]:
     """(feature, number of items, text or None, whether it starts a block, scope, labelled inside) in page order.
 
-    Feature None: inside a subtree that is apart. Scope: 1 inside ``article`` or ``main``, else 0. ``label``: an
+    Feature None: inside a subtree that is apart. Scope: 2 inside ``article``, 1 inside ``main`` only, else 0. ``label``: an
     attribute that marks labelled content; without it the content is what lies in ``article``. ``wrappers``: where the
     tags of wrappers start, which are not apart; found by a scan before.
     """
     out: list[tuple] = []
     stack: list[list] = []  # name, apart, scope, link, labelled, surely apart, note of a form or named element
-    notes: list[list[int]] = []  # place of the tag, words before, words up to the end, place of the end
+    blocks: list[int] = []  # places of the open elements that are no formatting
+    open_: Counter = Counter()  # how many elements of a name are open
+    notes: list[list[int]] = []  # place of the tag, words before, words up to the end, place of the end, case
     cores: list[int] = []  # places of main and of articles without such a name
+    mains: list[int] = []
+    first: int | None = None  # place of the first article, and of the first one if that has a heading
+    headed: int | None = None
     counted = 0  # words that are not surely apart
     page = page or ""
     at = 0
@@ -117,8 +154,11 @@ def items(page: str | None, label: str | None = None, wrappers: frozenset[int] |
     def close(k: int, place: int) -> None:
         for s in stack[k:]:
             if s[6]:
-                s[6][2:] = counted, place
+                s[6][2:4] = counted, place
+            open_[s[0]] -= 1
         del stack[k:]
+        while blocks and blocks[-1] >= k:
+            blocks.pop()
 
     for m in _token.finditer(page):
         if m.start() > at:
@@ -132,16 +172,15 @@ def items(page: str | None, label: str | None = None, wrappers: frozenset[int] |
         block = name not in INLINE
         kind = name if name in TAGS else "other"
         if m["end"]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None) if open_[name] else None
             top = stack[-1] if stack else ("", False, 0, False, False)
             out.append((None if top[1] else f"/{kind}", 1, None, False, top[2], top[4]))
-            if k is not None and (block or not any(s[0] not in INLINE for s in stack[k + 1:])):
+            if k is not None and (block or not blocks or blocks[-1] <= k):
                 close(k, m.start())
         else:
             if block:  # a new block ends an open paragraph and formatting left open in it
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE), None)
-                if k is not None and stack[k][0] in ENDED:
-                    close(k, m.start())
+                if blocks and stack[blocks[-1]][0] in ENDED:
+                    close(blocks[-1], m.start())
             if name in ENDS:
                 own, edge = ENDS[name]
                 for i in range(len(stack) - 1, -1, -1):
@@ -151,16 +190,25 @@ def items(page: str | None, label: str | None = None, wrappers: frozenset[int] |
                         close(i, m.start())
                         break
             top = stack[-1] if stack else ("", False, 0, False, False)
-            within = top[2] or int(name in ("article", "main"))
-            kept_out = apart(name, rest)
-            note = [m.start(), counted, counted, m.start()] if kept_out == 1 else None
-            sure = bool(stack and top[5]) or kept_out == 2 or (name == "header" and not top[2])
+            within = max(top[2], {"article": 2, "main": 1}.get(name, 0))
+            kept_out = apart(name, rest, top[2] == 2)
+            note = [m.start(), counted, counted, m.start(), kept_out] if kept_out > NEVER else None
+            sure = bool(stack and top[5]) or kept_out == NEVER or (name == "header" and not top[2])
             if not sure and (name == "main" or name == "article" and not named_apart(name, rest)):
                 cores.append(m.start())
-            gone = top[1] or sure or (kept_out == 1 and m.start() not in (wrappers or ()))
+                if name == "main":
+                    mains.append(m.start())
+                elif first is None:
+                    first = m.start()
+            if name in HEADS and headed is None and top[2] == 2 and len(cores) - len(mains) == 1:
+                headed = first
+            gone = top[1] or sure or (kept_out > NEVER and m.start() not in (wrappers or ()))
             marked = top[4] or (name == "article" if label is None else label in rest)
             out.append((None if gone else kind, 1, None, False, within, marked))
             if name not in VOID and not rest.endswith("/"):
+                if block:
+                    blocks.append(len(stack))
+                open_[name] += 1
                 stack.append([name, gone, within, top[3] or name == "a", marked, sure, note])
                 if note:
                     notes.append(note)
@@ -171,7 +219,9 @@ def items(page: str | None, label: str | None = None, wrappers: frozenset[int] |
         words(entities.unescape(page[at:]))
     if wrappers is None and notes:
         close(0, len(page))
-        found = frozenset(a for a, before, upto, b in notes if 2 * (upto - before) > counted or any(a < c < b for c in cores))
+        around = {AROUND: cores, BY_WORDS: cores, HEADED: mains if headed is None else [*mains, headed]}
+        found = frozenset(a for a, before, upto, b, case in notes
+                          if case == BY_WORDS and 2 * (upto - before) > counted or any(a < c < b for c in around[case]))
         if found:
             return items(page, label, found)
     return out
@@ -183,7 +233,7 @@ ENDED = {"p", *HEADS}
 
 
 def scoped(found: list[tuple]) -> bool:
-    return any(i[4] for i in found)
+    return any(i[4] and i[0] is not None for i in found)
 
 
 def count_labelled(page: str | None, label: str | None = None) -> dict[tuple[str, bool], int]:
@@ -248,6 +298,11 @@ def extract(page: str | None, scores: dict[str, float]) -> str:
         total += n * score
         if total > best:
             best, best_from, best_to = total, start, i + 1
+    if best_to:  # an article that the region touches belongs to it whole
+        while best_from and found[best_from][4] == 2 and found[best_from - 1][4] == 2 and found[best_from][0] != "article":
+            best_from -= 1
+        while best_to < len(found) and found[best_to - 1][4] == 2 and found[best_to][4] == 2 and found[best_to][0] != "article":
+            best_to += 1
     number, of_block = 0, []
     for _, _, text, fresh, _, _ in found:
         number += text is not None and fresh
