@@ -22,7 +22,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tabloom.sources.runtime import scratch_path
 
@@ -232,7 +232,10 @@ def read_archives(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
         kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], ["page", "payload_bytes", "payload_digest", "record_type", "refers"])
 
-    found = manifest.select("path", "n_records").repartition("path").mapInArrow(
+    # One task for each archive: their number is known, so nothing is merged because the list itself is small.
+    place = F.row_number().over(Window.orderBy("path")) - 1
+    dealt = manifest.select("path", "n_records", place.alias("_place")).repartitionById(max(1, manifest.count()), F.col("_place")).drop("_place")
+    found = dealt.mapInArrow(
         read, "page string, payload_bytes bigint, payload_digest string, record_type string, refers string")
     return found.select(F.col("page").cast(id_type).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers").cast(id_type).alias("refers_to"))
 
