@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tabloom.operators import validate as V
 from tabloom.plans.catalog.registry import query, table
 from tabloom.plans.catalog.specs import ORDERS_RULES
+from tabloom.spec import TableSpec
+from tabloom.streaming.windowed import closed_windows
 
 AS_OF = "2001-01-01 00:00:00"
 
@@ -84,3 +86,23 @@ SELECT o_orderkey, array_to_string(list_filter([
 def row_quarantine(spark, sf):
     good, bad = V.row_quarantine(dirty_orders(spark, sf), ORDERS_RULES, AS_OF)
     return bad.select("o_orderkey", F.array_join("violations", ",").alias("violations"))
+
+
+# ---- windows of event time, on a stream
+
+WINDOWED = TableSpec.from_dict({"fields": [{"name": "value", "type": "float", "min": 5, "max": 120}, {"name": "user_id", "type": "int", "min": 1, "max": 900}]})
+
+
+@query("val_windowed", """
+WITH e AS (SELECT date_trunc('day', ts) AS d, value, user_id, max(ts) OVER () AS latest FROM events),
+g AS (SELECT d, count(*) AS n, count_if(value < 5) AS v0, count_if(value > 120) AS v1, count_if(value IS NULL) AS v2, count_if(user_id < 1) AS u0, count_if(user_id > 900) AS u1, count_if(user_id IS NULL) AS u2
+  FROM e WHERE d + INTERVAL 1 DAY <= latest - INTERVAL 1 HOUR GROUP BY d),
+r AS (SELECT d, n, unnest([{'f': 'value', 'r': 'below_min', 'b': v0}, {'f': 'value', 'r': 'above_max', 'b': v1}, {'f': 'value', 'r': 'null_fraction', 'b': v2},
+  {'f': 'user_id', 'r': 'below_min', 'b': u0}, {'f': 'user_id', 'r': 'above_max', 'b': u1}, {'f': 'user_id', 'r': 'null_fraction', 'b': u2}]) AS c FROM g)
+SELECT strftime(d, '%Y-%m-%d') AS window_start, c.f AS field, c.r AS rule, n AS n_rows, c.b AS n_bad, CAST(c.b = 0 AS INTEGER) AS ok FROM r""")
+def val_windowed(spark, sf):
+    """The events as a stream of files; days that its watermark has passed."""
+    kinds = table(spark, sf, "events").select("ts", "value", "user_id").schema
+    stream = spark.readStream.schema(kinds).parquet(f"{sf}/events.parque[t]")
+    found = closed_windows(stream, WINDOWED, "ts", "1 day", "1 hour")
+    return found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
