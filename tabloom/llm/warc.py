@@ -97,9 +97,12 @@ class Member:
                 return True
         return False
 
-    def until(self, mark: bytes, limit: int = 1 << 20) -> bytes:
-        while (at := self.data.find(mark)) < 0:
-            if len(self.data) > limit or not self.more():
+    def until(self, mark: bytes) -> bytes:
+        """What stands before the mark, however long it is; a member without it is an error."""
+        seen = 0
+        while (at := self.data.find(mark, seen)) < 0:
+            seen = max(0, len(self.data) - len(mark) + 1)
+            if not self.more():
                 raise ValueError("a head without end")
         out, self.data = self.data[:at], self.data[at + len(mark):]
         return out

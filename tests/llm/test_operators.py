@@ -276,6 +276,8 @@ def test_archives(spark):
         want.append((page, len(data), hashlib.sha1(data).hexdigest(), "revisit" if refers else "response", refers))
     assert got == sorted(want, key=str)
     assert warc.round_trip(spark, pages.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "http://x/" + "y" * 2_000_000, "<p>text</p>")], "page_id long, url string, html string")
+    assert [r.payload_bytes for r in warc.round_trip(spark, long).collect()] == [11]
     manifest = warc.write_archives(pages, archive_bytes=300)
     assert manifest.count() > 3  # as many tasks read as there are archives, however small their list is
     assert warc.read_archives(manifest).rdd.getNumPartitions() == manifest.count()
