@@ -1,12 +1,13 @@
-"""Token counts without token ids.
+"""Token counts without token ids, through the corpus's table of distinct units.
 
-A document is a list of units parted by blanks. A unit new to a worker is counted in pieces by the tokenizers library and
-remembered; every occurrence is looked up and the counts are summed per document. There are no frequencies and no join:
-a unit is counted once per worker, and again after the remembered units reached their bound and were dropped. No
-document's ids are made, and nothing moves between tasks.
+A document is a list of units parted by blanks, kept as the frequencies of its distinct units. Every distinct unit of
+the corpus is counted in pieces by the tokenizers library once (``vocabulary``); the numbers of pieces are joined to the
+documents' frequencies, and their products are summed. No document's ids are made.
 
-Special tokens inside a text are one token each, as the library counts them by default. Defined cases: null is the
-empty text, with no byte and no token; repeated rows are counted one by one; other columns are not read.
+Special tokens inside a text are one token each, as the library counts them by default. A definition whose added tokens
+do not part texts cleanly has no such units: its texts are counted whole, where they lie. Defined cases: null is
+the empty text, with no byte and no token; repeated rows are counted one by one; other columns are not read; an empty
+table gives no row.
 """
 
 from __future__ import annotations
@@ -14,48 +15,62 @@ from __future__ import annotations
 import re
 from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from tabloom.llm.common import map_rows
-from tabloom.llm.pretokens import REMEMBERED, Library, Remembered, per_worker, units
+from tabloom.llm.common import map_rows, to_bytes
+from tabloom.llm.pretokens import Library, per_worker, units
+from tabloom.llm.vocabulary import BUCKET_CHARS, CHUNK_CHARS, through_vocabulary
 
 LIMIT = 1024
 
 
-def count_texts(texts: list[str | None], known: Remembered, library: Library) -> list[int]:
-    """Tokens of every text; ``known`` maps distinct units to their number of pieces."""
-    marks = re.compile("|".join(map(re.escape, sorted(library.specials, key=len, reverse=True)))) if library.specials else None
-    extra, found = [0] * len(texts), []
-    for i, t in enumerate(texts):
-        t = t or ""
-        if marks is not None and (cut := marks.split(t))[1:]:
-            extra[i] = len(cut) - 1
-            found.append([*chain.from_iterable(map(units, cut))])
-        else:
-            found.append(units(t))
-    known.learn(found)
-    get = known.__getitem__
-    return [sum(map(get, f)) + n for f, n in zip(found, extra, strict=True)]
-
-
-def token_counts(documents: DataFrame, definition: str, limit: int = LIMIT, remembered: int = REMEMBERED,
-                 doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def cut_at_specials(text: str, specials) -> tuple[list[str], int]:
+    """Units between special strings, and how many of these there are; ``specials`` is a pattern or None."""
+    if specials is not None and (cut := specials.split(text))[1:]:
+        return [*chain.from_iterable(map(units, cut))], len(cut) - 1
+    return units(text), 0
+
+
+def frequencies(numbers: np.ndarray, pieces: np.ndarray) -> int:
+    """Pieces of a document: those of each distinct unit, as often as the unit occurs."""
+    distinct, often = np.unique(numbers, return_counts=True)
+    return int(pieces[distinct] @ often)
+
+
+def token_counts(documents: DataFrame, definition: str, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text",
+                 chunk_chars: int = CHUNK_CHARS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row; ``definition`` is the tokenizer's JSON."""
     import uuid
 
     shared, name = documents.sparkSession.sparkContext.broadcast(definition), uuid.uuid4().hex
-    kind = documents.schema[doc_id].dataType.simpleString()
+    here = Library(definition)
+
+    def library():
+        return per_worker(f"counts:{name}", lambda: Library(shared.value))
+
+    if here.mark is None:
+        kind = documents.schema[doc_id].dataType.simpleString()
+
+        def work(ids, texts):
+            whole = library().tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+            return ids, [len(to_bytes(t)) for t in texts], [len(e) for e in whole]
+
+        counted = map_rows(documents, [doc_id, text], work, f"`{doc_id}` {kind}, n_bytes bigint, n_tokens bigint")
+        return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    specials = re.compile("|".join(map(re.escape, sorted(here.specials, key=len, reverse=True)))) if here.specials else None
+
+    def cut(t):
+        found, extra = cut_at_specials(t, specials)
+        return found, (len(to_bytes(t)), extra)
 
-    def make():
-        library = Library(shared.value)
-        return library, Remembered(lambda new: [len(x) for x in library.encode(new)], remembered)
+    def tell():
+        return lambda new: [len(x).to_bytes(4, "little") for x in library().encode(new)]
 
-    def work(ids, texts):
-        library, known = per_worker(f"counts:{name}", make)
-        if library.mark is None:
-            whole = library.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
-            return ids, [len(t.encode()) if t else 0 for t in texts], [len(e) for e in whole]
-        return ids, [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts], count_texts(texts, known, library)
+    def use(answers, numbers, told):
+        pieces = np.frombuffer(b"".join(answers), "<u4").astype(np.int64)
+        n_bytes, extra = told
+        return n_bytes, [frequencies(n, pieces) + more for n, more in zip(numbers, extra, strict=True)]
 
-    counted = map_rows(documents, [doc_id, text], work, f"`{doc_id}` {kind}, n_bytes bigint, n_tokens bigint")
+    counted = through_vocabulary(documents, cut, "n_bytes bigint, extra bigint", tell, use, "n_bytes bigint, n_tokens bigint", doc_id, text, chunk_chars, bucket_chars)
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
