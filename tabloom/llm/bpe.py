@@ -1,14 +1,14 @@
-"""Byte-level BPE by merge replay over distinct pre-tokens.
+"""Byte-level BPE by merge replay over the distinct pre-tokens of the corpus.
 
-The distinct pre-tokens of a stretch of documents are laid out as one long list of byte symbols. An inverted index
+Documents are cut into pre-tokens where they lie, and each distinct pre-token of the corpus comes to one bucket
+(``vocabulary``). The pre-tokens of a bucket are laid out as one long list of byte symbols. An inverted index
 leads from the rank of a pair of neighbours to all places where that pair stands, in all pre-tokens. Merges are
 replayed in rank order: all places of the lowest rank are merged, left to right, and only the pairs with the touched
-neighbours enter the index. Documents are then encoded by looking up their units, and decoded by joining the bytes
-of their ids.
+neighbours enter the index. The ids of the distinct pre-tokens are joined back to the documents, whose ids are these in
+order; they are decoded by joining the bytes of the ids.
 
-The vocabulary of the stretches together is the corpus's; each task replays what its worker has not met before, so
-the memory is bounded and nothing moves between tasks. Defined cases: null is the empty text, with no ids;
-a single long pre-token is one more stretch of symbols; repeated rows are encoded one by one; other columns are not read.
+Defined cases: null is the empty text, with no ids; a single long pre-token is one more stretch of symbols; repeated
+rows are encoded one by one; an empty table gives no row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +21,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from tabloom.llm.common import map_rows, to_bytes
-from tabloom.llm.pretokens import REMEMBERED, Remembered, per_worker, pretoken_pattern, units
+from tabloom.llm.pretokens import Remembered, per_worker, pretoken_pattern, units
+from tabloom.llm.vocabulary import BUCKET_CHARS, CHUNK_CHARS, through_vocabulary
+
+#: Pairs whose ranks a worker keeps between replays; beyond them it looks them up anew.
+PAIRS = 1_000_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -45,6 +49,8 @@ class Merges:
 
     def replay(self, words: list[bytes]) -> list[bytes]:
         """The ids of every word, as little-endian 32-bit numbers."""
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         data = np.frombuffer(b"\0".join(words) + b"\0", np.uint8)  # one place between words belongs to none
         bounds = np.cumsum(lengths + 1)
@@ -135,67 +141,72 @@ def encode_texts(texts: list[str | None], known: Remembered) -> list[bytes]:
     return [b"".join(map(get, f)) for f in found]
 
 
-def worker_merges(documents: DataFrame, ranks: bytes, pattern: str, remembered: int):
-    """A function for tasks that gives this worker's merges and memory."""
+def worker_merges(documents: DataFrame, ranks: bytes, pattern: str):
+    """A function for tasks that gives this worker's merges."""
     import uuid
 
     shared, name = documents.sparkSession.sparkContext.broadcast((ranks, pattern)), uuid.uuid4().hex
+    return lambda: per_worker(f"bpe:{name}", lambda: Merges(read_ranks(shared.value[0]), shared.value[1]))
 
-    def make():
-        merges = Merges(read_ranks(shared.value[0]), shared.value[1])
-        return merges, Remembered(merges.encode_units, remembered)
 
-    return lambda: per_worker(f"bpe:{name}", make)
+def through_merges(documents: DataFrame, merges, describe: str, tell_of, make, schema: str, doc_id: str, text: str, chunk_chars: int, bucket_chars: int) -> DataFrame:
+    """One row per document; ``make(packed, told)`` gives its columns from its ids, little-endian 32-bit numbers.
 
+    ``tell_of(text)`` gives the columns named by ``describe`` that ``make`` needs of the text.
+    """
 
-def encode(documents: DataFrame, ranks: bytes, pattern: str, remembered: int = REMEMBERED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ids (array of int) of every row; ``ranks`` is the content of the vocabulary file."""
-    tools = worker_merges(documents, ranks, pattern, remembered)
-    kind = documents.schema[doc_id].dataType.simpleString()
+    def cut(t):
+        return merges().pattern.findall(t), tell_of(t)
+
+    def tell():
+        return lambda new: merges().replay([to_bytes(p) for p in new]) if new else []
 
-    def work(ids, texts):
-        return ids, [np.frombuffer(b, "<u4").astype(np.int32) for b in encode_texts(texts, tools()[1])]
+    def use(answers, numbers, told):
+        get = answers.__getitem__
+        made = [make(b"".join(map(get, n.tolist())), cells) for n, *cells in zip(numbers, *told, strict=True)]
+        return list(zip(*made, strict=True))
 
-    return map_rows(documents, [doc_id, text], work, f"`{doc_id}` {kind}, ids array<int>")
+    return through_vocabulary(documents, cut, describe, tell, use, schema, doc_id, text, chunk_chars, bucket_chars)
+
+
+def encode(documents: DataFrame, ranks: bytes, pattern: str, doc_id: str = "doc_id", text: str = "text",
+           chunk_chars: int = CHUNK_CHARS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
+    """doc_id, ids (array of int) of every row; ``ranks`` is the content of the vocabulary file."""
+    return encode_checked(documents, ranks, pattern, doc_id, text, chunk_chars, bucket_chars).select(f"`{doc_id}`", "ids")
 
 
 def decode(encoded: DataFrame, ranks: bytes, pattern: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
     """doc_id, text of every row of ids; bytes that are no UTF-8 are replaced. Null ids give the empty text."""
-    tools = worker_merges(encoded, ranks, pattern, 1)
+    merges = worker_merges(encoded, ranks, pattern)
     kind = encoded.schema[doc_id].dataType.simpleString()
 
     def work(keys, rows):
-        return keys, [tools()[0].decode(np.array(r or [], np.int64)).decode("utf-8", "replace") for r in rows]
+        return keys, [merges().decode(np.array(r or [], np.int64)).decode("utf-8", "replace") for r in rows]
 
     return map_rows(encoded, [doc_id, ids], work, f"`{doc_id}` {kind}, text string")
 
 
-def digests(documents: DataFrame, ranks: bytes, pattern: str, remembered: int = REMEMBERED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def digests(documents: DataFrame, ranks: bytes, pattern: str, doc_id: str = "doc_id", text: str = "text",
+            chunk_chars: int = CHUNK_CHARS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: every text is encoded, and its ids are decoded again."""
-    tools = worker_merges(documents, ranks, pattern, remembered)
-    kind = documents.schema[doc_id].dataType.simpleString()
+    merges = worker_merges(documents, ranks, pattern)
 
-    def work(ids, texts):
-        merges, known = tools()
-        n, made, back = [], [], []
-        for packed in encode_texts(texts, known):
-            n.append(len(packed) // 4)
-            made.append(hashlib.sha256(packed).hexdigest())
-            back.append(hashlib.sha256(merges.decode(np.frombuffer(packed, "<u4"))).hexdigest())
-        return ids, n, made, back
+    def make(packed, _):
+        back = merges().decode(np.frombuffer(packed, "<u4"))
+        return len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(back).hexdigest()
 
-    return map_rows(documents, [doc_id, text], work, f"`{doc_id}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return through_merges(documents, merges, "n_bytes bigint", lambda t: (len(to_bytes(t)),), make, "n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+                          doc_id, text, chunk_chars, bucket_chars)
 
 
-def encode_checked(documents: DataFrame, ranks: bytes, pattern: str, remembered: int = REMEMBERED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids, decodes (whether decoding the ids gives the text's bytes) of every row."""
-    tools = worker_merges(documents, ranks, pattern, remembered)
-    kind = documents.schema[doc_id].dataType.simpleString()
+def encode_checked(documents: DataFrame, ranks: bytes, pattern: str, doc_id: str = "doc_id", text: str = "text",
+                   chunk_chars: int = CHUNK_CHARS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
+    """doc_id, n_tokens, ids, decodes (whether decoding the ids gives the text's bytes, by SHA-256) of every row."""
+    merges = worker_merges(documents, ranks, pattern)
 
-    def work(keys, texts):
-        merges, known = tools()
-        rows = [np.frombuffer(b, "<u4") for b in encode_texts(texts, known)]
-        right = [merges.decode(r) == to_bytes(t) for r, t in zip(rows, texts, strict=True)]
-        return keys, [len(r) for r in rows], [r.astype(np.int32) for r in rows], right
+    def make(packed, told):
+        ids = np.frombuffer(packed, "<u4")
+        return len(ids), ids.astype(np.int32), hashlib.sha256(merges().decode(ids)).digest() == told[0]
 
-    return map_rows(documents, [doc_id, text], work, f"`{doc_id}` {kind}, n_tokens bigint, ids array<int>, decodes boolean")
+    return through_merges(documents, merges, "digest binary", lambda t: (hashlib.sha256(to_bytes(t)).digest(),), make, "n_tokens bigint, ids array<int>, decodes boolean",
+                          doc_id, text, chunk_chars, bucket_chars)

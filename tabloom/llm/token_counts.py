@@ -32,12 +32,6 @@ def cut_at_specials(text: str, specials) -> tuple[list[str], int]:
     return units(text), 0
 
 
-def frequencies(numbers: np.ndarray, pieces: np.ndarray) -> int:
-    """Pieces of a document: those of each distinct unit, as often as the unit occurs."""
-    distinct, often = np.unique(numbers, return_counts=True)
-    return int(pieces[distinct] @ often)
-
-
 def token_counts(documents: DataFrame, definition: str, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text",
                  chunk_chars: int = CHUNK_CHARS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row; ``definition`` is the tokenizer's JSON."""
@@ -70,7 +64,7 @@ def token_counts(documents: DataFrame, definition: str, limit: int = LIMIT, doc_
     def use(answers, numbers, told):
         pieces = np.frombuffer(b"".join(answers), "<u4").astype(np.int64)
         n_bytes, extra = told
-        return n_bytes, [frequencies(n, pieces) + more for n, more in zip(numbers, extra, strict=True)]
+        return n_bytes, [int(pieces[distinct] @ often) + more for (distinct, often), more in zip(numbers, extra, strict=True)]
 
-    counted = through_vocabulary(documents, cut, "n_bytes bigint, extra bigint", tell, use, "n_bytes bigint, n_tokens bigint", doc_id, text, chunk_chars, bucket_chars)
+    counted = through_vocabulary(documents, cut, "n_bytes bigint, extra bigint", tell, use, "n_bytes bigint, n_tokens bigint", doc_id, text, chunk_chars, bucket_chars, counted=True)
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

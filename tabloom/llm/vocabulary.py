@@ -1,6 +1,6 @@
 """The distinct pre-tokens of a corpus as a table that is worked on once and joined back to the documents.
 
-Documents are cut into units (``pretokens.units``) where they lie. A chunk of documents numbers its distinct units and
+Documents are cut into units, pre-tokens or short runs of them, where they lie. A chunk of documents numbers its distinct units and
 is written as two kinds of rows: one per document with its numbers, packed, and one per chunk and bucket with the
 distinct units whose hash falls into the bucket. All rows of a bucket meet in one task, which works on every distinct
 unit once, for the whole corpus, and answers each chunk for its own units only. Answers and documents of a chunk then
@@ -42,8 +42,8 @@ def pack_strings(parts: list[bytes]) -> bytes:
 def unpack_strings(packed: bytes) -> list[bytes]:
     data = zlib.decompress(packed)
     n = int(np.frombuffer(data, "<u4", 1)[0])
-    ends = (4 + 4 * n + np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64)).tolist()
-    return [data[a:b] for a, b in zip([4 + 4 * n, *ends[:-1]], ends, strict=True)]
+    bounds = (4 + 4 * n + np.cumsum(np.concatenate([[0], np.frombuffer(data, "<u4", n, 4)]), dtype=np.int64)).tolist()
+    return [data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def pack_numbers(numbers: np.ndarray) -> bytes:
@@ -54,20 +54,34 @@ def unpack_numbers(packed: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(packed), "<u4")
 
 
+def pack_frequencies(numbers: np.ndarray) -> bytes:
+    """The distinct numbers, as differences, and then how often each occurs."""
+    distinct, often = np.unique(numbers, return_counts=True)
+    return pack_numbers(np.concatenate([np.diff(distinct, prepend=np.uint32(0)), often]))
+
+
+def unpack_frequencies(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = unpack_numbers(packed).reshape(2, -1).astype(np.int64)
+    return np.cumsum(both[0]), both[1]
+
+
+class Numbers(dict):
+    """Units to numbers in the order in which they are first asked for."""
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = n = len(self)
+        return n
+
+
 class Chunk:
     """Documents that share one numbering of their distinct units."""
 
     def __init__(self):
-        self.name, self.chars = uuid.uuid4().hex, 0
-        self.numbers: dict[str, int] = {}
+        self.name, self.chars, self.numbers = uuid.uuid4().hex, 0, Numbers()
 
     def number(self, found: list[str]) -> np.ndarray:
-        """The numbers of the units, in order; new ones get the next numbers."""
-        known = self.numbers
-        for unit in dict.fromkeys(found):
-            if unit not in known:
-                known[unit] = len(known)
-        return np.fromiter(map(known.__getitem__, found), np.uint32, len(found))
+        """The numbers of the units, in order."""
+        return np.fromiter(map(self.numbers.__getitem__, found), np.uint32, len(found))
 
     def by_bucket(self, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
         """(bucket, its units' numbers, its units), each packed."""
@@ -79,11 +93,11 @@ class Chunk:
                 yield int(bucket[places[0]]), pack_numbers(np.diff(places, prepend=0)), pack_strings([names[i] for i in places.tolist()])
 
 
-def cut_documents(documents: DataFrame, cut: Callable, describe: str, buckets: int, chunk_chars: int, doc_id: str, text: str) -> DataFrame:
+def cut_documents(documents: DataFrame, cut: Callable, describe: str, pack: Callable, buckets: int, chunk_chars: int, doc_id: str, text: str) -> DataFrame:
     """Rows of documents (bucket is null) and of buckets' distinct units, written to the shared folder.
 
-    ``cut(text)`` gives the units and a tuple for the columns that ``describe`` names (as DDL); the packed numbers
-    of a document follow the order of its units.
+    ``cut(text)`` gives the units and a tuple for the columns that ``describe`` names (as DDL); ``pack`` turns a
+    document's numbers, in order, into what is kept of them.
     """
     kind = documents.schema[doc_id].dataType.simpleString()
     ddl = f"chunk string, bucket int, places binary, packed binary, _id {kind}, {describe}"
@@ -110,7 +124,7 @@ def cut_documents(documents: DataFrame, cut: Callable, describe: str, buckets: i
                 rows = []
                 for i, t in zip(ids[lo:hi], texts[lo:hi], strict=True):
                     found, told = cut(t or "")
-                    rows.append((chunk.name, None, None, pack_numbers(chunk.number(found)), i, *told))
+                    rows.append((chunk.name, None, None, pack(chunk.number(found)), i, *told))
                 yield batch_of(rows)
         yield from finish(chunk)
 
@@ -151,15 +165,16 @@ def runs(values: list) -> Iterator[tuple[int, int]]:
 
 
 def through_vocabulary(documents: DataFrame, cut: Callable, describe: str, tell: Callable, use: Callable, schema: str, doc_id: str, text: str,
-                       chunk_chars: int = CHUNK_CHARS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
+                       chunk_chars: int = CHUNK_CHARS, bucket_chars: int = BUCKET_CHARS, counted: bool = False) -> DataFrame:
     """One row per document, made from the answers to its units; each distinct unit of the corpus is asked for once.
 
-    ``use(answers, numbers, told)`` gets the answers to a chunk's units by their numbers, the documents' arrays of
-    numbers and a list for each column of ``describe``, and returns lists for the columns of ``schema`` behind the id.
+    ``use(answers, numbers, told)`` gets the answers to a chunk's units by their numbers, every document's numbers in
+    order (with ``counted`` its distinct numbers and how often each occurs) and a list for each column of ``describe``, and returns lists for the columns of ``schema`` behind the id.
     """
     chars = documents.agg(F.sum(F.length(F.col(f"`{text}`")))).first()[0] or 0
     buckets = max(1, -(-chars // bucket_chars))
-    rows = cut_documents(documents, cut, describe, buckets, chunk_chars, doc_id, text)
+    pack, unpack = (pack_frequencies, unpack_frequencies) if counted else (pack_numbers, unpack_numbers)
+    rows = cut_documents(documents, cut, describe, pack, buckets, chunk_chars, doc_id, text)
     kind = documents.schema[doc_id].dataType.simpleString()
     ddl = f"`{doc_id}` {kind}, {schema}"
     out = to_arrow_schema(StructType.fromDDL(ddl))
@@ -172,7 +187,7 @@ def through_vocabulary(documents: DataFrame, cut: Callable, describe: str, tell:
         for places, packed in zip(numbers, answered.column("answers").to_pylist(), strict=True):
             for i, a in zip(places.tolist(), unpack_strings(packed), strict=True):
                 answers[i] = a
-        found = [unpack_numbers(p) for p in docs.column("packed").to_pylist()]
+        found = [unpack(p) for p in docs.column("packed").to_pylist()]
         made = use(answers, found, [docs.column(c).to_pylist() for c in docs.column_names[3:]])
         ids = docs.column("_id").combine_chunks()
         return pa.Table.from_arrays([ids, *[pa.array(v, f.type) for v, f in zip(made, list(out)[1:], strict=True)]], schema=out)
