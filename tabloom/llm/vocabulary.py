@@ -8,7 +8,8 @@ meet by the chunk's name. No occurrence of a unit is moved, only numbers and eac
 
 Bounds: a chunk holds ``CHUNK_CHARS`` characters (a longer text is a chunk of its own), and there are as many buckets
 as the length of all texts asks for, so the distinct units of a bucket have about ``BUCKET_CHARS`` characters at most.
-A very common unit is one entry per chunk. Names of chunks are made anew by every attempt of a task; as the rows are
+A very common unit is one entry per chunk. The documents' numbers are written once, as a table bucketed by chunk, and are not
+shuffled. Names of chunks are made anew by every attempt of a task; as the rows are
 written before they are read, only those of committed attempts count.
 """
 
@@ -25,33 +26,49 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tabloom.llm.common import chunks, to_bytes
-from tabloom.sources.runtime import materialize
+from tabloom.sources.runtime import scratch_path
 
 #: Characters of the documents that share one numbering of units.
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 32_000_000
 #: Characters of all texts for each bucket of distinct units.
 BUCKET_CHARS = 8_000_000
+#: Fixed value: buckets that Spark allows a table; more chunks share them.
+MOST_FILES = 100_000
+#: Bytes for which answers come in multiples: an id or a number of pieces.
+WIDTH = 4
 
 
-def pack_strings(parts: list[bytes]) -> bytes:
-    """Byte strings as one compressed value: how many, their lengths, then their bytes."""
-    lengths = np.fromiter(map(len, parts), np.uint32, len(parts))
-    return zlib.compress(np.uint32(len(parts)).tobytes() + lengths.tobytes() + b"".join(parts), 1)
+def planes(data: bytes, width: int) -> bytes:
+    """All first bytes of the values of ``width`` bytes, then all second ones, and so on: alike bytes stand together."""
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(-1, width).T).tobytes()
 
 
-def unpack_strings(packed: bytes) -> list[bytes]:
-    data = zlib.decompress(packed)
-    n = int(np.frombuffer(data, "<u4", 1)[0])
-    bounds = (4 + 4 * n + np.cumsum(np.concatenate([[0], np.frombuffer(data, "<u4", n, 4)]), dtype=np.int64)).tolist()
-    return [data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+def values(data: bytes, width: int) -> bytes:
+    """The way back from ``planes``."""
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).tobytes()
 
 
 def pack_numbers(numbers: np.ndarray) -> bytes:
-    return zlib.compress(numbers.astype("<u4").tobytes(), 1)
+    return zlib.compress(planes(numbers.astype("<u4").tobytes(), 4), 1)
 
 
 def unpack_numbers(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(packed), "<u4")
+    return np.frombuffer(values(zlib.decompress(packed), 4), "<u4")
+
+
+def pack_strings(parts: list[bytes], width: int = 1) -> bytes:
+    """Byte strings, whose lengths are multiples of ``width``, as one compressed value: number, lengths, bytes."""
+    lengths = np.fromiter(map(len, parts), np.uint32, len(parts))
+    return zlib.compress(np.uint32(len(parts)).tobytes() + planes(lengths.tobytes(), 4) + planes(b"".join(parts), width), 1)
+
+
+def unpack_strings(packed: bytes, width: int = 1) -> list[bytes]:
+    data = zlib.decompress(packed)
+    start = 4 + 4 * int(np.frombuffer(data, "<u4", 1)[0])
+    lengths = np.frombuffer(values(data[4:start], 4), "<u4")
+    bounds = np.cumsum(np.concatenate([[0], lengths]), dtype=np.int64).tolist()
+    joined = values(data[start:], width)
+    return [joined[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def pack_frequencies(numbers: np.ndarray) -> bytes:
@@ -93,8 +110,10 @@ class Chunk:
                 yield int(bucket[places[0]]), pack_numbers(np.diff(places, prepend=0)), pack_strings([names[i] for i in places.tolist()])
 
 
-def cut_documents(documents: DataFrame, cut: Callable, describe: str, pack: Callable, buckets: int, chunk_chars: int, doc_id: str, text: str) -> DataFrame:
-    """Rows of documents (bucket is null) and of buckets' distinct units, written to the shared folder.
+def cut_documents(documents: DataFrame, cut: Callable, describe: str, pack: Callable, buckets: int, files: int, chunk_chars: int, doc_id: str, text: str) -> DataFrame:
+    """Rows of documents (bucket is null) and of buckets' distinct units, as a table in the shared folder.
+
+    The table is stored by chunk, so the documents meet their answers without being shuffled.
 
     ``cut(text)`` gives the units and a tuple for the columns that ``describe`` names (as DDL); ``pack`` turns a
     document's numbers, in order, into what is kept of them.
@@ -128,11 +147,15 @@ def cut_documents(documents: DataFrame, cut: Callable, describe: str, pack: Call
                 yield batch_of(rows)
         yield from finish(chunk)
 
-    return materialize(documents.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).mapInArrow(run, ddl), "units")
+    spark, name = documents.sparkSession, f"units_{uuid.uuid4().hex}"
+    cells = documents.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).mapInArrow(run, ddl)
+    cells.write.option("path", scratch_path(spark, "units")).bucketBy(files, "chunk").saveAsTable(name)
+    return spark.table(name)
 
 
 def answer_units(rows: DataFrame, tell: Callable, buckets: int) -> DataFrame:
-    """chunk, places, answers: ``tell()`` gives a function from distinct units to one byte string each.
+    """chunk, places, answers: ``tell()`` gives a function from distinct units to one byte string each,
+    of a multiple of ``WIDTH`` bytes.
 
     A bucket's rows stream through one task, which keeps the bucket's answers: each distinct unit is asked for once.
     """
@@ -148,7 +171,7 @@ def answer_units(rows: DataFrame, tell: Callable, buckets: int) -> DataFrame:
                         at, known = numbers[lo + a], {}
                     new = list(dict.fromkeys(u for units in held[a:b] for u in units if u not in known))
                     known.update(zip(new, ask([u.decode("utf-8", "surrogatepass") for u in new]), strict=True))
-                    out = [pack_strings([known[u] for u in units]) for units in held[a:b]]
+                    out = [pack_strings([known[u] for u in units], WIDTH) for units in held[a:b]]
                     yield pa.RecordBatch.from_arrays([pa.array(names[lo + a:lo + b]), pa.array(places[lo + a:lo + b], pa.binary()), pa.array(out, pa.binary())],
                                                      ["chunk", "places", "answers"])
 
@@ -174,7 +197,8 @@ def through_vocabulary(documents: DataFrame, cut: Callable, describe: str, tell:
     chars = documents.agg(F.sum(F.length(F.col(f"`{text}`")))).first()[0] or 0
     buckets = max(1, -(-chars // bucket_chars))
     pack, unpack = (pack_frequencies, unpack_frequencies) if counted else (pack_numbers, unpack_numbers)
-    rows = cut_documents(documents, cut, describe, pack, buckets, chunk_chars, doc_id, text)
+    files = min(MOST_FILES, max(1, 2 * -(-chars // chunk_chars)))
+    rows = cut_documents(documents, cut, describe, pack, buckets, files, chunk_chars, doc_id, text)
     kind = documents.schema[doc_id].dataType.simpleString()
     ddl = f"`{doc_id}` {kind}, {schema}"
     out = to_arrow_schema(StructType.fromDDL(ddl))
@@ -185,7 +209,7 @@ def through_vocabulary(documents: DataFrame, cut: Callable, describe: str, tell:
         numbers = [np.cumsum(unpack_numbers(p), dtype=np.int64) for p in answered.column("places").to_pylist()]
         answers: list = [b""] * sum(map(len, numbers))
         for places, packed in zip(numbers, answered.column("answers").to_pylist(), strict=True):
-            for i, a in zip(places.tolist(), unpack_strings(packed), strict=True):
+            for i, a in zip(places.tolist(), unpack_strings(packed, WIDTH), strict=True):
                 answers[i] = a
         found = [unpack(p) for p in docs.column("packed").to_pylist()]
         made = use(answers, found, [docs.column(c).to_pylist() for c in docs.column_names[3:]])

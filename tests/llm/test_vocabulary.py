@@ -13,6 +13,7 @@ def test_packed_values():
 
     assert vocabulary.unpack_strings(vocabulary.pack_strings([b"a\0", b"", b"\xff" * 70_000])) == [b"a\0", b"", b"\xff" * 70_000]
     assert vocabulary.unpack_strings(vocabulary.pack_strings([])) == []
+    assert vocabulary.unpack_strings(vocabulary.pack_strings([b"abcd", b"", b"efghijkl"], 4), 4) == [b"abcd", b"", b"efghijkl"]
     distinct, often = vocabulary.unpack_frequencies(vocabulary.pack_frequencies(np.array([7, 3, 7, 900_000], np.uint32)))
     assert distinct.tolist() == [3, 7, 900_000] and often.tolist() == [1, 2, 1]
     none, never = vocabulary.unpack_frequencies(vocabulary.pack_frequencies(np.zeros(0, np.uint32)))
@@ -39,14 +40,14 @@ def test_every_unit_is_asked_for_once(spark, chunk_chars, bucket_chars):
     def tell():
         def ask(new):
             asked.add(len(new))
-            return [u.encode()[::-1] for u in new]
+            return [(u * 4).encode()[::-1] for u in new]
         return ask
 
     def use(answers, numbers, told):
         return [b"|".join(answers[i] for i in n.tolist()).decode() for n in numbers], told[0]
 
     got = by_id(vocabulary.through_vocabulary(df, lambda t: (t.split(), (len(t),)), "n int", tell, use, "back string, n int", "doc_id", "text", chunk_chars, bucket_chars))
-    assert {i: r["back"] for i, r in got.items()} == {i: "|".join(w[::-1] for w in (t or "").split()) for i, t in enumerate(texts)}
+    assert {i: r["back"] for i, r in got.items()} == {i: "|".join((w * 4)[::-1] for w in (t or "").split()) for i, t in enumerate(texts)}
     assert all(got[i]["n"] == len(t or "") for i, t in enumerate(texts))
     assert asked.value == len({w for t in texts for w in (t or "").split()})
 
