@@ -325,6 +325,22 @@ def test_toxicity(spark):
     assert alone == pytest.approx(got[0]["score"], abs=1e-6)
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    rnd = random.Random(5)
+    rows = [(i, " ".join(rnd.choice(WORDS) for _ in range(rnd.randint(0, 9))) + (" vilest" if i % 4 == 0 else ""), "en") for i in range(700)]
+    documents = spark.createDataFrame([*rows, (None, "no id", "en"), (rows[8][0], "said twice", "en")], "doc_id long, text string, lang string")
+    known = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 700, 2)] + [(9999, 1), (None, 0), (7, None)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 60)  # several shards, whose weights are averaged
+    labelled, shards = toxicity.labelled_rows(documents, known, 1, "doc_id", "text", "lang", "toxic")
+    want = sorted([(r[1], int(r[0] % 4 == 0)) for r in rows if r[0] % 2 == 0] + [("said twice", 1)])
+    assert shards == 6 and sorted((r["_text"], r["_label"]) for r in labelled.collect()) == want
+    counts = {r["bucket"]: (r["clean"], r["toxic"]) for r in toxicity.text_counts(labelled, 16).collect()}
+    words = toxicity.word_buckets([b"vilest"], 16)[0][0, 0]
+    assert counts[words] == (0, sum("vilest" in text for text, _ in want))
+    got = by_id(toxicity.score(documents.where("doc_id IS NOT NULL AND text <> 'said twice'"), toxicity.train(documents, known, bits=16)))
+    assert sum(got[i]["predicted"] == int(i % 4 == 0) for i in range(700)) >= 690
+
+
 # ---- near duplicates --------------------------------------------------------------------------
 
 
