@@ -17,16 +17,19 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; null texts and texts without a letter go."""
+    """Documents whose language can be told, with that language as their ``lang``; null texts and texts without a letter go."""
     model = language.train(docs.where(language.fold("doc_id", 4) != 2))
     return language.keep_identified(docs, model)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below the threshold; learned from the labels of what came here."""
+    """Documents whose toxicity score is below the threshold; learned from the labels of what came here.
+
+    The language that the stage before has told decides whose threshold a document is held against.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels.where(language.fold("doc_id", 5) != 0))
-    return toxicity.keep_harmless(docs, model)
+    return toxicity.keep_harmless(docs, model, lang="lang")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

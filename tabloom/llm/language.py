@@ -19,9 +19,10 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabloom.llm.common import chunks, keep_rows, map_rows
+from tabloom.llm.common import chunks, map_rows
 
 UNDETERMINED = "und"
 DIMENSIONS = 1024
@@ -145,14 +146,22 @@ def predict(documents: DataFrame, model: dict, doc_id: str = "doc_id", text: str
                     f"`{doc_id}` {kind}, lang_pred string, score double")
 
 
-def keep_identified(documents: DataFrame, model: dict, min_score: float = 0.0, text: str = "text") -> DataFrame:
-    """Rows whose language can be told: those with letters and a cosine of at least ``min_score``."""
+def keep_identified(documents: DataFrame, model: dict, min_score: float = 0.0, text: str = "text", lang: str = "lang") -> DataFrame:
+    """Rows whose language can be told, those with letters and a cosine of at least ``min_score``; ``lang`` becomes the language told."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    def decide(texts):
-        return [name != UNDETERMINED and score >= min_score for name, score in zip(*predict_texts(texts, shared.value), strict=True)]
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.names.index(text)).to_pylist()
+            found = []
+            for lo, hi in chunks([len(t) if t else 1 for t in texts]):
+                found += zip(*predict_texts(texts[lo:hi], shared.value), strict=True)
+            if lang in batch.schema.names:
+                at = batch.schema.names.index(lang)
+                batch = batch.set_column(at, batch.schema.field(at), pa.array([name for name, _ in found], batch.schema.field(at).type))
+            yield batch.filter(pa.array([name != UNDETERMINED and score >= min_score for name, score in found], pa.bool_()))
 
-    return keep_rows(documents, text, decide)
+    return documents.mapInArrow(run, documents.schema)
 
 
 def fold(doc_id: str, parts: int):
