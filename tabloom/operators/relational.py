@@ -81,19 +81,20 @@ def lookup_cpt_sample(df: DataFrame, parent: str, cpt: DataFrame, out: str, seed
 
     A draw u meets the stretches of its parent by an equi-join: [0, 1) has as many slots as the parent has children, a
     stretch is listed in the slots that it touches (two on average), and the bounds decide inside a slot. Even draws are
-    looked up by the place of a child in the order of all. No list of children is held per parent or as a whole.
+    looked up by the place of a child in the order of all. No list of children is held per parent or as a whole. The
+    stretches and places are written once: the planner then knows their true size and sends small ones to the rows, which
+    would otherwise be sorted by the few keys of their parents.
     """
-    cpt = cpt.select("parent_value", "child_value", "prob")
-    ranges = share_ranges(cpt)
+    ranges = materialize(share_ranges(cpt.select("parent_value", "child_value", "prob")), "ranges")
     sizes = ranges.groupBy(F.col("parent_value").alias("_pv")).agg(F.max("slots").alias("_slots"))
 
     def slot(x):
         return F.least(F.col("slots") - 1, F.floor(x * F.col("slots")))
 
     listed = ranges.where("lo < hi").select(F.col("parent_value").alias("_pv2"), F.col("child_value").alias("_drawn"), "lo", "hi", F.explode(F.sequence(slot(F.col("lo")), slot(F.col("hi")))).alias("_in"))
-    children = cpt.select(F.col("child_value").alias("_even")).distinct().withColumn("n", F.lit(1).cast("long"))
-    every = prefix_sums(children, "_even", ["n"], cut_points(children, ["_even"])["_even"]).select("_even", F.col("n_before").alias("_place"))
-    k = cpt.agg(F.count_distinct("child_value").alias("k")).select("k").scalar()
+    children = ranges.select(F.col("child_value").alias("_even")).distinct().withColumn("n", F.lit(1).cast("long"))
+    every = materialize(prefix_sums(children, "_even", ["n"], cut_points(children, ["_even"])["_even"]).select("_even", F.col("n_before").alias("_place")), "places")
+    k = ranges.agg(F.count_distinct("child_value").alias("k")).select("k").scalar()
     drawn = df.withColumn("_u", uniform(seed, out, key)).join(sizes, df[parent].cast("string") == F.col("_pv"), "left")
     drawn = drawn.withColumn("_slot", F.least(F.col("_slots") - 1, F.floor(F.col("_u") * F.col("_slots"))))
     # Rows with a known parent ask for a place that does not exist, each for another, so they do not meet in one task.

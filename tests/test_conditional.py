@@ -74,3 +74,13 @@ def test_no_lists_in_the_plans(pairs):
     for df in (cpt, drawn):
         plan = df._jdf.queryExecution().toString()
         assert "collect_set" not in plan and "collect_list" not in plan
+
+
+def test_rows_are_not_sorted_for_a_small_table(spark, pairs, tmp_path):
+    pairs.write.parquet(f"{tmp_path}/pairs")
+    rows = spark.read.parquet(f"{tmp_path}/pairs")
+    cpt = profile.conditional_category_table(rows, "parent", "child", 1.0)
+    drawn = relational.lookup_cpt_sample(rows.drop("child"), "parent", cpt, "drawn", 4)
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert drawn.count() == 700
