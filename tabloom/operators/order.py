@@ -263,6 +263,12 @@ class OrderPlan:
     before: list
     total: int
 
+    @property
+    def only_hot(self) -> bool:
+        """Whether every row has a hot value, so that all ranks are known from the plan."""
+        ends = [*[starts[0] for starts in self.before[1:]], self.total]
+        return bool(self.hot) and all(starts[-1] == end for starts, end in zip(self.before, ends, strict=True))
+
 
 def _literal(values, ddl: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), ddl)
@@ -311,17 +317,37 @@ def order_plans(df: DataFrame, columns: list[str], salt: Column, buckets: int |
     return plans
 
 
+def _slots(plan: OrderPlan) -> list[str]:
+    return ["_b", "_slot"] if plan.hot else ["_b"]
+
+
+def _dealt(placed: DataFrame, plan: OrderPlan) -> DataFrame:
+    """Slots dealt over all shuffle partitions: merged into one per core, they would hold a core's share of all rows in memory."""
+    return placed.repartition(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), *_slots(plan))
+
+
+def _known_rank(df: DataFrame, column: str, plan: OrderPlan, out: str) -> DataFrame:
+    """The average rank of rows of hot values, by their bucket; nulls get none."""
+    placed = _placed(df, column, plan.edges, plan.hot, plan.salts, F.lit(0))
+    starts = F.get(_literal(plan.before, "array<array<bigint>>"), F.col("_b"))
+    first, end = F.get(starts, 0), F.element_at(starts, -1)
+    return placed.withColumn(out, F.when(F.col("_x").isNotNull(), first + (end - first + 1) / F.lit(2.0))).drop("_x", "_b", "_hot", "_slot")
+
+
 def add_rank(df: DataFrame, column: str, plan: OrderPlan, salt: Column, out: str, weight: str | None = None) -> DataFrame:
-    """Add the 1-based average rank: one shuffle by bucket, none by value.
+    """Add the 1-based average rank: one shuffle by bucket, none by value, and none at all if every value is hot.
 
     Rows of a hot value all have the same rank, known from the plan; their slots only spread them.
     """
+    if plan.only_hot:
+        return _known_rank(df, column, plan, out)
     placed = _placed(df, column, plan.edges, plan.hot, plan.salts, salt)
     w = F.col(weight) if weight else F.lit(1)
     # Nulls take part in nothing; they are spread over buckets of their own.
     placed = placed.withColumn("_b", F.when(F.col("_x").isNull(), F.lit(-1) - F.pmod(salt, F.lit(64)).cast("int")).otherwise(F.col("_b")))
-    upto = Window.partitionBy("_b", "_slot").orderBy("_x")
-    peers = Window.partitionBy("_b", "_slot", "_x")
+    placed = _dealt(placed, plan)
+    upto = Window.partitionBy(*_slots(plan)).orderBy("_x")
+    peers = Window.partitionBy(*_slots(plan), "_x")
     starts = F.get(_literal(plan.before, "array<array<bigint>>"), F.col("_b"))
     cold = F.get(starts, F.col("_slot")) + F.sum(w).over(upto) - (F.sum(w).over(peers) - 1) / F.lit(2.0)
     if plan.hot:
@@ -339,12 +365,9 @@ def average_rank(df: DataFrame, column: str, out: str = "rank") -> DataFrame:
     plan = order_plans(df, [column], salt)[column]
     x = F.col(f"`{column}`").cast("double")
     apart = x.isNull() | (x.isin(plan.hot) if plan.hot else F.lit(False))
-    cold = add_rank(df.where(~apart), column, plan, salt, out)
-    still = _placed(df.where(apart), column, plan.edges, plan.hot, plan.salts, F.lit(0))
-    starts = F.get(_literal(plan.before, "array<array<bigint>>"), F.col("_b"))
-    first, end = F.get(starts, 0), F.element_at(starts, -1)
-    fixed = F.when(F.col("_x").isNotNull(), first + (end - first + 1) / F.lit(2.0))
-    return cold.unionByName(still.withColumn(out, fixed).drop("_x", "_b", "_hot", "_slot"))
+    if plan.only_hot:
+        return _known_rank(df, column, plan, out)
+    return add_rank(df.where(~apart), column, plan, salt, out).unionByName(_known_rank(df.where(apart), column, plan, out))
 
 
 def dense_index(df: DataFrame, value: str, key: str, out: str = "idx") -> DataFrame:
@@ -354,9 +377,9 @@ def dense_index(df: DataFrame, value: str, key: str, out: str = "idx") -> DataFr
     """
     salt = F.xxhash64(F.col(f"`{key}`"))
     plan = order_plans(df, [value], salt)[value]
-    placed = _placed(df, value, plan.edges, plan.hot, plan.salts, salt)
+    placed = _dealt(_placed(df, value, plan.edges, plan.hot, plan.salts, salt), plan)
     starts = F.get(F.get(_literal(plan.before, "array<array<bigint>>"), F.col("_b")), F.col("_slot"))
-    w = Window.partitionBy("_b", "_slot").orderBy("_x", key)
+    w = Window.partitionBy(*_slots(plan)).orderBy("_x", key)
     return placed.withColumn(out, (starts + F.row_number().over(w) - 1).cast("long")).drop("_x", "_b", "_hot", "_slot")
 
 

@@ -44,6 +44,21 @@ def test_spearman_with_ties(skewed):
     assert got[("x", "y")] == pytest.approx(want[0, 1], abs=1e-12) and got[("x", "x")] == 1.0
 
 
+@pytest.mark.parametrize("column", ["x", "y"])
+def test_ranks_of_many_rows_stay_in_their_slots(skewed, column):
+    """Slots are not merged into a few tasks; a column of hot values alone is not sorted at all."""
+    df, pdf = skewed[0].withColumn("y", F.pmod("id", F.lit(2)).cast("double")), skewed[1].assign(y=skewed[1].id % 2)
+    salt = F.xxhash64("id")
+    plan = O.order_plans(df, [column], salt)[column]
+    ranked = O.add_rank(df, column, plan, salt, "rank")
+    got = ranked.toPandas().sort_values("id")
+    assert np.allclose(got["rank"].to_numpy(dtype=float), pdf[column].rank().to_numpy(), equal_nan=True)
+    steps = ranked._jdf.queryExecution().executedPlan().toString()
+    assert plan.only_hot == (column == "y") and ("Window" in steps) == ("Exchange" in steps) == (column == "x")
+    if column == "x":
+        assert ranked.rdd.getNumPartitions() == 4
+
+
 def test_dense_index_is_a_sorted_permutation(skewed):
     df, _ = skewed
     got = O.dense_index(df.where("x is not null"), "x", "id").toPandas().sort_values("idx")
