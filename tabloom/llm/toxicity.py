@@ -232,7 +232,8 @@ def labelled_rows(documents: DataFrame, labels: DataFrame, seed: int, doc_id: st
     rows = rows.where("_id IS NOT NULL").withColumn("_spot", spot).withColumn("_part", F.bitmap_bucket_number("_spot")).withColumn("_at", F.bitmap_bit_position("_spot"))
     byte = F.conv(F.hex(F.substring(F.col("_map"), (F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     likely = rows.join(F.broadcast(maps), "_part").where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0)
-    dealt = likely.select("_id", "_lang", "_text").join(known, "_id")
+    # Merged at every size, so that what is shuffled grows with the texts and never jumps where the ids cease to be sent to the rows.
+    dealt = likely.select("_id", "_lang", "_text").join(known.hint("merge"), "_id")
     order = F.xxhash64(F.lit(seed), F.col("_id").cast("string"), F.coalesce("_text", F.lit("")))
     out = dealt.select(F.pmod(F.xxhash64(F.lit(seed + 1), "_id"), F.lit(CALIBRATION_PART)).alias("_fold"), order.alias("_order"), "_label", "_lang", "_text")
     return materialize(out.sortWithinPartitions("_order"), "labelled"), shards

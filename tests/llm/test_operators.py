@@ -325,6 +325,17 @@ def test_toxicity(spark):
     assert alone == pytest.approx(got[0]["score"], abs=1e-6)
 
 
+def test_toxicity_joins_labels_alike_at_every_size(spark, monkeypatch):
+    """The text join does not turn from sent ids to shuffled texts as the labels grow; null, unknown and other labels take no part."""
+    plans, plain = [], toxicity.materialize
+    monkeypatch.setattr(toxicity, "materialize", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, label))
+    documents = spark.createDataFrame([(i, f"text {i}", "de") for i in range(40)] + [(None, "none", "de")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 30)] + [(3, 0), (4, 1), (None, 1), (39, 2), (99, 1)], "doc_id long, toxic int")
+    rows, shards = toxicity.labelled_rows(documents, labels, 1, "doc_id", "text", "lang", "toxic")
+    assert "SortMergeJoin" in plans[0] and shards == 1
+    assert sorted((r._text, r._label) for r in rows.collect()) == sorted((f"text {i}", 1 if i == 4 else i % 2) for i in range(30))
+
+
 def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
     rnd = random.Random(5)
     rows = [(i, " ".join(rnd.choice(WORDS) for _ in range(rnd.randint(0, 9))) + (" vilest" if i % 4 == 0 else ""), "en") for i in range(700)]
