@@ -185,22 +185,31 @@ def classes_of(texts: DataFrame, size: int, percent: int) -> DataFrame:
     return materialize(one.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
 
-def alike(n: str, p: str, bits: str, m: str, q: str, other: str, percent: int):
-    """Length, positional and parity filter: places p of n and q of m (from 0) hold the same shingle."""
+def alike(n: str, p: str, m: str, q: str, percent: int):
+    """Length and positional filter: places p of n and q of m (from 0) hold the same shingle."""
     n, p, m, q = F.col(n), F.col(p), F.col(m), F.col(q)
-    apart = sum((F.bit_count(F.col(bits)[i].bitwiseXOR(F.col(other)[i])) for i in range(WORDS)), F.lit(0))
     least = F.least(n, m)
     most = F.least(F.least(p, q) + F.least(n - p, m - q), least)
     # overlap o of sizes n, m is enough when 100 * o >= percent * (n + m - o)
-    # and n + m - 2 * o shingles, at least as many as bits differ, are then in one set only
-    return ((100 * least >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
-            & ((100 + percent) * apart <= (100 - percent) * (n + m)))
+    return (100 * least >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
+
+
+def few_apart(n: str, bits: str, m: str, other: str, percent: int):
+    """Parity filter: of alike sets of n and m shingles so few are in one set only, and at least as many as bits differ."""
+    apart = sum((F.bit_count(F.col(bits)[i].bitwiseXOR(F.col(other)[i])) for i in range(WORDS)), F.lit(0))
+    return (100 + percent) * apart <= (100 - percent) * (F.col(n) + F.col(m))
 
 
 def ordered_pairs(met: DataFrame) -> DataFrame:
     return met.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
 
 
+def after_parity_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    one = classes.select(F.col("cid").alias("a"), "n", "bits")
+    two = classes.select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col("bits").alias("other_bits"))
+    return pairs.join(one, "a").join(two, "b").where(few_apart("n", "bits", "m", "other_bits", percent)).select("a", "b")
+
+
 def after_suffix_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     def work(batches):
         for batch in batches:
@@ -323,11 +332,12 @@ def linked_classes(texts: DataFrame, size: int, percent: int) -> tuple[DataFrame
     classes = classes_of(texts, size, percent)
     rows = classes.select("cid", "n", F.posexplode("prefix").alias("place", "shingle"))
     ends = rows.groupBy("shingle").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi")
-    shared = rows.join(ends, "shingle")
-    shared = materialize(shared.join(classes.select("cid", "bits"), "cid"), "buckets")
-    hubs = shared.where("cid = lo OR cid = hi").select("shingle", F.col("cid").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("bits").alias("other_bits"))
-    near = alike("n", "place", "bits", "m", "at", "other_bits", percent)
-    found, sets = verified(ordered_pairs(shared.join(hubs, "shingle").where((F.col("cid") != F.col("other")) & near)), texts, classes, size, percent)
+    # A class lies in many buckets: its bits wait until the pairs are distinct.
+    shared = materialize(rows.join(ends, "shingle"), "buckets")
+    hubs = shared.where("cid = lo OR cid = hi").select("shingle", F.col("cid").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"))
+    near = alike("n", "place", "m", "at", percent)
+    pairs = ordered_pairs(shared.join(hubs, "shingle").where((F.col("cid") != F.col("other")) & near))
+    found, sets = verified(after_parity_filter(pairs, classes, percent), texts, classes, size, percent)
     links = materialize(found, "links")
     labels = components(links)
     # what is not yet in one component: in each bucket, all but its commonest component against the others
@@ -342,6 +352,7 @@ def linked_classes(texts: DataFrame, size: int, percent: int) -> tuple[DataFrame
                                                 F.col("before").alias("other_before"))
     # two classes outside the commonest component would meet twice
     once = (F.col("label") == F.col("main")) | (F.col("cid") < F.col("other"))
+    near = near & few_apart("n", "bits", "m", "other_bits", percent)
     rest = ordered_pairs(mixed.join(minor, "shingle").where((F.col("label") != F.col("other_label")) & once & near & ~F.arrays_overlap("before", "other_before")))
     hub_pairs = ordered_pairs(shared.where("cid <> lo").select("cid", F.col("lo").alias("other")).unionAll(shared.where("cid <> hi").select("cid", F.col("hi").alias("other"))))
     found, others = verified(rest.join(hub_pairs, ["a", "b"], "left_anti"), texts, classes, size, percent)

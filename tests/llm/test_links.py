@@ -19,3 +19,15 @@ def test_links_against_all_pairs(spark, monkeypatch, block):
     got = sorted(map(tuple, jaccard_join.near_duplicates(df, n_links=True).collect()))
     assert got == sorted((i, *want[i], k) for (i, _), k in zip(rows, links, strict=True))
     assert max(links) > 20 and min(links) == 0
+
+
+def test_buckets_hold_no_bits(spark, monkeypatch):
+    """A class lies in many buckets: what is written and shuffled for each is its id, size and place."""
+    held, plain = {}, jaccard_join.materialize
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df, label: held.setdefault(label, plain(df, label)) if label == "buckets" else plain(df, label))
+    rows = family_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(df).collect()}
+    want = brute_components(rows)
+    assert got == {i: c for (i, _), (_, c) in zip(rows, [want[i] for i, _ in rows], strict=True)}
+    assert sorted(held["buckets"].columns) == ["cid", "hi", "lo", "n", "place", "shingle"] and held["buckets"].count() > 0
