@@ -96,14 +96,14 @@ def boost(x: np.ndarray, y: np.ndarray, logistic: bool, s: Settings, number: int
 def apply(model: dict, x: np.ndarray) -> np.ndarray:
     """The model's scores; every tree is walked for all rows at once."""
     x = np.where(np.isfinite(x), x, np.asarray(model["means"], float))
-    out, rows, inner = np.full(len(x), model["base"]), np.arange(len(x)), (1 << model["depth"]) - 1
+    out, inner = np.full(len(x), model["base"]), (1 << model["depth"]) - 1
+    flat, rows = x.ravel(), np.arange(len(x)) * x.shape[1]
     splits, limits, leaves = (np.asarray(model[c]).reshape(model["trees"], inner + more) for c, more in (("splits", 0), ("limits", 0), ("leaves", 1)))
-    for t in range(model["trees"]):
+    for split, limit, leaf in zip(np.maximum(splits, 0).astype(np.int64), np.where(splits >= 0, limits, np.inf), leaves):  # no split: all left
         node = np.zeros(len(x), np.int64)
         for _ in range(model["depth"]):
-            f = splits[t][node]
-            node = 2 * node + 1 + ((f >= 0) & (x[rows, np.maximum(f, 0)] > limits[t][node]))
-        out += leaves[t][node - inner]
+            node = 2 * node + 1 + (flat.take(rows + split.take(node)) > limit.take(node))
+        out += leaf.take(node - inner)
     return out
 
 

@@ -17,6 +17,7 @@ from tabloom.sources.runtime import materialize
 BLOCK = 65_536  # attackers of one broadcast; more are done in further passes
 CHUNK = 2048  # pool rows compared at once inside a task
 LEAF = 16  # attackers in a leaf of the tree
+MEETING = 1 << 20  # pairs of rows and attackers measured at once
 MOST_CELLS, SAMPLED = 65_536, 16  # cells of distinct points at most, and points of the sample for each
 FIRST_ROWS = 20_000  # about so many pool rows give the first bounds of a large pool
 
@@ -64,29 +65,59 @@ class AttackerTree:
         self.nodes[at] = (low, high, start, end, left, right)
         return at
 
+    def _arrays(self):
+        """Boxes, ranges and children of all nodes as arrays, made once."""
+        if not hasattr(self, "_flat"):
+            low, high, *rest = zip(*self.nodes)
+            self._flat = (np.array(low), np.array(high), *[np.array(c, np.int64) for c in rest])
+        return self._flat
+
     def improving(self, x: np.ndarray, bound: np.ndarray):
-        """(row, attacker place, distance) of all pairs whose distance is at most the attacker's bound."""
-        found, open_ = [], [(0, np.arange(len(x)))] if self.nodes and len(x) else []
-        while open_:
-            at, rows = open_.pop()
-            low, high, start, end, left, right = self.nodes[at]
-            gap = np.maximum(np.maximum(low - x[rows], x[rows] - high), 0.0)
-            far = bound[start:end].max()
-            rows = rows[np.sqrt((gap * gap).sum(axis=1)) <= far * (1 + 1e-9)]  # the slack covers rounding only
-            if not len(rows):
-                continue
-            if left >= 0:
-                open_ += [(left, rows), (right, rows)]
-                continue
-            sq = np.zeros((len(rows), end - start))
-            for j in range(x.shape[1]):
-                diff = self.points[start:end, j][None, :] - x[rows, j][:, None]
-                sq += diff * diff
-            dist = np.sqrt(sq)
-            r, a = np.nonzero(dist <= bound[start:end][None, :])
-            found.append((rows[r], a + start, dist[r, a]))
+        """(row, attacker place, distance) of all pairs whose distance is at most the attacker's bound.
+
+        All pairs of rows and nodes of a level are looked at together; inside a node rows stay in ascending order.
+        """
+        found = []
+        if self.nodes and len(x):
+            low, high, start, end, left, right = self._arrays()
+            leaf = left < 0
+            far = np.zeros(len(self.nodes))
+            far[leaf] = np.maximum.reduceat(bound, np.sort(start[leaf]))[np.argsort(np.argsort(start[leaf]))]
+            for at in range(len(left) - 1, -1, -1):  # children come after their parent
+                if not leaf[at]:
+                    far[at] = max(far[left[at]], far[right[at]])
+            node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+            while len(node):
+                sq = np.zeros(len(node))
+                for j in range(x.shape[1]):
+                    v = x[rows, j]
+                    gap = np.maximum(np.maximum(low[node, j] - v, v - high[node, j]), 0.0)
+                    sq += gap * gap
+                near = np.sqrt(sq) <= far[node] * (1 + 1e-9)  # the slack covers rounding only
+                node, rows = node[near], rows[near]
+                last = leaf[node]
+                found += self._meet_leaves(x, bound, node[last], rows[last])
+                node, rows = node[~last], rows[~last]
+                node, rows = np.concatenate([left[node], right[node]]), np.concatenate([rows, rows])
         return [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
 
+    def _meet_leaves(self, x: np.ndarray, bound: np.ndarray, node: np.ndarray, rows: np.ndarray):
+        """The pairs of rows and points of their leaves that are near enough, by leaves of one size, some at a time."""
+        _, _, start, end, _, _ = self._arrays()
+        size = end[node] - start[node]
+        for n in np.unique(size):
+            mine, step = np.flatnonzero(size == n), max(1, MEETING // int(n))
+            for i in range(0, len(mine), step):
+                some = mine[i:i + step]
+                at = start[node[some]][:, None] + np.arange(n)
+                sq = np.zeros(at.shape)
+                for j in range(x.shape[1]):
+                    diff = self.points[at, j] - x[rows[some], j][:, None]
+                    sq += diff * diff
+                dist = np.sqrt(sq)
+                r, a = np.nonzero(dist <= bound[at])
+                yield rows[some][r], at[r, a], dist[r, a]
+
 
 def _nearest_in_task(shared, columns: list[str], key: str, variant: str, k: int):
     """A task's k nearest pool rows per variant and attacker, by (distance, key).
@@ -245,30 +276,34 @@ class Cuts:
         return at
 
     def touched(self, x: np.ndarray, radius: np.ndarray):
-        """(row, cell) of every cell that the ball around a row reaches."""
-        found, open_ = [], [(0, np.arange(len(x)))]
-        while open_:
-            at, rows = open_.pop()
-            if not len(rows):
-                continue
-            column, value, left, right = self.nodes[at]
-            if column < 0:
-                found.append((rows, np.full(len(rows), left)))
-                continue
-            v, r = x[rows, column], radius[rows] * (1 + 1e-9)
-            open_ += [(left, rows[v - r < value]), (right, rows[v + r >= value])]
+        """(row, cell) of every cell that the ball around a row reaches; all rows go down a level together."""
+        column, value, left, right = (np.array(c) for c in zip(*self.nodes))
+        found, node, rows = [], np.zeros(len(x), np.int64), np.arange(len(x))
+        while len(node):
+            inner = column[node] >= 0
+            found.append((rows[~inner], left[node[~inner]]))
+            node, rows = node[inner], rows[inner]
+            v, r = x[rows, column[node]], radius[rows] * (1 + 1e-9)
+            low, high = v - r < value[node], v + r >= value[node]
+            node, rows = np.concatenate([left[node[low]], right[node[high]]]), np.concatenate([rows[low], rows[high]])
         return [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 2
 
 
 def nearest_within(x: np.ndarray) -> np.ndarray:
     """Distance of every one of some distinct points to the nearest other one."""
     tree, best = AttackerTree(x), np.full(len(x), np.inf)
-    for _, _, start, end, left, _ in tree.nodes:
-        if left < 0 and end - start > 1:
-            mine = tree.points[start:end]
-            gap = np.sqrt(((mine[:, None, :] - mine[None, :, :]) ** 2).sum(axis=2))
-            np.fill_diagonal(gap, np.inf)
-            best[start:end] = gap.min(axis=1)
+    ends = np.array([(start, end) for _, _, start, end, left, _ in tree.nodes if left < 0 and end - start > 1], np.int64).reshape(-1, 2)
+    for n in np.unique(ends[:, 1] - ends[:, 0]):  # leaves of one size together; larger ones hold equal points
+        starts, step = ends[ends[:, 1] - ends[:, 0] == n, 0], max(1, MEETING // int(n * n))
+        for i in range(0, len(starts), step):
+            at = starts[i:i + step, None] + np.arange(n)
+            sq = np.zeros((len(at), n, n))
+            for j in range(x.shape[1]):
+                diff = tree.points[at, j][:, :, None] - tree.points[at, j][:, None, :]
+                sq += diff * diff
+            gap = np.sqrt(sq)
+            gap[:, np.arange(n), np.arange(n)] = np.inf
+            best[at] = gap.min(axis=2)
     for start in range(0, len(x), CHUNK):
         row, at, dist = tree.improving(tree.points[start : start + CHUNK], best)
         other = row + start != at
@@ -338,7 +373,8 @@ def self_nn_distances(df: DataFrame, columns: list[str], enough: float = 1.0, ce
     guests = bounded.where("_n = 1").mapInPandas(leaving, f"{kind}, _id long, _cell int, _radius double")
     met = guests.groupBy("_cell").cogroup(bounded.select(*columns, "_cell").groupBy("_cell")).applyInPandas(meet, "_id long, _met double")
     nearer = met.where(F.col("_met") < float("inf")).groupBy("_id").agg(F.min("_met").alias("_met"))
-    return bounded.join(nearer, "_id", "left").select(_nearer("_bound", "_met", limit).alias("distance"), F.col("_n").alias("n"))
+    # A quantile reads the distances once for every pass over their digits, so guests meet hosts once and the result is written.
+    return materialize(bounded.join(nearer, "_id", "left").select(_nearer("_bound", "_met", limit).alias("distance"), F.col("_n").alias("n")), "distances")
 
 
 def _nearer(bound: str, met: str, limit: float) -> Column:
