@@ -433,14 +433,65 @@ def values_at(runs: DataFrame, asks: DataFrame, position: str, keep: list[str],
         "field", F.col("_p").alias(position), *keep, F.coalesce("_run", "_carry").alias("value"))
 
 
+def deal_values(df: DataFrame, by: str, key: str, plan: OrderPlan, runs: DataFrame, out: str) -> DataFrame:
+    """Replace ``by`` with ``out``: the sorted values of ``runs`` (of one field) are dealt to the rows in the order of (by, key).
+
+    A slot of the order covers known positions, so the runs that reach into them go to the same task as its rows: one shuffle,
+    whatever other columns the rows carry. ``plan`` is that of ``by``, salted by the key's hash; ``by`` must not be null, and
+    ``runs`` must cover as many positions as there are rows.
+    """
+    salt = F.xxhash64(F.col(f"`{key}`"))
+    firsts, starts = [], []  # the number of a bucket's first slot, and the position at which each slot starts
+    for mine in plan.before:
+        firsts.append(len(starts))
+        starts += mine
+    last = {start: i for i, start in enumerate(starts)}  # of slots that start together all but the last are empty
+    cuts = sorted(last)
+    rows = _placed(df, by, plan.edges, plan.hot, plan.salts, salt).withColumn("_s", F.get(_literal(firsts, "array<int>"), F.col("_b")) + F.col("_slot"))
+    marks = _marks(runs, cuts).withColumn("_s", F.get(_literal([last[c] for c in cuts], "array<int>"), F.col("_s")))
+    asked = rows.drop("_b", "_hot", "_slot", by)
+    both = _dealt_by_slot(asked.withColumn("_want", F.lit(1)).unionByName(marks, allowMissingColumns=True))
+    upto = Window.partitionBy("_s").orderBy("_x", key).rowsBetween(Window.unboundedPreceding, 0)
+    place = F.coalesce("_p", F.get(_literal(starts, "array<bigint>"), F.col("_s")) + F.sum("_want").over(upto) - 1)
+    return _last_value(both.withColumn("_p", place), out).select(*[f"`{c}`" for c in df.columns if c != by], out)
+
+
+def values_in_place(df: DataFrame, position: str, size: int, runs: DataFrame, out: str) -> DataFrame:
+    """Replace ``position`` with ``out``: the value of ``runs`` (of one field, ``size`` positions) at each row's 0-based position.
+
+    Rows meet the runs in stretches of equally many positions, in one shuffle, whatever other columns they carry. Positions should
+    be spread over the axis, as for :func:`values_at`.
+    """
+    buckets = shuffle_width(df.sparkSession)
+    width = max(1, -(-size // buckets))
+    marks = _marks(runs, list(range(0, size, width)))
+    asked = df.withColumn("_p", F.col(position).cast("long")).withColumn("_s", F.floor(F.col("_p") / F.lit(width)).cast("int")).drop(position)
+    both = _dealt_by_slot(asked.withColumn("_want", F.lit(1)).unionByName(marks, allowMissingColumns=True))
+    return _last_value(both, out).select(*[f"`{c}`" for c in df.columns if c != position], out)
+
+
+def _marks(runs: DataFrame, cuts: list[int]) -> DataFrame:
+    """(_s, _p, _value, _want): each run once for every stretch that it reaches into; stretches begin at the positions ``cuts``."""
+    inner = [float(c) for c in cuts[1:]]
+    ends = runs.select("value", F.col("n_before").cast("double").alias("_begin"), (F.col("n_before") + F.col("n") - 1).cast("double").alias("_end"))
+    reach = _numeric_bucket(_numeric_bucket(ends, "_begin", inner, "_from"), "_end", inner, "_to").withColumn("_s", F.explode(F.sequence("_from", "_to")))
+    # At most one run of a stretch does not begin in it; its mark stands at the stretch's first position.
+    at = F.greatest(F.col("_begin").cast("long"), F.get(_literal(cuts, "array<bigint>"), F.col("_s")))
+    return reach.select("_s", at.alias("_p"), F.col("value").alias("_value"), F.lit(0).alias("_want"))
+
+
+def _dealt_by_slot(df: DataFrame) -> DataFrame:
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), "_s")
+
+
+def _last_value(both: DataFrame, out: str) -> DataFrame:
+    """Rows (``_want`` 1) with the value of the last mark (``_want`` 0) at or before their position ``_p`` in their stretch."""
+    held = Window.partitionBy("_s").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("_at", 2 * F.col("_p") + F.col("_want")).withColumn(out, F.last("_value", ignorenulls=True).over(held)).where("_want = 1")
+
+
 def value_at(df: DataFrame, position: str, runs: DataFrame, out: str) -> DataFrame:
     """Attach the sorted value at 0-based ``position`` to every row, whatever the positions are."""
     asks = df.select(F.lit(out).alias("field"), F.col(position).cast("long").alias("_q")).distinct()
     found = values_at(runs.withColumn("field", F.lit(out)), asks, "_q", []).select("_q", F.col("value").alias(out))
     return df.join(found, df[position] == found["_q"], "left").drop("_q")
-
-
-def columns_at(runs: DataFrame, asks: DataFrame, position: str, key: str, columns: list[str]) -> DataFrame:
-    """(key, columns...): one row per key from asks (field, position, key) of evenly spread positions."""
-    found = values_at(runs, asks, position, [key])
-    return found.groupBy(key).agg(*[F.max(F.when(F.col("field") == c, F.col("value"))).alias(c) for c in columns])

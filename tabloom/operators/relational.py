@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import warnings
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -14,7 +13,7 @@ from tabloom.functions.special import norm_cdf
 from tabloom.operators.coerce import drop_incomplete_numeric
 from tabloom.operators.generate import ID, clamp, independent_column
 from tabloom.operators.learn import Priors, category_parents, dependency_edges, numeric_parents
-from tabloom.operators.order import columns_at, cut_points, dense_index, prefix_sums, run_lengths, value_at
+from tabloom.operators.order import cut_points, deal_values, order_plans, prefix_sums, run_lengths, value_at, values_in_place
 from tabloom.operators.profile import spearman_matrix, weighted_covariance, with_normal_scores
 from tabloom.sources.runtime import materialize
 from tabloom.spec import TableSpec
@@ -50,7 +49,9 @@ def lookup_conditional_numeric(
     mean = fallback[0] if isinstance(fallback[0], Column) else F.lit(float(fallback[0]))
     std = fallback[1] if isinstance(fallback[1], Column) else F.lit(float(fallback[1]))
     x = F.coalesce("_m", mean) + F.greatest(F.lit(1e-9), F.coalesce("_s", std)) * normal(seed, out, key)
-    return df.join(s, df[parent].cast("string") == s["_pv"], "left").withColumn(out, clamp(x, low, high)).drop("_pv", "_m", "_s")
+    # The bounds ask for the value several times; as a column of its own it is made once.
+    met = df.join(s, df[parent].cast("string") == s["_pv"], "left").withColumn("_x", x)
+    return met.withColumn(out, clamp(F.col("_x"), low, high)).drop("_pv", "_m", "_s", "_x")
 
 
 def sampling_arrays(table: DataFrame, by: list[str]) -> DataFrame:
@@ -64,7 +65,8 @@ def sampling_arrays(table: DataFrame, by: list[str]) -> DataFrame:
 
 
 def pick(cats: Column, cum: Column, u: Column) -> Column:
-    return F.get(cats, F.size(F.filter(cum, lambda c: c <= u)))
+    """The value at the draw's place; the draw is bound once, not made anew for every value."""
+    return F.get(F.transform(F.array(u), lambda x: F.get(cats, F.size(F.filter(cum, lambda c: c <= x)))), 0)
 
 
 def share_ranges(cpt: DataFrame) -> DataFrame:
@@ -164,16 +166,24 @@ def rank_copula_reorder(
         own = np.array([[one[f"v{min(i, j)}_{max(i, j)}"] for j in range(len(columns))] for i in range(len(columns))])
         weights = weights @ np.linalg.inv(factor(own))
     scores = mix([f"z_{c}" for c in columns], weights)
-    # Every column reads the scores twice, so they are written once.
-    scored = materialize(scored.select(key, *[s.alias(f"y_{c}") for c, s in zip(columns, scores)]), "scores")
-    asks = reduce(DataFrame.unionByName, [
-        dense_index(scored.select(key, f"y_{c}"), f"y_{c}", key, "_i").select(F.lit(c).alias("field"), "_i", key) for c in columns])
+    # The planning scans and the dealing read the scores, so they are written once.
+    latent = {c: f"_y{i}" for i, c in enumerate(columns)}
+    dealt = materialize(scored.select(key, *[s.alias(y) for s, y in zip(scores, latent.values())]), "scores")
+    plans = order_plans(dealt, list(latent.values()), F.xxhash64(F.col(f"`{key}`")))
     whole = generated.na.drop(subset=columns)
-    # The runs are read for their starts, sizes and bucket ends.
+    # The runs are read for their starts and ends by every column.
     runs = materialize(run_lengths(whole, columns), "runs")
-    dealt = columns_at(runs, asks, "_i", key, columns)
+    # Rows carry their other scores from column to column, so the columns need not be brought together by key.
+    for i, (c, y) in enumerate(latent.items()):
+        dealt = deal_values(dealt, y, key, plans[y], runs.where(F.col("field") == c), f"_v{i}")
     kinds = dict(generated.dtypes)
-    out = whole.drop(*columns).join(dealt.select(key, *[F.col(c).cast(kinds[c]).alias(c) for c in columns]), key)
+    # Rows of one key all get its largest values; a null key gets none.
+    held = dealt.where(F.col(f"`{key}`").isNotNull()).groupBy(key).agg(
+        *[F.max(f"_v{i}").cast(kinds[c]).alias(c) for i, c in enumerate(columns)], F.count(F.lit(1)).alias("_n"))
+    if set(generated.columns) == {key, *columns}:
+        out = held.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    else:
+        out = whole.drop(*columns).join(held.drop("_n"), key)
     partial = generated.where(" or ".join(f"`{c}` is null" for c in columns))
     return out.select(*generated.columns).unionByName(partial)
 
@@ -201,14 +211,18 @@ def copula_latents(df: DataFrame, covariance: np.ndarray, columns: list[str], se
 
 def copula_sample(df: DataFrame, covariance: np.ndarray, quantiles: DataFrame, columns: list[str], seed, key: str = ID) -> DataFrame:
     """Columns with the reference's marginals and its normal-score covariance."""
-    latent = copula_latents(df.select(key), covariance, columns, seed, key)
-    cells = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"u_{c}").alias("u")) for c in columns])
-    sizes = quantiles.groupBy("field").agg(F.max("n_total").alias("_m"))
-    # One size per column.
-    asks = latent.select(key, F.explode(cells).alias("c")).select(key, "c.*").join(F.broadcast(sizes), "field").select(
-        "field", key, quantile_position(F.col("u"), F.col("_m")).alias("_pos"))
     used = quantiles.where(F.col("field").isin(*columns))
-    return df.join(columns_at(used, asks, "_pos", key, columns), key)
+    # One size per column.
+    sizes = {r["field"]: r["m"] for r in used.groupBy("field").agg(F.max("n_total").alias("m")).collect()}
+    out = copula_latents(df, covariance, columns, seed, key).where(F.col(f"`{key}`").isNotNull() if sizes else F.lit(False))
+    # Rows go from column to column with all that they hold, so they are neither made twice nor brought together by key.
+    out = out.withColumns({f"u_{c}": quantile_position(F.col(f"u_{c}"), F.lit(sizes.get(c))) for c in columns})
+    for c in columns:
+        if c in sizes:
+            out = values_in_place(out, f"u_{c}", sizes[c], used.where(F.col("field") == c), c)
+        else:
+            out = out.withColumn(c, F.lit(None).cast("double")).drop(f"u_{c}")
+    return out
 
 
 # ---- whole table ------------------------------------------------------------------------------
