@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tabloom.llm.common import LOWER_TABLE, blank_word_bounds, chunks, join_words, map_rows, to_bytes, word_hashes
@@ -51,7 +51,7 @@ FILTER_BITS = 25
 PARTS = 64
 #: 64-bit words of parities in the first suffix filter.
 WORDS = 8
-#: Preceding prefix shingles by which a pair that has met already is known; others are met again, never missed.
+#: Preceding prefix places by which a pair that has met already is known; others are met again, never missed.
 BEFORE = 16
 SEGMENTS = 64
 #: Classes of a component in one block, about; a task holds the sets of two.
@@ -327,13 +327,24 @@ def link_sums(classes: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
     return dealt.mapInArrow(count, "cid bigint, linked bigint").groupBy("cid").agg(F.sum("linked").alias("linked"))
 
 
+def shared_buckets(rows: DataFrame) -> DataFrame:
+    """The rows whose shingle several classes hold, with its lowest and highest class; they move once."""
+    bucket = Window.partitionBy("shingle")
+    return rows.withColumn("lo", F.min("cid").over(bucket)).withColumn("hi", F.max("cid").over(bucket)).where("lo < hi")
+
+
+def with_before(mixed: DataFrame) -> DataFrame:
+    """``before``: the class's shingles at the ``BEFORE`` places ahead of this one. Only those among the rows given are named, as a pair can have met at no other."""
+    ahead = Window.partitionBy("cid").orderBy("place").rangeBetween(-BEFORE, -1)
+    return mixed.withColumn("before", F.collect_list("shingle").over(ahead))
+
+
 def linked_classes(texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The classes, (cid, label) of those with a link to another class, and (cid, shingles) of at least those."""
     classes = classes_of(texts, size, percent)
     rows = classes.select("cid", "n", F.posexplode("prefix").alias("place", "shingle"))
-    ends = rows.groupBy("shingle").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi")
     # A class lies in many buckets: its bits wait until the pairs are distinct.
-    shared = materialize(rows.join(ends, "shingle"), "buckets")
+    shared = materialize(shared_buckets(rows), "buckets")
     hubs = shared.where("cid = lo OR cid = hi").select("shingle", F.col("cid").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"))
     near = alike("n", "place", "m", "at", percent)
     pairs = ordered_pairs(shared.join(hubs, "shingle").where((F.col("cid") != F.col("other")) & near))
@@ -345,9 +356,8 @@ def linked_classes(texts: DataFrame, size: int, percent: int) -> tuple[DataFrame
     told = materialize(told, "told")
     by_label = told.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("k"))
     commonest = by_label.groupBy("shingle").agg(F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    mixed = told.join(commonest.select("shingle", F.col("top.label").alias("main")), "shingle").join(classes.select("cid", "prefix", "bits"), "cid")
-    before = F.slice("prefix", F.greatest(F.col("place") - BEFORE, F.lit(0)) + 1, F.least(F.col("place"), F.lit(BEFORE)))
-    mixed = materialize(mixed.withColumn("before", before).drop("prefix"), "mixed")
+    mixed = with_before(told.join(commonest.select("shingle", F.col("top.label").alias("main")), "shingle"))
+    mixed = materialize(mixed.join(classes.select("cid", "bits"), "cid"), "mixed")
     minor = mixed.where("label <> main").select("shingle", F.col("cid").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("bits").alias("other_bits"), F.col("label").alias("other_label"),
                                                 F.col("before").alias("other_before"))
     # two classes outside the commonest component would meet twice
