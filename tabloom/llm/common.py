@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 #: Texts of about so many characters are worked on at once inside a task.
@@ -48,6 +49,20 @@ def chunks(sizes: list[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, in
         yield start, len(sizes)
 
 
+def cell_sizes(column: pa.Array) -> list[int]:
+    """Characters (bytes, entries) of every cell, 1 at least, without making Python objects of the cells."""
+    kind = column.type
+    text = pa.types.is_string(kind) or pa.types.is_large_string(kind)
+    count = pc.utf8_length if text else pc.list_value_length if pa.types.is_list(kind) or pa.types.is_large_list(kind) else pc.binary_length
+    return [n or 1 for n in count(column).to_pylist()]
+
+
+def pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch cut by ``chunks`` of its column ``column``: Python never holds the strings of a whole batch."""
+    for lo, hi in chunks(cell_sizes(batch.column(batch.schema.names.index(column)))):
+        yield batch.slice(lo, hi - lo)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of 64-bit hashes; wraps around on purpose."""
     h = (h ^ (h >> np.uint64(30))) * MIX[1]
@@ -112,9 +127,8 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable, schema: str) -> Da
 
     def run(batches):
         for batch in batches:
-            cells = [c.to_pylist() for c in batch.columns]
-            for lo, hi in chunks([len(t) if t else 1 for t in cells[-1]]):
-                made = fn(*[c[lo:hi] for c in cells])
+            for piece in pieces(batch, columns[-1]):
+                made = fn(*[c.to_pylist() for c in piece.columns])
                 if len(made[0]):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(v, f.type) for v, f in zip(made, out, strict=True)], schema=out)
@@ -126,13 +140,10 @@ def keep_rows(df: DataFrame, column: str, decide: Callable) -> DataFrame:
     """Rows of ``df``, all columns untouched, for which ``decide(texts)`` says true; nothing moves between tasks."""
 
     def run(batches):
-        at = None
         for batch in batches:
-            at = batch.schema.names.index(column) if at is None else at
-            texts = batch.column(at).to_pylist()
             mask = []
-            for lo, hi in chunks([len(t) if t else 1 for t in texts]):
-                mask += decide(texts[lo:hi])
+            for piece in pieces(batch, column):
+                mask += decide(piece.column(piece.schema.names.index(column)).to_pylist())
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tabloom.llm.common import LOWER_TABLE, blank_word_bounds, chunks, join_words, map_rows, to_bytes, word_hashes
+from tabloom.llm.common import LOWER_TABLE, blank_word_bounds, join_words, map_rows, pieces, to_bytes, word_hashes
 from tabloom.sources.runtime import materialize
 
 SIZE = 4
@@ -129,10 +129,9 @@ def shingle_counts(texts: DataFrame, size: int) -> np.ndarray:
     def count(batches):
         total = np.zeros(1 << COUNT_BITS, np.uint32)
         for batch in batches:
-            cells = batch.column(0).to_pylist()
-            for lo, hi in chunks([len(t) if t else 1 for t in cells]):
-                hashes = np.concatenate([*shingle_sets(cells[lo:hi], size), np.zeros(0, np.uint64)])
-                total += np.bincount((hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(total)).astype(np.uint32)
+            for piece in pieces(batch, batch.schema.names[0]):
+                hashes = np.concatenate([*shingle_sets(piece.column(0).to_pylist(), size), np.zeros(0, np.uint64)])
+                np.add.at(total, (hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64), np.uint32(1))
         yield segments(total)
 
     def add(a, b):
@@ -151,10 +150,11 @@ def bit_filter(wanted: DataFrame) -> np.ndarray:
     """Bits of all digests in the only column."""
 
     def mark(batches):
-        bits = np.zeros(1 << FILTER_BITS, bool)
+        bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
         for batch in batches:
-            bits[filter_places(batch.column(0).to_pylist()).ravel()] = True
-        yield segments(np.packbits(bits))
+            at = filter_places(batch.column(0).to_pylist()).ravel()
+            np.bitwise_or.at(bits, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        yield segments(bits)
 
     return reduced(wanted.mapInArrow(mark, "segment int, data binary"), "u1", 1 << (FILTER_BITS - 3), np.bitwise_or)
 
@@ -182,7 +182,9 @@ def classes_of(texts: DataFrame, size: int, percent: int) -> DataFrame:
 
     rows = map_rows(texts, ["_id", "_text"], work, "_id bigint, digest binary, n int, prefix array<bigint>, parts binary, bits array<bigint>")
     one = rows.groupBy("digest").agg(F.min("_id").alias("first_id"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts"), F.first("bits").alias("bits"))
-    return materialize(one.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    classes = materialize(one.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    shared.unpersist()
+    return classes
 
 
 def alike(n: str, p: str, m: str, q: str, percent: int):
@@ -240,6 +242,7 @@ def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int,
 
     whole = map_rows(texts, ["_text"], sets, "digest binary, shingles binary").groupBy("digest").agg(F.first("shingles").alias("shingles"))
     whole = materialize(named.join(whole, "digest").select("cid", "shingles"), "sets")
+    shared.unpersist()
 
     def check(batches):
         for batch in batches:
@@ -413,9 +416,9 @@ def keep_one(documents: DataFrame, size: int = SIZE, percent: int = PERCENT, doc
 
     def mark(batches):
         for batch in batches:
-            cells, sets = batch.column(batch.schema.names.index(text)).to_pylist(), []
-            for lo, hi in chunks([len(t) if t else 1 for t in cells]):
-                sets += [digest(s) if len(s) else None for s in shingle_sets(cells[lo:hi], size)]
+            sets = []
+            for piece in pieces(batch, text):
+                sets += [digest(s) if len(s) else None for s in shingle_sets(piece.column(piece.schema.names.index(text)).to_pylist(), size)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sets, pa.binary())], [*batch.schema.names, "_own_set"])
 
     marked = documents.mapInArrow(mark, StructType([*documents.schema.fields, StructField("_own_set", BinaryType())]))

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabloom.llm.common import chunks, map_rows
+from tabloom.llm.common import chunks, map_rows, pieces
 
 UNDETERMINED = "und"
 DIMENSIONS = 1024
@@ -152,10 +152,9 @@ def keep_identified(documents: DataFrame, model: dict, min_score: float = 0.0, t
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(batch.schema.names.index(text)).to_pylist()
             found = []
-            for lo, hi in chunks([len(t) if t else 1 for t in texts]):
-                found += zip(*predict_texts(texts[lo:hi], shared.value), strict=True)
+            for piece in pieces(batch, text):
+                found += zip(*predict_texts(piece.column(piece.schema.names.index(text)).to_pylist(), shared.value), strict=True)
             if lang in batch.schema.names:
                 at = batch.schema.names.index(lang)
                 batch = batch.set_column(at, batch.schema.field(at), pa.array([name for name, _ in found], batch.schema.field(at).type))

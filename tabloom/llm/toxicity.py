@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabloom.llm.common import ALNUM_TABLE, MIX, chunks, map_rows, to_bytes, word_hashes
+from tabloom.llm.common import ALNUM_TABLE, MIX, chunks, map_rows, pieces, to_bytes, word_hashes
 from tabloom.sources.runtime import materialize
 
 WIDTHS = (1, 2, 3)
@@ -468,11 +468,10 @@ def keep_harmless(documents: DataFrame, model: dict, text: str = "text", lang: s
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(batch.schema.names.index(text)).to_pylist()
-            langs = batch.column(batch.schema.names.index(lang)).to_pylist() if lang else None
             mask = []
-            for lo, hi in chunks([len(t) if t else 1 for t in texts]):
-                mask += (score_texts(texts[lo:hi], shared.value, langs and langs[lo:hi]) < THRESHOLD).tolist()
+            for piece in pieces(batch, text):
+                texts, langs = (piece.column(piece.schema.names.index(c)).to_pylist() if c else None for c in (text, lang))
+                mask += (score_texts(texts, shared.value, langs) < THRESHOLD).tolist()
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
